@@ -6,12 +6,23 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Texts that become Python objects at once: an Arrow batch has more, and its copy would double a worker's memory.
+ROWS_AT_ONCE = 1000
+
 _LOCAL: list[str] = []
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(lo, ROWS_AT_ONCE)
+
+
 def _forget() -> None:
     for path in _LOCAL:
         shutil.rmtree(path, ignore_errors=True)
