@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, table, written
+from .common import free_name, sliced, table, written
 
 MIN_WORDS = 50
 
@@ -57,7 +57,7 @@ def windows(text: str, min_words: int) -> list[tuple[int, int, int, int]]:
 
 def _windows(min_words: int):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out: list[tuple] = []
             for doc, h, text in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "h", "text"))):
                 out += [(*w, doc, h) for w in windows(text, min_words)]
@@ -87,7 +87,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def _without(text: pa.Array, runs: pa.Array) -> pa.Array:
     out = []
-    for t, r in zip(text.to_pylist(), runs.to_pylist()):
+    for t, r in zip((x.as_py() for x in text), runs.to_pylist()):
         lines = [] if t is None else t.split("\n")
         go = np.zeros(len(lines), bool)
         for x in r or ():

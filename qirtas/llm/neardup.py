@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, table, written
+from .common import free_name, sliced, table, written
 
 BITS, BLOCKS = 256, 8
 MAX_BITS, BLOCK_BITS = 44, 2
@@ -62,7 +62,7 @@ def fingerprint(text: str) -> np.ndarray | None:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches):
         sigs = [None if t is None else fingerprint(t) for t in batch.column("text").to_pylist()]
         keep = np.array([s is not None for s in sigs], bool)
         got = np.array([s for s in sigs if s is not None], np.uint64).reshape(-1, 4).view(np.int64)

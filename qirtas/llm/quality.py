@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, table, written
+from .common import ROWS_AT_ONCE, free_name, sliced, table, written
 
 #: At most so many labelled documents (those of least hash) fit and calibrate the model. 0: all of them.
 FIT_ROWS = 40_000
@@ -157,7 +157,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS, feature
     """Fit on labelled documents: four fifths (by hash) fit the ridge scores, one fifth the calibration."""
 
     def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             x = statistics(batch.column("text").to_pylist())
             ok = ~np.isnan(x[:, -1])
             h = batch.column("h").to_numpy(zero_copy_only=False)[ok]
@@ -207,7 +207,7 @@ def judge(model: Model | None, threshold: float = THRESHOLD):
 
     @F.arrow_udf("struct<score:double,probability:double,keep:boolean>")
     def verdict(text: pa.Array) -> pa.Array:
-        x = statistics(text.to_pylist())
+        x = np.vstack([statistics(text.slice(lo, ROWS_AT_ONCE).to_pylist()) for lo in range(0, max(1, len(text)), ROWS_AT_ONCE)])
         none = np.isnan(x[:, -1])
         if model is None:
             score, p, unknown = np.zeros(len(x)), np.where(none, 0.0, 1.0), np.ones(len(x), bool)
