@@ -156,7 +156,7 @@ class Vocabulary:
         """The segmentation of a word, by backtracking."""
         n = len(word)
         fits: list[list[str]] = [[c] for c in word]  # the tokens at each position, shortest first
-        for end, piece in self.automaton.iter(word):
+        for end, piece in self.automaton.iter(word) if len(self.automaton) else ():
             fits[end + 1 - len(piece)].append(piece)
         known = self._compatible
         alive = -1  # the bitfield: a cleared bit is a position from which nothing was found

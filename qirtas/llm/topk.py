@@ -59,9 +59,11 @@ def _cell(k: int):
     kind = pa.list_(pa.struct([("s", pa.float64()), ("id", pa.int64())]))
 
     def cell(queries: pa.Table, shard: pa.Table) -> pa.Table:
-        ids = shard.column("vec_id").to_numpy()
+        if not queries.num_rows or not shard.num_rows:  # a side without rows comes without columns
+            return pa.table({"vec_id": pa.array([], pa.int64()), "part": pa.array([], pa.int64()), "best": pa.array([], kind)})
+        ids = shard.column("other").to_numpy()
         asks = queries.column("vec_id").to_numpy()
-        q, x = _matrix(queries, "embedding"), _matrix(shard, "embedding").T
+        q, x = _matrix(queries, "embedding"), _matrix(shard, "vector").T
         out_s, out_i = [], []
         for lo in range(0, len(asks) if len(ids) else 0, TILE_ROWS):
             scores = q[lo : lo + TILE_ROWS] @ x
@@ -92,7 +94,8 @@ def nearest(vectors: DataFrame, k: int = K, block_rows: int = BLOCK_ROWS) -> Dat
     block = F.pmod(F.xxhash64("vec_id"), F.lit(grid))
     others = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(grid - 1).cast("long")))
     asks = rows.select("vec_id", "embedding", block.alias("b"), others.alias("part")).withColumn("cell", F.col("b") * grid + F.col("part")).drop("b")
-    shards = rows.select("vec_id", "embedding", block.alias("part"), others.alias("b")).withColumn("cell", F.col("b") * grid + F.col("part")).drop("b", "part")
+    # Names of their own: columns that both sides have from one table would be pruned from the second.
+    shards = rows.select(F.col("vec_id").alias("other"), F.col("embedding").alias("vector"), block.alias("part"), others.alias("b")).withColumn("cell", F.col("b") * grid + F.col("part")).drop("b", "part")
     lists = asks.groupBy("cell").cogroup(shards.groupBy("cell")).applyInArrow(_cell(k), "vec_id long, part long, best array<struct<s:double,id:long>>")
     merged = F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best")
     while grid > 1:

@@ -94,7 +94,10 @@ def parse(raw: bytes) -> tuple[list[Record], int]:
         size = r.get("Content-Length") or ""
         if not size.isdecimal() or end + 4 + int(size) > len(raw):
             bad += 1
-            at += 7
+            nxt = raw.find(b"WARC/1.", at + 7)
+            if nxt < 0:
+                break
+            at = nxt
             continue
         r.block = raw[end + 4 : end + 4 + int(size)]
         records.append(r)
