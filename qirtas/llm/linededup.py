@@ -80,7 +80,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     first = found.groupBy(*key).agg(F.min(place).alias("f"), F.max(F.struct("doc_id", "h", "s")).alias("l"))
     first = first.where("struct(f.doc_id, f.h, f.s) < l").select(*key, "f")
     same = F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("h") == F.col("f.h"))
-    later = found.join(first, key).where(~(same & (F.col("s") == F.col("f.s"))))
+    later = found.join(first.hint("merge"), key).where(~(same & (F.col("s") == F.col("f.s"))))
     later = later.withColumn("s", F.when(same, F.greatest("s", F.col("f.e") + 1)).otherwise(F.col("s"))).where("s <= e")
     return later.groupBy("doc_id", "h").agg(F.collect_set(F.struct("s", "e")).alias("runs"))
 
@@ -103,7 +103,8 @@ def deduped(docs: DataFrame, min_words: int = MIN_WORDS, *, counts: bool = False
     """
     runs = written(repeated_runs(docs, min_words), "runs")
     d, h, r, v = (free_name(docs, x) for x in ("run_doc", "text_hash", "runs", "edited"))
-    runs = runs.select(F.col("doc_id").alias(d), F.col("h").alias(h), F.col("runs").alias(r))
+    # The runs grow with the documents: the plan is a merge join at every size, not a broadcast while they are few.
+    runs = runs.select(F.col("doc_id").alias(d), F.col("h").alias(h), F.col("runs").alias(r)).hint("merge")
     without = F.arrow_udf(_without, "struct<text:string,n_lines:int,n_deleted:int>")
     joined = docs.join(runs, docs["doc_id"].eqNullSafe(F.col(d)) & (F.xxhash64(docs["text"]) == F.col(h)), "left")
     joined = joined.withColumn(v, F.when(F.col(h).isNotNull(), without(F.when(F.col(h).isNotNull(), F.col("text")), F.col(r))))
