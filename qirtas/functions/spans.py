@@ -22,18 +22,16 @@ def spans(text: Column, pattern: str, group: int = 0, gate: str | Column | None
     """
     rx = F.lit(pattern)
     found = F.regexp_extract_all(text, rx, F.lit(0))
-    inner = F.regexp_extract_all(text, rx, F.lit(group)) if group else found
-    between = F.split(text, pattern, -1)
-    steps = F.arrays_zip(found.alias("m"), inner.alias("v"), F.slice(between, 1, F.size(found)).alias("p"))
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    walked = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + F.length(x["p"]) + F.length(x["m"])).alias("at"),
-            F.concat(a["out"], F.array(F.struct((a["at"] + F.length(x["p"]) + F.length(x["m"]) - F.length(x["v"])).alias("start"), (a["at"] + F.length(x["p"]) + F.length(x["m"])).alias("end"), x["v"].alias("value")))).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
+    parts = [found.alias("m"), F.split(text, pattern, -1).alias("p")] + ([F.regexp_extract_all(text, rx, F.lit(group)).alias("v")] if group else [])
+
+    def walk(acc: Column, x: Column) -> Column:
+        end = acc["at"] + F.length(x["p"]) + F.length(x["m"])
+        value = x["v"] if group else x["m"]
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct((end - F.length(value)).alias("start"), end.alias("end"), value.alias("value")))).alias("out"))
+
+    # The last of the parts between has no match behind it.
+    steps = F.filter(F.arrays_zip(*parts), lambda x: x["m"].isNotNull())
+    walked = F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("out")), walk, lambda a: a["out"])
     test = text.rlike(gate if gate is not None else pattern) if not isinstance(gate, Column) else gate
     return F.when(test, walked).otherwise(none)

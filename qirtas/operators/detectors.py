@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +20,9 @@ from ..functions.unicode_fold import fold_arabic_digits
 #: A keyword counts if it ends or starts at most so many characters from the number's other edge.
 REACH = 40
 
+#: Tests that are made once per text for all detectors that need them.
+SHARED = {"digit": D, "digits8": f"{D}{{8}}"}
+
 RAW = "array<struct<start:int,end:int,value:string,type:string>>"
 
 
@@ -31,6 +35,7 @@ class Detector:
     type: str | None = None  # the name, if not given
     keyword: str | None = None
     gate: str | None = None  # a cheaper test that any text with a match passes
+    needs: str | None = None  # the name of a test that several detectors share
     group: int = 0
     fold_digits: bool = False
     value: Callable[[Column], Column] | None = None  # from the matched text
@@ -40,13 +45,16 @@ class Detector:
     label: str = ""
     notes: str = ""
 
-    def raw(self, text: Column) -> Column:
+    def raw(self, text: Column, folded: Column | None = None, hints: dict[str, Column] | None = None) -> Column:
+        """array<struct<start, end, value, type>>; ``folded`` is the text with Arabic digits folded, where it isn't ``text``."""
         if self.custom is not None:
             return self.custom(text)
-        t = fold_arabic_digits(text) if self.fold_digits else text
+        t = (fold_arabic_digits(text) if folded is None else folded) if self.fold_digits else text
         gate = t.rlike(self.gate or self.pattern)
+        if self.needs and hints:
+            gate = hints[self.needs] if self.gate == SHARED[self.needs] else hints[self.needs] & gate
         if self.keyword:
-            gate = t.rlike(self.keyword) & gate
+            gate = gate & t.rlike(self.keyword)
         found = spans(t, self.pattern, self.group, gate)
         if self.keyword:
             near = spans(t, self.keyword, 0, gate)
@@ -78,51 +86,51 @@ def _word(x: str) -> str:
 
 
 NATIONAL_ID = Detector(
-    "saudi_national_id", "national_identifier", "high", f"{_NO_DIGIT_BEFORE}[12]{D}{{9}}{_NO_DIGIT_AFTER}", gate=f"[12]{D}{{9}}", fold_digits=True,
+    "saudi_national_id", "national_identifier", "high", f"{_NO_DIGIT_BEFORE}[12]{D}{{9}}{_NO_DIGIT_AFTER}", gate=f"[12]{D}{{9}}", needs="digits8", fold_digits=True,
     valid=checks.national_id_is_valid, type_of=lambda v: F.when(F.substring(v, 1, 1) == "2", "saudi_iqama").otherwise("saudi_national_id"),
     notes="check digit holds; no registry was asked",
 )
 IBAN = Detector(
-    "saudi_iban", "financial", "high", f"{_I}(?<![A-Z0-9])SA{D}{{2}}(?:{_SW}?[A-Z0-9]){{20}}(?![A-Z0-9])", gate=f"{_I}SA{D}{{2}}",
+    "saudi_iban", "financial", "high", f"{_I}(?<![A-Z0-9])SA{D}{{2}}(?:{_SW}?[A-Z0-9]){{20}}(?![A-Z0-9])", needs="digit", gate=f"{_I}SA{D}{{2}}",
     value=_compact, valid=lambda v: (F.length(v) == 24) & checks.iban_is_valid(v), notes="mod-97 check holds",
 )
-MOBILE = Detector("saudi_mobile", "contact", "medium", f"{_NO_DIGIT_BEFORE}{_PHONE}5{D}{{8}}{_NO_DIGIT_AFTER}", gate=f"5{D}{{8}}", fold_digits=True, notes="by format alone; mobile numbers have no check digit")
-LANDLINE = Detector("saudi_landline", "contact", "medium", f"{_NO_DIGIT_BEFORE}{_PHONE}1[1-7]{D}{{7}}{_NO_DIGIT_AFTER}", gate=f"1[1-7]{D}{{7}}", fold_digits=True, notes="by format alone; landlines have no check digit")
+MOBILE = Detector("saudi_mobile", "contact", "medium", f"{_NO_DIGIT_BEFORE}{_PHONE}5{D}{{8}}{_NO_DIGIT_AFTER}", gate=f"5{D}{{8}}", needs="digits8", fold_digits=True, notes="by format alone; mobile numbers have no check digit")
+LANDLINE = Detector("saudi_landline", "contact", "medium", f"{_NO_DIGIT_BEFORE}{_PHONE}1[1-7]{D}{{7}}{_NO_DIGIT_AFTER}", gate=f"1[1-7]{D}{{7}}", needs="digits8", fold_digits=True, notes="by format alone; landlines have no check digit")
 CR = Detector(
-    "saudi_cr", "organisation", "low", _TEN, gate=f"{D}{{10}}", fold_digits=True,
+    "saudi_cr", "organisation", "low", _TEN, gate=f"{D}{{10}}", needs="digits8", fold_digits=True,
     keyword=f"{_I}(?:C\\.?R\\.?|commercial{_SW}+registration|سجل{_SW}*تجاري|س\\.?ت\\.?)", notes="by format and keyword; no check digit is public",
 )
 VAT = Detector(
-    "saudi_vat", "financial", "medium", f"{_NO_DIGIT_BEFORE}{D}{{15}}{_NO_DIGIT_AFTER}", gate=f"{D}{{15}}", fold_digits=True,
+    "saudi_vat", "financial", "medium", f"{_NO_DIGIT_BEFORE}{D}{{15}}{_NO_DIGIT_AFTER}", gate=f"{D}{{15}}", needs="digits8", fold_digits=True,
     keyword=f"{_I}(?:VAT|TRN|tax{_SW}+(?:id|number|registration)|الرقم{_SW}*الضريبي|ضريب)", notes="by format and keyword; tax numbers have no public check digit",
 )
 PASSPORT = Detector(
-    "saudi_passport", "national_identifier", "low", f"(?<![A-Za-z0-9])[A-Za-z]{D}{{8}}(?![A-Za-z0-9])", gate=f"[A-Za-z]{D}{{8}}",
+    "saudi_passport", "national_identifier", "low", f"(?<![A-Za-z0-9])[A-Za-z]{D}{{8}}(?![A-Za-z0-9])", needs="digits8", gate=f"[A-Za-z]{D}{{8}}",
     keyword=f"{_I}(?:passport|جواز(?:{_SW}*سفر)?|رقم{_SW}*الجواز)", notes="by format and keyword; passports have no public check digit",
 )
 BORDER = Detector(
-    "saudi_border_number", "national_identifier", "low", _TEN, gate=f"{D}{{10}}", fold_digits=True,
+    "saudi_border_number", "national_identifier", "low", _TEN, gate=f"{D}{{10}}", needs="digits8", fold_digits=True,
     keyword=f"{_I}(?:border{_SW}*(?:no|number)|رقم{_SW}*الحدود|تأشير|visa{_SW}*(?:no|number))", notes="by format and keyword; given to visitors",
 )
 ADDRESS = Detector(
-    "saudi_national_address", "contact", "low", f"(?<![A-Za-z0-9])[A-Za-z]{{4}}{D}{{4}}(?![A-Za-z0-9])", gate=f"[A-Za-z]{{4}}{D}{{4}}",
+    "saudi_national_address", "contact", "low", f"(?<![A-Za-z0-9])[A-Za-z]{{4}}{D}{{4}}(?![A-Za-z0-9])", needs="digit", gate=f"[A-Za-z]{{4}}{D}{{4}}",
     keyword=f"{_I}(?:national{_SW}*address|short{_SW}*address|العنوان{_SW}*الوطني|الرمز{_SW}*البريدي|رمز{_SW}*المبنى)", notes="by format and keyword; a postal short address",
 )
 UNIFIED = Detector(
-    "saudi_unified_number", "organisation", "low", f"{_NO_DIGIT_BEFORE}7{D}{{9}}{_NO_DIGIT_AFTER}", gate=f"7{D}{{9}}", fold_digits=True,
+    "saudi_unified_number", "organisation", "low", f"{_NO_DIGIT_BEFORE}7{D}{{9}}{_NO_DIGIT_AFTER}", gate=f"7{D}{{9}}", needs="digits8", fold_digits=True,
     keyword=f"{_I}(?:unified{_SW}*(?:national{_SW}*)?number|الرقم{_SW}*الموحد|{_word('700')})", notes="by format and keyword; an establishment's number",
 )
 MRN = Detector(
     "medical_record_number", "sensitive_health", "low",
     f"{_I}(?:MRN|medical{_SW}+record(?:{_SW}+(?:no|number))?\\.?|رقم{_SW}*(?:ال)?(?:ملف|سجل)(?:{_SW}*(?:ال)?طبي)?|(?:ال)?سجل{_SW}*(?:ال)?طبي){_SW}*[:#\\-]?{_SW}*([A-Za-z0-9\\-]{{4,20}})",
-    group=1, gate=f"{_I}(?:MRN|medical|رقم|سجل)", notes="by keyword alone; record numbers have no common format, and this is health data",
+    group=1, gate="[mM](?:[rR][nN]|[eE][dD])|رقم|سجل", notes="by keyword alone; record numbers have no common format, and this is health data",
 )
 EMAIL = Detector("email", "contact", "medium", r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}", gate="@")
 CARD = Detector(
-    "credit_card", "financial", "high", f"{_NO_DIGIT_BEFORE}(?:{D}[ \\-]?){{12,18}}{D}{_NO_DIGIT_AFTER}", gate=f"{D}[ \\-]?{D}[ \\-]?{D}[ \\-]?{D}[ \\-]?{D}[ \\-]?{D}[ \\-]?{D}[ \\-]?{D}[ \\-]?{D}[ \\-]?{D}[ \\-]?{D}[ \\-]?{D}[ \\-]?{D}",
+    "credit_card", "financial", "high", f"{_NO_DIGIT_BEFORE}(?:{D}[ \\-]?){{12,18}}{D}{_NO_DIGIT_AFTER}", needs="digit", gate=f"(?:{D}[ \\-]?){{12}}{D}",
     value=_card, valid=lambda v: F.length(v).between(13, 19) & checks.luhn_is_valid(v), notes="Luhn check holds",
 )
-IP = Detector("ip_address", "network", "medium", f"(?<![{W}.])(?:{D}{{1,3}}(?:\\.{D}{{1,3}}){{3}}|[0-9A-Fa-f:]{{2,}}:[0-9A-Fa-f:]*)(?![{W}.])", gate=f"{D}\\.{D}|[0-9A-Fa-f:]{{2}}:", valid=checks.ip_is_valid)
+IP = Detector("ip_address", "network", "medium", f"(?<![{W}.])(?:{D}{{1,3}}(?:\\.{D}{{1,3}}){{3}}|[0-9A-Fa-f:]{{2,}}:[0-9A-Fa-f:]*)(?![{W}.])", gate=f"{D}\\.{D}|:[0-9A-Fa-f]{{0,4}}:", valid=checks.ip_is_valid)
 
 SAUDI = (NATIONAL_ID, IBAN, MOBILE, LANDLINE, CR, VAT, PASSPORT, BORDER, ADDRESS, UNIFIED, MRN)
 GENERIC = (EMAIL, CARD, IP)
@@ -132,12 +140,14 @@ GENERIC = (EMAIL, CARD, IP)
 _AR = "\u0621-\u063a\u0640-\u064a\u0671-\u06d3\u0750-\u077f\u08a0-\u08ff"
 _TOKEN = f"[{_AR}]{{2,}}"
 _STOP = (
-    "اليوم تمت تم في من إلى الى على عن قد كان هذا هذه الذي التي ثم حيث بعد قبل مع أو او قام راجع راجعنا وصل حضر غادر اليومين أمس غدا "
-    "المستشفى العيادة القسم الموعد الملف السجل المريض المراجع الموظف السيد السيدة الدكتور الدكتورة الطبيب طبيب اسم الهوية الإقامة "
-    "الاقامة الآيبان الايبان الجوال الرقم رقم الحساب العنوان التاريخ الجنسية"
+    "أمس أو إلى اسم الآيبان الإقامة الاقامة الايبان التاريخ التي الجنسية الجوال الحساب الدكتور "
+    "الدكتورة الذي الرقم السجل السيد السيدة الطبيب العنوان العيادة القسم المراجع المريض "
+    "المستشفى الملف الموظف الموعد الهوية الى اليوم اليومين او بعد تم تمت ثم حضر حيث راجع راجعنا "
+    "رقم طبيب على عن غادر غدا في قام قبل قد كان مع من هذا هذه وصل"
 ).split()
 _TRIGGER = (
-    f"(?:اسم{_SW}*(?:المريض|المراجع|الموظف)?|المريض|المراجع|السيد(?:ة)?|الدكتور(?:ة)?|د\\.{_SW}*|طبيب|الطبيب|patient{_SW}+name|name)"
+    # The alternatives begin differently, so their order doesn't matter.
+    f"(?:name|patient{_SW}+name|د\\.{_SW}*|ال(?:دكتورة?|سيدة?|طبيب|مراجع|مريض)|طبيب|اسم{_SW}*(?:ال(?:موظف|مراجع|مريض))?)"
     f"{_SW}*[:：\\-]?{_SW}*((?:{_TOKEN}{_SW}+){{0,3}}{_TOKEN})"
 )
 _PARTICLES = f"((?:{_TOKEN}{_SW}+)?(?:عبد{_SW}*[{_AR}]+|بن|بنت|آل|أبو|أم|ابن)(?:{_SW}+{_TOKEN}){{1,3}})"
@@ -152,14 +162,11 @@ def _names(text: Column) -> Column:
     found = F.concat(spans(text, _TRIGGER, 1, gate), spans(text, _PARTICLES, 1, gate))
     stop = "(?:" + "|".join(_STOP) + ")"
 
-    def trim(m: Column) -> Column:
-        head = F.regexp_replace(m["value"], f"(?:(?:^|[{S}]+){stop})+$", "")
-        lead = F.regexp_extract(head, f"^(?:{stop}(?:[{S}]+|$))*", 0)
-        name = F.substr(head, F.length(lead) + 1)
-        start = m["start"] + F.length(lead)
-        return F.struct(start.alias("start"), (start + F.length(name)).alias("end"), name.alias("value"), F.lit("arabic_name").alias("type"))
-
-    names = F.filter(F.transform(found, trim), lambda m: F.length(m["value"]) > 0)
+    # One step after the other, so that no step's expression is repeated in the next.
+    headed = F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.regexp_replace(m["value"], f"(?:(?:^|[{S}]+){stop})+$", "").alias("head")))
+    led = F.transform(headed, lambda m: F.struct(m["start"].alias("start"), m["head"].alias("head"), F.length(F.regexp_extract(m["head"], f"^(?:{stop}(?:[{S}]+|$))*", 0)).alias("lead")))
+    named = F.transform(led, lambda m: F.struct((m["start"] + m["lead"]).alias("start"), (m["start"] + F.length(m["head"])).alias("end"), F.substr(m["head"], m["lead"] + 1).alias("value"), F.lit("arabic_name").alias("type")))
+    names = F.filter(named, lambda m: m["end"] > m["start"])
     return F.aggregate(names, F.array().cast(RAW), lambda a, m: F.when(F.exists(a, lambda k: (k["start"] <= m["start"]) & (m["start"] < k["end"])), a).otherwise(F.concat(a, F.array(m))))
 
 
@@ -216,8 +223,6 @@ def discover(group: str = "qirtas.detectors") -> int:
 
 def from_function(name: str, function, type_: str = "custom", category: str = "national_identifier", confidence: str = "medium", label: str = "", notes: str = "") -> Detector:
     """A detector in Python: ``function(text)`` gives (start, end, value) triples. Runs as an Arrow UDF on whole batches."""
-    import pyarrow as pa
-
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("type", pa.string())]))
 
     def detect(text: pa.Array) -> pa.Array:

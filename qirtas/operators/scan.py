@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.unicode_fold import normalized, original_end, original_start
+from ..functions.unicode_fold import fold_arabic_digits, normalized, original_end, original_start
 from ..schema import CONFIDENCE_RANK, FINDINGS
-from .detectors import Detector, defaults
+from .detectors import SHARED, Detector, defaults
 
 
 def resolve(found: Column) -> Column:
@@ -26,7 +27,7 @@ def resolve(found: Column) -> Column:
     return F.array_sort(kept, lambda a, b: a["start"] - b["start"])
 
 
-def raw_findings(text: Column, src: Column, detectors: Sequence[Detector]) -> Column:
+def raw_findings(text: Column, src: Column, detectors: Sequence[Detector], folded: Column | None = None, hints: dict[str, Column] | None = None) -> Column:
     """All detectors' findings with their sort keys, in original offsets."""
 
     def row(k: int, rank: int):
@@ -36,10 +37,17 @@ def raw_findings(text: Column, src: Column, detectors: Sequence[Detector]) -> Co
 
         return make
 
-    parts = [F.transform(d.raw(text), row(k, -CONFIDENCE_RANK[d.confidence])) for k, d in enumerate(detectors)]
+    parts = [F.transform(d.raw(text, folded, hints), row(k, -CONFIDENCE_RANK[d.confidence])) for k, d in enumerate(detectors)]
     return F.concat(*parts)
 
 
+@lru_cache(maxsize=64)
+def _raw(detectors: tuple[Detector, ...], normalize: bool) -> Column:
+    """The findings over the staged columns; kept, since building thousands of nodes takes the driver seconds."""
+    text = F.col("_qirtas_norm.text")
+    return raw_findings(text, F.col("_qirtas_norm.src"), detectors, text if normalize else F.col("_qirtas_more.folded"), {k: F.col(f"_qirtas_more.{k}") for k in SHARED})
+
+
 def _finished(kept: Column, detectors: Sequence[Detector]) -> Column:
     said = F.array(*[F.struct(F.lit(d.category).alias("category"), F.lit(d.confidence).alias("confidence"), F.lit(d.name).alias("detector"), F.lit(d.notes).alias("notes"), F.lit(d.label).alias("label")) for d in detectors])
 
@@ -59,11 +67,13 @@ def with_findings(df: DataFrame, column: str = "text", detectors: Sequence[Detec
     if not detectors:
         return df.withColumn(name, F.when(F.col(column).isNotNull(), F.array().cast(FINDINGS)))
     norm = normalized(F.col(column)) if normalize else F.struct(F.col(column).alias("text"), F.lit(None).cast("array<int>").alias("src"))
-    out = _staged(df, "_qirtas_norm", norm)
-    out = _staged(out, "_qirtas_raw", raw_findings(F.col("_qirtas_norm.text"), F.col("_qirtas_norm.src"), detectors)).drop("_qirtas_norm")
+    # After normalization the Arabic digits are folded already.
+    more = [F.col("_qirtas_norm.text").rlike(rx).alias(k) for k, rx in SHARED.items()] + ([] if normalize else [fold_arabic_digits(F.col("_qirtas_norm.text")).alias("folded")])
+    out = _staged(_staged(df, "_qirtas_norm", norm), "_qirtas_more", F.struct(*more))
+    out = _staged(out, "_qirtas_raw", _raw(tuple(detectors), normalize)).drop("_qirtas_norm", "_qirtas_more")
     kept = F.when(F.size("_qirtas_raw") <= 1, F.col("_qirtas_raw")).otherwise(resolve(F.col("_qirtas_raw")))
     out = _staged(out, "_qirtas_kept", kept).drop("_qirtas_raw")
-    return out.withColumn(name, _finished(F.col("_qirtas_kept"), detectors)).drop("_qirtas_kept")
+    return out.withColumn(name, F.when(F.col(column).isNotNull(), _finished(F.col("_qirtas_kept"), detectors))).drop("_qirtas_kept")
 
 
 def _staged(df: DataFrame, name: str, value: Column) -> DataFrame:
