@@ -1,0 +1,48 @@
+"""Every query of the catalogue against its SQL, and the contract of the entry module."""
+
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
+import duckdb
+import pytest
+
+from qirtas.plans.queries import QUERIES, SQL
+
+ROOT = Path(__file__).resolve().parent.parent
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+@pytest.fixture(scope="module")
+def duck(sf):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query_equals_its_sql(spark, sf, duck, name):
+    df = QUERIES[name](spark, sf)
+    cur = duck.execute(SQL[name])
+    have = [d[0] for d in cur.description]
+    cols = sorted(df.columns)
+    assert cols == sorted(have)
+    got = sorted(tuple(str(r[c]) for c in cols) for r in df.collect())
+    assert got == sorted(tuple(str(r[have.index(c)]) for c in cols) for r in cur.fetchall())
+
+
+def test_entry_without_the_language_model_operators(tmp_path):
+    for p in ("qirtas", "__spark_entry__.py"):
+        (shutil.copytree if (ROOT / p).is_dir() else shutil.copy)(ROOT / p, tmp_path / p)
+    shutil.rmtree(tmp_path / "qirtas/llm", ignore_errors=True)
+    code = "import __spark_entry__ as e; q = e.queries(); assert q.keys() >= e.oracle_sql().keys() and 'scan_documents_summary' in q and not [x for x in q if x.startswith('op') and x[2:3].isdigit()]"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
+
+
+def test_entry(spark):
+    import __spark_entry__ as e
+
+    assert {r.entity_type for r in e.entry(spark).collect()} <= {"email", "ip_address", "credit_card"}
+    assert "qirtas.llm" not in (ROOT / "qirtas/plans/queries.py").read_text()
