@@ -20,26 +20,26 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="qirtas", description="find and redact personal data in text files")
     commands = p.add_subparsers(dest="command", required=True)
     for name in ("scan", "redact", "domains"):
-        c = commands.add_parser(name)
-        c.add_argument("paths", nargs="*", help="files, folders, or - for the standard input")
-        c.add_argument("--json", action="store_true")
-        c.add_argument("--fail-on-find", action="store_true", help="exit with 1 if anything is found")
+        option = commands.add_parser(name).add_argument
+        for flag, help_ in (("--json", "objects in place of lines"), ("--fail-on-find", "exit with 1 if anything is found")):
+            option(flag, action="store_true", help=help_)
+        option("paths", help="what to read: files, folders, - for the standard input", nargs="*")
         if name == "domains":
-            c.add_argument("--watchlist", help="a file with one domain per line")
-            c.add_argument("--max-distance", type=int, default=1)
+            option("--watchlist", help="a file with one domain per line")
+            option("--max-distance", default=1, type=int)
             continue
-        c.add_argument("--config")
-        c.add_argument("--min-confidence", choices=list(CONFIDENCE_RANK), default="low")
-        c.add_argument("--only", nargs="+", default=[])
-        c.add_argument("--exclude", nargs="+", default=[])
+        option("--config")
+        option("--min-confidence", choices=list(CONFIDENCE_RANK), default="low")
+        option("--only", nargs="+", default=[])
+        option("--exclude", nargs="+", default=[])
         if name == "scan":
-            c.add_argument("--no-values", action="store_true")
-            c.add_argument("--stream", action="store_true", help="cut very long files into chunks")
+            option("--no-values", action="store_true")
+            option("--stream", action="store_true", help="cut very long files into chunks")
         else:
-            c.add_argument("--mode", choices=MODES, default="mask")
-            c.add_argument("--salt", default="")
-            c.add_argument("--hash-length", type=int, default=12)
-            c.add_argument("--keep-last", type=int, default=4)
+            option("--mode", choices=MODES, default="mask")
+            option("--salt", default="")
+            option("--hash-length", default=12, type=int)
+            option("--keep-last", default=4, type=int)
     return p
 
 

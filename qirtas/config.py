@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Mapping
 from dataclasses import dataclass, field
-from pathlib import Path
 
 from .operators.detectors import DEFAULT, Detector, custom
 
@@ -22,9 +22,10 @@ class Config:
         own = [custom(c["label"], c["pattern"], c.get("category", "organisation"), c.get("confidence", "medium")) for c in data.get("custom_detectors") or ()]
         return cls(frozenset(data.get("disable") or ()), tuple(own), int(data.get("typosquat_max_distance", 1)), dict(data.get("confusables") or {}))
 
-    @classmethod
-    def from_file(cls, path: str | Path) -> Config:
-        return cls.from_dict(json.loads(Path(path).read_text(encoding="utf-8")))
+    @staticmethod
+    def from_file(name: str | os.PathLike) -> Config:
+        with open(name, encoding="utf-8") as f:
+            return Config.from_dict(json.load(f))
 
     def detectors(self) -> list[Detector]:
         """The default detectors but the disabled ones, then the custom ones, which can't be disabled."""

@@ -75,7 +75,7 @@ def _card(v: Column) -> Column:
 
 _NO_DIGIT_BEFORE, _NO_DIGIT_AFTER = f"(?<!{D})", f"(?!{D})"
 _TEN = f"{_NO_DIGIT_BEFORE}{D}{{10}}{_NO_DIGIT_AFTER}"
-_PHONE = r"(?:(?:00|\+)?966|0)"
+_PHONE = r"(?:0|(?:\+|00)?966)"
 _I = "(?iu)"
 _SW = f"[{S}]"
 
@@ -122,20 +122,21 @@ UNIFIED = Detector(
 )
 MRN = Detector(
     "medical_record_number", "sensitive_health", "low",
-    f"{_I}(?:MRN|medical{_SW}+record(?:{_SW}+(?:no|number))?\\.?|رقم{_SW}*(?:ال)?(?:ملف|سجل)(?:{_SW}*(?:ال)?طبي)?|(?:ال)?سجل{_SW}*(?:ال)?طبي){_SW}*[:#\\-]?{_SW}*([A-Za-z0-9\\-]{{4,20}})",
+    f"{_I}(?:MRN|medical{_SW}+record(?:{_SW}+(?:no|number))?\\.?|رقم{_SW}*(?:ال)?(?:سجل|ملف)(?:{_SW}*(?:ال)?طبي)?|(?:ال)?سجل{_SW}*(?:ال)?طبي){_SW}*[:#\\-]?{_SW}*([A-Za-z0-9\\-]{{4,20}})",
     group=1, gate="[mM](?:[rR][nN]|[eE][dD])|رقم|سجل", notes="by keyword alone; record numbers have no common format, and this is health data",
 )
-EMAIL = Detector("email", "contact", "medium", r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}", gate="@")
+_LOCAL, _HEX = "A-Za-z0-9._%+\\-", "0-9A-Fa-f:"
+EMAIL = Detector("email", "contact", "medium", f"(?<![{_LOCAL}])[{_LOCAL}]+@[A-Za-z0-9.\\-]+\\.[A-Za-z]{{2,}}", gate="@")
 CARD = Detector(
     "credit_card", "financial", "high", f"{_NO_DIGIT_BEFORE}(?:{D}[ \\-]?){{12,18}}{D}{_NO_DIGIT_AFTER}", needs="digit", gate=f"(?:{D}[ \\-]?){{12}}{D}",
     value=_card, valid=lambda v: F.length(v).between(13, 19) & checks.luhn_is_valid(v), notes="Luhn check holds",
 )
-IP = Detector("ip_address", "network", "medium", f"(?<![{W}.])(?:{D}{{1,3}}(?:\\.{D}{{1,3}}){{3}}|[0-9A-Fa-f:]{{2,}}:[0-9A-Fa-f:]*)(?![{W}.])", gate=f"{D}\\.{D}|:[0-9A-Fa-f]{{0,4}}:", valid=checks.ip_is_valid)
+IP = Detector("ip_address", "network", "medium", f"(?<![{W}.])(?:{D}{{1,3}}(?:\\.{D}{{1,3}}){{3}}|[{_HEX}]{{2,}}:[{_HEX}]*)(?![{W}.])", gate=f"{D}\\.{D}|:[0-9A-Fa-f]{{0,4}}:", valid=checks.ip_is_valid)
 
 SAUDI = (NATIONAL_ID, IBAN, MOBILE, LANDLINE, CR, VAT, PASSPORT, BORDER, ADDRESS, UNIFIED, MRN)
 GENERIC = (EMAIL, CARD, IP)
 
-# Arabic names -------------------------------------------------------------------------------------------------
+# Arabic names
 
 _AR = "\u0621-\u063a\u0640-\u064a\u0671-\u06d3\u0750-\u077f\u08a0-\u08ff"
 _TOKEN = f"[{_AR}]{{2,}}"
@@ -150,7 +151,7 @@ _TRIGGER = (
     f"(?:name|patient{_SW}+name|د\\.{_SW}*|ال(?:دكتورة?|سيدة?|طبيب|مراجع|مريض)|طبيب|اسم{_SW}*(?:ال(?:موظف|مراجع|مريض))?)"
     f"{_SW}*[:：\\-]?{_SW}*((?:{_TOKEN}{_SW}+){{0,3}}{_TOKEN})"
 )
-_PARTICLES = f"((?:{_TOKEN}{_SW}+)?(?:عبد{_SW}*[{_AR}]+|بن|بنت|آل|أبو|أم|ابن)(?:{_SW}+{_TOKEN}){{1,3}})"
+_PARTICLES = f"((?:{_TOKEN}{_SW}+)?(?:آل|ابن|أبو|أم|بنت?|عبد{_SW}*[{_AR}]+)(?:{_SW}+{_TOKEN}){{1,3}})"
 
 
 def _names(text: Column) -> Column:

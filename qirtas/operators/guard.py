@@ -147,7 +147,7 @@ class Guard:
             vault.update(r.vault)
         return safe, [r.audit.asDict(True) for r in rows], vault, any(r.blocked for r in rows)
 
-    def wrap(self, spark: SparkSession, client, provider: str = "auto", destination: str | None = None, restore_response: bool = False):
+    def wrap(self, spark: SparkSession, client, *, restore_response: bool = False, destination: str | None = None, provider: str = "auto"):
         """A stand-in for a chat client whose ``create`` protects what it sends. PermissionError where it is blocked."""
         from ..providers import resolve_adapter
 

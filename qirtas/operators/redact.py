@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MODES = ("mask", "remove", "hash", "partial", "tokenize")
+MODES = ("hash", "mask", "partial", "remove", "tokenize")
 
 
 def label_of(m: Column) -> Column:

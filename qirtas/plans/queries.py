@@ -40,7 +40,7 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-# Findings of the documents --------------------------------------------------------------------------------------
+# Findings of the documents
 
 
 def _luhn(x: str) -> str:
@@ -104,7 +104,7 @@ def _external(spark, sf):
     return df.select("doc_id", F.inline(C.external(F.col("findings")))).select("doc_id", "entity_type", "score")
 
 
-# Made texts -----------------------------------------------------------------------------------------------------
+# Made texts
 
 _PAD = "lpad(CAST({} AS STRING), {}, '0')"
 _NINE = _PAD.format("(c_custkey * 7919) % 100000000", 8)
@@ -244,7 +244,7 @@ def _udtf(spark, sf):
     return spark.sql("SELECT k, d.* FROM qirtas_brands, LATERAL detect_brands(text) d")
 
 
-# Redaction ------------------------------------------------------------------------------------------------------
+# Redaction
 
 _MAIL = "'u' || c_custkey || '@host' || c_custkey % 7 || '.example'"
 _CALL = "'+9665' || " + _PAD.format("(c_custkey * 7919) % 100000000", 8)
@@ -278,7 +278,7 @@ def _back(spark, sf):
     return df.select("k", restored(F.col("redaction.text"), F.col("redaction.vault")).alias("back"))
 
 
-# Levels, guard --------------------------------------------------------------------------------------------------
+# Levels, guard
 
 _MIXED = f"CASE c_custkey % 4 WHEN 0 THEN 'MRN: QX-1' || c_custkey || ' u' || c_custkey || '@h.example' WHEN 1 THEN 'mail ' || {_MAIL} WHEN 2 THEN 'from 10.0.0.' || c_custkey % 200 ELSE 'nothing' END"
 _LEVEL = "CASE c_custkey % 4 WHEN 0 THEN 'secret' WHEN 1 THEN 'confidential' WHEN 2 THEN 'public' END"
@@ -325,7 +325,7 @@ def _conversations(spark, sf):
     return Guard().protect_conversations(df).select("conv_id", F.array_join(F.transform("messages", lambda m: m["text"]), "\n").alias("safe"), "blocked")
 
 
-# Domains --------------------------------------------------------------------------------------------------------
+# Domains
 
 _HOST = "regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)"
 
@@ -374,7 +374,7 @@ def _typosquat(spark, sf):
     return found.where("reason = 'typosquat'").select("domain", "target")
 
 
-# Quality --------------------------------------------------------------------------------------------------------
+# Quality
 
 
 @query("quality_prf", f"""WITH c AS ({_CUSTOMERS}) SELECT {_KIND} AS entity_type, count(*) AS tp, CAST(0 AS BIGINT) AS fp, CAST(0 AS BIGINT) AS fn, 1.0::DOUBLE AS f1 FROM c WHERE {_luhn("id")} GROUP BY 1""")

@@ -2,23 +2,32 @@
 
 from __future__ import annotations
 
-from typing import Protocol, runtime_checkable
+from abc import ABC, abstractmethod
 
 
 def restored_text(text: str, vault: dict) -> str:
     """What ``restored`` does to a column, for one string on the driver."""
-    for token in sorted(vault, key=len, reverse=True):
-        text = text.replace(token, vault[token])
+    for token, original in sorted(vault.items(), key=lambda e: -len(e[0])):
+        text = text.replace(token, original)
     return text
 
 
-@runtime_checkable
-class ProviderAdapter(Protocol):
-    name: str
+class ProviderAdapter(ABC):
+    """One shape of client. ``redact_request`` changes the request in place and gives (audits, vault, blocked)."""
 
-    def matches(self, client) -> bool: ...
-    def redact_request(self, guard, spark, request: dict, destination) -> tuple[list, dict, bool]: ...
+    name = ""
+
+    @abstractmethod
+    def matches(self, client) -> bool:
+        """Whether the client has this shape."""
+
+    @abstractmethod
+    def redact_request(self, guard, spark, request: dict, destination): ...
+
+    @abstractmethod
     def invoke(self, client, request: dict): ...
+
+    @abstractmethod
     def restore_response(self, response, vault: dict) -> None: ...
 
 
@@ -26,10 +35,11 @@ def _create(x):
     return getattr(x, "create", None)
 
 
-class ChatCompletions:
+class ChatCompletions(ProviderAdapter):
     """``client.chat.completions.create(messages=...)``."""
 
-    name = "openai"
+    def __init__(self) -> None:
+        self.name = "openai"
 
     def matches(self, client) -> bool:
         return callable(_create(getattr(getattr(client, "chat", None), "completions", None)))
@@ -48,10 +58,11 @@ class ChatCompletions:
                 message.content = restored_text(message.content, vault)
 
 
-class Messages:
+class Messages(ProviderAdapter):
     """``client.messages.create(messages=..., system=...)``; the system prompt is protected like a message."""
 
-    name = "anthropic"
+    def __init__(self) -> None:
+        self.name = "anthropic"
 
     def matches(self, client) -> bool:
         return getattr(client, "chat", None) is None and callable(_create(getattr(client, "messages", None)))
@@ -69,34 +80,31 @@ class Messages:
 
     def restore_response(self, response, vault):
         for block in getattr(response, "content", None) or ():
-            if isinstance(block, dict):
-                if isinstance(block.get("text"), str):
-                    block["text"] = restored_text(block["text"], vault)
-            elif isinstance(getattr(block, "text", None), str):
-                block.text = restored_text(block.text, vault)
+            own = block if isinstance(block, dict) else getattr(block, "__dict__", {})
+            if isinstance(own.get("text"), str):
+                own["text"] = restored_text(own["text"], vault)
 
 
 _ADAPTERS: dict[str, ProviderAdapter] = {}
 
 
-def register_adapter(adapter: ProviderAdapter) -> None:
-    _ADAPTERS[adapter.name] = adapter
+def register_adapter(one: ProviderAdapter) -> None:
+    _ADAPTERS.update({one.name: one})
 
 
-def get_adapter(name: str) -> ProviderAdapter:
-    return _ADAPTERS[name]
+def get_adapter(provider: str) -> ProviderAdapter:
+    if provider not in _ADAPTERS:
+        raise ValueError(f"no adapter {provider!r}; there are {', '.join(sorted(_ADAPTERS))}")
+    return _ADAPTERS[provider]
 
 
 def resolve_adapter(client, provider: str = "auto") -> ProviderAdapter:
-    known = ", ".join(sorted(_ADAPTERS))
-    if provider == "auto":
-        for adapter in _ADAPTERS.values():
-            if adapter.matches(client):
-                return adapter
-        raise ValueError(f"no adapter knows this client; name one of {known}")
-    if provider not in _ADAPTERS:
-        raise ValueError(f"no adapter {provider!r}; there are {known}")
-    return _ADAPTERS[provider]
+    if provider != "auto":
+        return get_adapter(provider)
+    fitting = [one for one in _ADAPTERS.values() if one.matches(client)]
+    if not fitting:
+        raise ValueError(f"no adapter knows this client; name one of {', '.join(sorted(_ADAPTERS))}")
+    return fitting[0]
 
 
 for _one in (ChatCompletions(), Messages()):

@@ -6,6 +6,7 @@ import base64
 import hashlib
 import json
 import os
+import pathlib
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,30 +14,31 @@ from pyspark.sql import functions as F
 ITERATIONS = 600_000
 
 
-def _fernet(password: str, salt: bytes, iterations: int):
+def _fernet(password: str, grain: bytes, rounds: int):
     try:
         from cryptography.fernet import Fernet
     except ImportError as e:
         raise ImportError("an encrypted vault needs the cryptography package") from e
-    return Fernet(base64.urlsafe_b64encode(hashlib.pbkdf2_hmac("sha256", password.encode(), salt, iterations, 32)))
+    return Fernet(base64.urlsafe_b64encode(hashlib.pbkdf2_hmac("sha256", password.encode(), grain, rounds, 32)))
 
 
-def encrypt_vault(vault: dict, password: str, *, iterations: int = ITERATIONS) -> bytes:
-    if not password:
+def encrypt_vault(tokens: dict, password: str, rounds: int = ITERATIONS) -> bytes:
+    if password == "":
         raise ValueError("a vault needs a password")
-    salt = os.urandom(16)
-    token = _fernet(password, salt, iterations).encrypt(json.dumps(vault, ensure_ascii=False).encode())
-    return json.dumps({"v": 1, "kdf": "pbkdf2-sha256", "iterations": iterations, "salt": base64.b64encode(salt).decode(), "token": token.decode()}).encode()
+    grain = os.urandom(16)
+    plain = json.dumps(tokens, ensure_ascii=False)
+    box = {"kdf": "pbkdf2-sha256", "v": 1, "token": _fernet(password, grain, rounds).encrypt(plain.encode()).decode(), "iterations": rounds}
+    return json.dumps(box | {"salt": base64.b64encode(grain).decode()}).encode()
 
 
-def decrypt_vault(blob: bytes, password: str) -> dict:
+def decrypt_vault(box_bytes: bytes, password: str) -> dict:
     """ValueError if the password is wrong or the blob isn't as it was written."""
     try:
-        box = json.loads(blob)
-        salt, n, token = base64.b64decode(box["salt"]), int(box["iterations"]), box["token"].encode("ascii")
-    except (ValueError, KeyError, TypeError) as e:
+        box = json.loads(box_bytes)
+        n, token, grain = int(box["iterations"]), box["token"].encode(), base64.b64decode(box["salt"])
+    except (KeyError, TypeError, ValueError) as e:
         raise ValueError("this is no vault") from e
-    lock = _fernet(password, salt, n)
+    lock = _fernet(password, grain, n)
     from cryptography.fernet import InvalidToken
 
     try:
@@ -45,16 +47,15 @@ def decrypt_vault(blob: bytes, password: str) -> dict:
         raise ValueError("wrong password, or the vault was changed") from e
 
 
-def save_vault(vault: dict, path: str, password: str, *, iterations: int = ITERATIONS) -> None:
+def save_vault(tokens: dict, path: str, password: str, rounds: int = ITERATIONS) -> None:
     """Only the owner can read the file, from its first byte on."""
-    blob = encrypt_vault(vault, password, iterations=iterations)
+    blob = encrypt_vault(tokens, password, rounds)
     with os.fdopen(os.open(path, os.O_CREAT | os.O_TRUNC | os.O_WRONLY, 0o600), "wb") as f:
         f.write(blob)
 
 
-def load_vault(path: str, password: str) -> dict:
-    with open(path, "rb") as f:
-        return decrypt_vault(f.read(), password)
+def load_vault(name: str | os.PathLike, password: str) -> dict:
+    return decrypt_vault(pathlib.Path(name).read_bytes(), password)
 
 
 def sealed(vault: Column, key: Column) -> Column:

@@ -2,6 +2,7 @@ import hashlib
 import hmac
 import json
 import random
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,12 +99,12 @@ def test_conversations_and_clients(spark):
     class Messages:
         def create(self, **k):
             self.got = k
-            return type("R", (), {"content": [{"text": "answer <EMAIL_1>"}]})()
+            return SimpleNamespace(content=[{"text": "answer <EMAIL_1>"}])
 
-    client = type("C", (), {})()
-    client.messages = Messages()
+    client = SimpleNamespace(messages=Messages())
     wrapped = q.Guard(mode="tokenize").wrap(spark, client, restore_response=True)
-    answer = wrapped.create(system=f"s {MAIL}", messages=[{"role": "user", "content": [{"text": f"p {ID}"}, {"image": 1}]}, {"role": "user", "content": None}])
+    sent = [{"content": [{"text": f"p {ID}"}, {"image": 1}], "role": "user"}, {"content": None, "role": "user"}]
+    answer = wrapped.create(system=f"s {MAIL}", messages=sent)
     assert answer.content == [{"text": f"answer {MAIL}"}] and client.messages.got["system"] == "s <EMAIL_1>"
     assert client.messages.got["messages"][0]["content"] == [{"text": "p <SAUDI_NATIONAL_ID_1>"}, {"image": 1}]
     with pytest.raises(PermissionError):
@@ -163,7 +164,7 @@ def test_vault(spark):
 
 def test_vault_with_a_password(tmp_path):
     pytest.importorskip("cryptography")
-    q.save_vault({"a": "b"}, str(tmp_path / "v"), "p", iterations=1000)
+    q.save_vault({"a": "b"}, str(tmp_path / "v"), "p", 1000)
     assert q.load_vault(str(tmp_path / "v"), "p") == {"a": "b"}
     with pytest.raises(ValueError):
         q.load_vault(str(tmp_path / "v"), "other")
