@@ -195,9 +195,11 @@ def resolved(archives: DataFrame, compress: bool = True) -> DataFrame:
     place = F.struct(F.col("date"), "archive", "part", "position")
     # A partial aggregate by digest: a payload captured a million times costs one row per task here.
     first = known.where("kind = 'response'").groupBy("digest").agg(F.min_by(F.struct("archive", "part", "position", "uri", F.col("date"), "record_id"), place).alias("f"))
-    later = known.select("digest", "archive", "part", "position").join(first, "digest")
+    # Originals and references grow with the archives: merge joins at every size, no broadcast while they are few.
+    later = known.select("digest", "archive", "part", "position").join(first.hint("merge"), "digest")
     later = later.where("not (archive <=> f.archive and part <=> f.part and position = f.position)")
     refers = later.groupBy("archive", "part").agg(F.collect_list(F.struct("position", "f.uri", "f.date", "f.record_id")).alias("refers"))
+    refers = refers.hint("merge")
     one = archives.select("archive", "part", "warc").withColumnsRenamed({"archive": "in_archive", "part": "in_part"})
     joined = one.join(refers, one["in_archive"].eqNullSafe(refers["archive"]) & one["in_part"].eqNullSafe(refers["part"]), "left").select("in_archive", "in_part", "warc", "refers")
 
