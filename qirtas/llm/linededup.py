@@ -1,18 +1,21 @@
-"""Line dedup by winnowing over line hashes.
-
-A document is a sequence of line hashes. For every line there are two windows of at least ``min_words`` words:
-the shortest that starts at it and the shortest that ends at it. A window's fingerprint is the least line hash
-in it; being a minimum it is the same wherever the same lines stand, so a run of ``min_words`` words or more that
-occurs twice is guaranteed to share fingerprints. Positions are joined on the fingerprint together with a hash of
-all the window's lines, each with the first position of its kind, and the windows that start and end at every
-line extend the match both ways: their union is exactly the longest repeated run around each fingerprint,
-whichever earlier document it came from (pairwise extension from the first partner alone would stop short where
-that partner's run is shorter). Later runs are deleted; the first stays.
-
-Order: "first" is by (doc_id, hash of the text, line); null ids come first. Lines are compared stripped; blank
-lines count no words, never start or end a window, and go with the run around them. A line counts as repeated
-only as part of a run of at least ``min_words`` words, so short boilerplate alone stays. Where copies of a run
-overlap within one document, the lines of its first copy stay. Rows that repeat both id and text are one document
+"""Line dedup by winnowing over word hashes.
+
+A passage is a run of words, wherever in its lines it begins and ends. A word that lies in ``min_words`` consecutive
+words that stand earlier too, in another document or the same one, goes; the first stays.
+
+Of every window of ``min_words`` words the least hash of its runs of ``min_words // 2`` words is its fingerprint
+(winnowing): few per document, and the same wherever the same words stand, so a window whose fingerprint occurs once
+can't be repeated. The windows of fingerprints that occur again are joined on a hash of all their words, each with the
+first place of its kind. Windows start at every word, so their union extends each match word by word both ways,
+whichever earlier document a word came from (pairwise extension from the first partner alone would stop short where
+that partner's run is shorter). Which fingerprints occur again is told to the tasks as a bitmap of at most ``MAX_BITS``
+bits: a bit set by another fingerprint costs some windows more in the join and changes no result.
+
+Order: "first" is by (doc_id, hash of the text, word); null ids come first. Words are compared without the white space
+between them. A line all of whose words go is deleted, with the blank lines inside a run; of other lines the words that
+stay are kept with their spacing. Short boilerplate alone stays. Where copies of a window overlap within one document
+(a line or word over and over), what stays is the first copy up to the end of the line in which it ends; so a single
+line that repeats itself at a distance under ``min_words`` stays. Rows that repeat both id and text are one document
 and are edited alike. Null and empty texts come back as they are. A document all of whose lines go keeps its row
 with an empty text (``deduped`` leaves it out on request). Extra columns are kept; ``n_chars`` is set anew if
 there is one. No line, run or group of copies is too long or too frequent to be looked at.
@@ -20,6 +23,7 @@ there is one. No line, run or group of copies is too long or too frequent to be
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,68 +35,192 @@ from pyspark.sql import functions as F
 from .common import free_name, sliced, table, written
 
 MIN_WORDS = 50
+MAX_BITS = 1 << 29
+_SLICE = 1 << 20
+_BASE = 0x9E3779B97F4A7C15
+_NEVER = 2**31 - 1
 
 
-def windows(text: str, min_words: int) -> list[tuple[int, int, int, int]]:
-    """(fingerprint, content hash, first line, last line) of every window of ``text``."""
-    lines, at, hashes = [], [], []
-    for i, line in enumerate(text.split("\n")):
-        n = len(line.split())
-        if n:
-            at.append(i)
-            lines.append(n)
-            hashes.append(xxhash.xxh3_64_intdigest(line.strip()) >> 1)
-    upto = np.concatenate([[0], np.cumsum(lines)])
-    if upto[-1] < min_words:
-        return []
-    n = len(lines)
-    # Forward: the least e with upto[e] - upto[s] >= min_words; backward: the greatest s for each e.
-    ends = np.searchsorted(upto, upto[:n] + min_words, side="left")
-    starts = np.searchsorted(upto, upto[1:] - min_words, side="right") - 1
-    spans = {(s, int(e)) for s, e in enumerate(ends) if e <= n}
-    spans.update((int(s), e + 1) for e, s in enumerate(starts) if s >= 0)
-    raw = np.array(hashes, np.int64).tobytes()
-    return [(min(hashes[s:e]), xxhash.xxh3_64_intdigest(raw[8 * s : 8 * e]) - (1 << 63), at[s], at[e - 1]) for s, e in spans]
-
-
-def _windows(min_words: int):
+def _powers(n: int, base: int) -> np.ndarray:
+    """base ** (0 .. n - 1) modulo 2 ** 64."""
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+_POWER, _INVERSE = (_powers(1 << 15, x) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+
+
+def _hashes(upto: np.ndarray, inverse: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every run of ``size`` words."""
+    z = (upto[size:] - upto[:-size]) * inverse[: len(upto) - size]
+    z = (z ^ (z >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (z ^ (z >> np.uint64(29))).view(np.int64)
+
+
+def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
+    n, done = len(x) - width + 1, 1
+    while done * 2 <= width:
+        x = np.minimum(x[:-done], x[done:])
+        done *= 2
+    return np.minimum(x[:n], x[width - done : width - done + n])
+
+
+def windows(text: str, min_words: int, content: bool = True) -> tuple[np.ndarray, np.ndarray] | None:
+    """Fingerprint and hash of all words of the windows that start at each word (without ``content``: the hashes of the shorter runs)."""
+    words = text.split()
+    n = len(words)
+    if n < min_words:
+        return None
+    power, inverse = (_POWER, _INVERSE) if n <= len(_POWER) else (_powers(n, x) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+    upto = np.zeros(n + 1, np.uint64)
+    np.cumsum(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n) * power[:n], out=upto[1:])
+    size = max(1, min_words // 2)
+    short = _hashes(upto, inverse, size)
+    return _sliding_min(short, min_words - size + 1), _hashes(upto, inverse, min_words) if content else short
+
+
+def _fingerprints(min_words: int):
+    """Each document's fingerprints; n is 2 for one that stands in it more than once."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            out, times = [], []
+            for text in batch.column("text"):
+                if got := windows(text.as_py(), min_words, content=False):
+                    least, short = np.unique(got[0]), np.sort(got[1])
+                    out.append(least)
+                    times.append(1 + (np.searchsorted(short, least, "right") - np.searchsorted(short, least) > 1))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(np.concatenate(times), pa.int64())], names=["fingerprint", "n"])
+
+    return find
+
+
+def _bitmap(rows: pa.Table) -> pa.Table:
+    bits = np.zeros(_SLICE, bool)
+    bits[rows.column("bit").to_numpy() % _SLICE] = True
+    return pa.table({"slice": rows.column("slice").slice(0, 1), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+
+def _again(rows: DataFrame, min_words: int) -> np.ndarray:
+    """A bitmap of the fingerprints that occur more than once, by their low bits."""
+    found = rows.mapInArrow(_fingerprints(min_words), "fingerprint long, n long").groupBy("fingerprint").agg(F.sum("n").alias("n"))
+    found = written(found.where("n > 1").select("fingerprint"), "fingerprints")
+    size = min(MAX_BITS, max(_SLICE, 1 << (16 * found.count()).bit_length()))
+    bit = F.col("fingerprint").bitwiseAND(F.lit(size - 1))
+    slices = found.select(bit.alias("bit"), (bit / F.lit(_SLICE)).cast("int").alias("slice")).groupBy("slice").applyInArrow(_bitmap, "slice int, bits binary")
+    out = np.zeros(size // 8, np.uint8)
+    for r in slices.toLocalIterator():
+        out[r.slice * _SLICE // 8 : (r.slice + 1) * _SLICE // 8] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def _free_from(text: str, content: np.ndarray, min_words: int) -> np.ndarray:
+    """For every window the first word that may go where its document has later copies of it."""
+    n = len(content)
+    out = np.arange(min_words, min_words + n)
+    order = np.argsort(content, kind="stable")
+    near = (content[order[1:]] == content[order[:-1]]) & (np.diff(order) < min_words)
+    if near.any():
+        lap = np.union1d(order[1:][near], order[:-1][near])
+        starts = np.r_[np.cumsum([len(x.split()) for x in text.split("\n")]), _NEVER]
+        out[lap] = starts[np.searchsorted(starts[:-1], lap + min_words)]
+        out[out >= n + min_words - 1] = _NEVER
+    return out
+
+
+def _windows(min_words: int, again):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = again.value
+        mask = np.int64(8 * len(bits) - 1)
         for batch in sliced(batches):
-            out: list[tuple] = []
-            for doc, h, text in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "h", "text"))):
-                out += [(*w, doc, h) for w in windows(text, min_words)]
-            for lo in range(0, len(out), 200_000):
-                cols = list(zip(*out[lo : lo + 200_000]))
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), batch.schema.field("doc_id").type, pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["fingerprint", "content", "s", "e", "doc_id", "h"])
+            out, owner, held = [], [], 0
+
+            def flush() -> pa.RecordBatch:
+                who = pa.array(np.repeat(owner, [len(x[0]) for x in out]))
+                cols = [pa.array(np.concatenate(x), k) for x, k in zip(zip(*out), (pa.int32(), pa.int64(), pa.int32(), pa.int32()))]
+                return pa.RecordBatch.from_arrays([*cols, batch.column("doc_id").take(who), batch.column("h").take(who)], names=["fingerprint", "content", "s", "free", "doc_id", "h"])
+
+            for i, text in enumerate(batch.column("text")):
+                text = text.as_py()
+                got = windows(text, min_words)
+                if not got:
+                    continue
+                least, content = got
+                low = least & mask
+                s = np.flatnonzero(bits[low >> 3] >> (7 - (low & 7)).astype(np.uint8) & 1)
+                if len(s):
+                    free = _free_from(text, content, min_words)[s]
+                    out.append(((least[s] >> 32).astype(np.int32), content[s], s.astype(np.int32), free.astype(np.int32)))
+                    owner.append(i)
+                    held += len(s)
+                if held > 200_000:
+                    yield flush()
+                    out, owner, held = [], [], 0
+            if out:
+                yield flush()
 
     return find
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, h (hash of the text) and the line ranges that go, for each document that has some."""
+    """doc_id, h (hash of the text) and the ranges of words that go, for each document that has some."""
     rows = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("h"), "text")
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    found = written(rows.mapInArrow(_windows(min_words), f"fingerprint long, content long, s int, e int, doc_id {id_type}, h long"), "windows")
+    again = docs.sparkSession.sparkContext.broadcast(_again(rows.select("text"), min_words))
+    found = written(rows.mapInArrow(_windows(min_words, again), f"fingerprint int, content long, s int, free int, doc_id {id_type}, h long"), "windows")
     key = ["fingerprint", "content"]
-    place = F.struct("doc_id", "h", "s", "e")
     # A partial aggregate before the shuffle: a window that occurs a million times costs one row per task.
-    first = found.groupBy(*key).agg(F.min(place).alias("f"), F.max(F.struct("doc_id", "h", "s")).alias("l"))
-    first = first.where("struct(f.doc_id, f.h, f.s) < l").select(*key, "f")
+    first = found.groupBy(*key).agg(F.min(F.struct("doc_id", "h", "s", "free")).alias("f"), F.max(F.struct("doc_id", "h", "s", "free")).alias("l"))
+    first = first.where("f < l").select(*key, "f")
     same = F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("h") == F.col("f.h"))
-    later = found.join(first.hint("merge"), key).where(~(same & (F.col("s") == F.col("f.s"))))
-    later = later.withColumn("s", F.when(same, F.greatest("s", F.col("f.e") + 1)).otherwise(F.col("s"))).where("s <= e")
+    later = found.select(*key, "doc_id", "h", "s").join(first.hint("merge"), key).where(~(same & (F.col("s") == F.col("f.s"))))
+    later = later.withColumn("e", F.col("s") + (min_words - 1)).withColumn("s", F.when(same, F.greatest("s", "f.free")).otherwise(F.col("s"))).where("s <= e")
     return later.groupBy("doc_id", "h").agg(F.collect_set(F.struct("s", "e")).alias("runs"))
 
 
+def _edited(text: str, runs: np.ndarray) -> tuple[str, int, int]:
+    """``text`` without the words of ``runs`` (first, last), its lines, and how many of them went."""
+    runs = runs[np.argsort(runs[:, 0], kind="stable")]
+    last = np.maximum.accumulate(runs[:, 1])
+    new = np.flatnonzero(np.r_[True, runs[1:, 0] > last[:-1]])
+    first, last = runs[new, 0], last[np.r_[new[1:] - 1, len(runs) - 1]]
+    lines = text.split("\n")
+    kept, at, k = [], 0, 0
+    for line in lines:
+        n = len(line.split())
+        while k < len(first) and last[k] < at:
+            k += 1
+        if k == len(first) or first[k] >= at + n:
+            # A blank line goes with the run on both sides of it.
+            if n or k == len(first) or not first[k] < at <= last[k]:
+                kept.append(line)
+        else:
+            words = list(re.finditer(r"\S+", line))
+            stay = np.ones(n, bool)
+            j = k
+            while j < len(first) and first[j] < at + n:
+                stay[max(0, first[j] - at) : last[j] + 1 - at] = False
+                j += 1
+            if stay.any():
+                # Every word that stays, with the space after it; what came before the first word stays before it.
+                ends = [w.start() for w in words[1:]] + [len(line)]
+                cut = line[: words[0].start()] + "".join(line[w.start() : e] for w, e, x in zip(words, ends, stay) if x)
+                kept.append(cut if stay[-1] else cut.rstrip())
+        at += n
+    return "\n".join(kept), len(lines), len(lines) - len(kept)
+
+
 def _without(text: pa.Array, runs: pa.Array) -> pa.Array:
     out = []
-    for t, r in zip((x.as_py() for x in text), runs.to_pylist()):
-        lines = [] if t is None else t.split("\n")
-        go = np.zeros(len(lines), bool)
-        for x in r or ():
-            go[x["s"] : x["e"] + 1] = True
-        out.append({"text": t if t is None or not r else "\n".join([x for x, g in zip(lines, go) if not g]), "n_lines": len(lines), "n_deleted": int(go.sum())})
+    for t, r in zip(text, runs):
+        t = t.as_py()
+        if t is None or not r.is_valid or not len(r):
+            out.append({"text": t, "n_lines": 0 if t is None else t.count("\n") + 1, "n_deleted": 0})
+            continue
+        spans = np.stack([r.values.field(x).to_numpy() for x in ("s", "e")], axis=1)
+        out.append(dict(zip(("text", "n_lines", "n_deleted"), _edited(t, spans))))
     return pa.array(out, pa.struct([("text", pa.string()), ("n_lines", pa.int32()), ("n_deleted", pa.int32())]))
 
 

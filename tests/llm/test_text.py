@@ -279,6 +279,37 @@ def test_line_dedup_awkward(spark, docs_of, awkward):
     assert {r.doc_id for r in linededup.deduped(docs_of([(1, run), (2, run)]), drop_emptied=True).collect()} == {1}
 
 
+def words_left(rows, min_words):
+    """Brute force by words: every word of a run of ``min_words`` words that stands in an earlier document goes."""
+    seen, out = set(), {}
+    for doc, text in rows:
+        words = text.split()
+        own = [tuple(words[i : i + min_words]) for i in range(len(words) - min_words + 1)]
+        gone = {j for i, w in enumerate(own) if w in seen for j in range(i, i + min_words)}
+        seen |= set(own)
+        out[doc] = [w for j, w in enumerate(words) if j not in gone]
+    return out
+
+
+def test_line_dedup_inside_and_across_lines(spark, docs_of):
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(0, "before on the line " + " ".join(passage) + " and after"), (1, "other words " + " ".join(passage) + " follow\nlast line")]
+    rows += [(2, "intro " + " ".join(passage[:25]) + "\n" + " ".join(passage[25:55]) + " end"), (3, "x " + " ".join(passage[:49]) + " y")]
+    for d in range(4, 40):
+        words = [f"{d}w{i}" for i in range(rng.randint(0, 40))]
+        a = rng.randint(0, 20)
+        words += passage[a : a + rng.randint(20, 60)] + [f"{d}v{i}" for i in range(rng.randint(0, 40))]
+        rows.append((d, "".join(w + rng.choice(" \n" if rng.random() < 0.1 else " ") for w in words)))
+    got = {r.doc_id: r.text for r in linededup.deduped(docs_of(rows)).collect()}
+    assert got[0] == rows[0][1] and got[1] == "other words follow\nlast line" and got[2] == "intro\nend" and got[3] == rows[3][1]
+    assert {k: t.split() for k, t in got.items()} == words_left(rows, 50)
+    # A passage again further on in its own line, and a line that only repeats itself.
+    own = " ".join(passage) + " between " + " ".join(passage) + " end"
+    left = {r.doc_id: r.text for r in linededup.deduped(docs_of([(1, own), (2, "a b c " * 100), (3, "d e f " * 100 + "\n" + "d e f " * 100)])).collect()}
+    assert left == {1: " ".join(passage) + " between end", 2: "a b c " * 100, 3: "d e f " * 100}
+
+
 # Pipeline
 
 
