@@ -4,13 +4,13 @@ A text's fingerprint has 256 bits: the signs of the sum, over its distinct lower
 +1/-1 vector per word. Two texts are near copies if at most ``max_bits`` of the bits differ. The fingerprint is
 cut into eight blocks of 32 bits, and a binary trie over each block is joined with itself: pairs of nodes are
 traversed together, differing bits add up, and a pair of nodes is dropped once it exceeds the block's budget of
-``block_bits``. To spread the tries over the cluster, each block is cut again into ``block_bits + 1`` parts: two
-blocks within the budget agree in one part at least, so the subtries under each value of each part are joined
+``block_bits``. To spread the tries over the cluster, each block is cut again into ``block_bits + 2`` parts: two
+blocks within the budget agree in two parts at least, so the subtries under each value of each two parts are joined
 separately and nothing within the budget is missed. Leaves are checked on all 256 bits.
 
-The block budget is the one approximation: a pair within ``max_bits`` is missed if all eight blocks differ in
-more than ``block_bits`` bits (tests hold the recall against brute force). There is no cap on partners: texts
-with equal fingerprints are one node, pairs already known to be connected aren't compared again, and only a
+Of 44 differing bits one of the eight blocks has five at most, so with a block budget of five (``max_bits // 8``) no
+pair is missed; a lower ``block_bits`` misses pairs of which all eight blocks differ in more. There is no cap on
+partners: texts with equal fingerprints are one node, pairs already known to be connected aren't compared again, and only a
 spanning forest of each task's matches is shuffled. Groups are connected components; of each the document with
 the least id stays.
 
@@ -21,6 +21,7 @@ Empty tables give empty results. Other columns are left alone.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,8 @@ from pyspark.sql import functions as F
 from .common import free_name, sliced, table, written
 
 BITS, BLOCKS = 256, 8
-MAX_BITS, BLOCK_BITS = 44, 2
+MAX_BITS = 44
+BLOCK_BITS = MAX_BITS // BLOCKS
 _WORDS_AT_ONCE = 1 << 14
 _PAIRS_AT_ONCE = 1 << 20
 
@@ -71,26 +73,37 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _parts(block_bits: int) -> list[tuple[int, int]]:
-    """(shift, width) of each part of a block."""
-    n = block_bits + 1
+    """(shift, width) of each part of a block, highest first."""
+    n = block_bits + 2
     edges = [round(32 * k / n) for k in range(n + 1)]
     return [(32 - b, b - a) for a, b in zip(edges, edges[1:])]
 
 
+def _keys(block_bits: int) -> list[tuple[int, int, int, int]]:
+    """(shift, width, shift, width) of each two parts of a block, the higher part first."""
+    return [(*x, *y) for x, y in itertools.combinations(_parts(block_bits), 2)]
+
+
 def _spread(block_bits: int):
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sig = np.stack([batch.column(f"s{k}").to_numpy() for k in range(4)], axis=1)
             blocks = np.ascontiguousarray(sig).view(np.uint32)
             for b in range(BLOCKS):
-                for p, (shift, width) in enumerate(_parts(block_bits)):
-                    value = (blocks[:, b] >> np.uint32(shift)) & np.uint32((1 << width) - 1)
-                    key = value.astype(np.int64) | (b * 64 + p) << 32
+                for p, (s1, w1, s2, w2) in enumerate(_keys(block_bits)):
+                    high, low = (blocks[:, b] >> np.uint32(s) & np.uint32((1 << w) - 1) for s, w in ((s1, w1), (s2, w2)))
+                    key = (high << np.uint32(w2) | low).astype(np.int64) | (b << 10 | p) << 32
                     yield pa.RecordBatch.from_arrays([pa.array(key), *(batch.column(x) for x in ("node", "s0", "s1", "s2", "s3"))], names=["key", "node", "s0", "s1", "s2", "s3"])
 
     return spread
 
 
+def _cut(value: np.ndarray, shift: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """``value`` without ``width`` bits from ``shift`` on."""
+    shift, width = shift.astype(np.uint64), width.astype(np.uint64)
+    return value >> (shift + width) << shift | value & ((np.uint64(1) << shift) - np.uint64(1))
+
+
 def _product(alo, ahi, blo, bhi, same) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The pairs of positions of pairs of ranges, a bounded number at a time; of a range with itself, each pair once."""
     na, nb = ahi - alo, bhi - blo
@@ -173,21 +186,19 @@ class Forest:
 
 
 def matches(key: np.ndarray, sig: np.ndarray, block_bits: int, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the near copies among rows that share a key (block, part and its value)."""
+    """A spanning forest of the near copies among rows that share a key (block, two parts and their values)."""
     if not len(key):
         return np.zeros(0, int), np.zeros(0, int)
-    parts = _parts(block_bits)
+    keys = np.array(_keys(block_bits))
     blocks = np.ascontiguousarray(sig).view(np.uint32)
-    b, p = (key >> 38).astype(int), (key >> 32 & 63).astype(int)
+    b, p = (key >> 42).astype(int), (key >> 32 & 1023).astype(int)
+    s1, w1, s2, w2 = keys[p].T
     whole = blocks[np.arange(len(key)), b].astype(np.uint64)
-    shift, width = (np.array(x)[p] for x in zip(*parts))
-    low = whole & ((np.uint64(1) << shift.astype(np.uint64)) - np.uint64(1))
-    high = whole >> (shift + width).astype(np.uint64)
-    value = (high << shift.astype(np.uint64) | low).astype(np.uint32)  # the block without the part that all share
+    value = _cut(_cut(whole, s1, w1), s2, w2).astype(np.uint32)  # the block without the parts that all share
     order = np.lexsort((value, key))
     key, value, full = key[order], value[order], np.ascontiguousarray(sig[order]).view(np.uint64)
     forest = Forest(len(key))
-    for x, y in trie_pairs(key, value, 32 - min(w for _, w in parts), block_bits):
+    for x, y in trie_pairs(key, value, 32 - int((keys[:, 1] + keys[:, 3]).min()), block_bits):
         ok = forest.label[x] != forest.label[y]
         x, y = x[ok], y[ok]
         near = np.bitwise_count(full[x] ^ full[y]).sum(axis=1, dtype=np.int32) <= max_bits

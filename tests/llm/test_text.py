@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -111,6 +112,20 @@ def test_near_copies_against_all_pairs(spark, sf):
     assert want and len(want & got) >= 0.9 * len(want) and {d for d, _ in got} <= {d for d, _ in want}
 
 
+def test_no_near_copy_is_missed_at_any_distance():
+    rng = np.random.default_rng(3)
+    for distance in (20, 33, 36, 40, 44):
+        sig = rng.integers(0, 2, (600, neardup.BITS), dtype=np.uint8)
+        for i in range(0, 600, 2):
+            sig[i + 1] = sig[i]
+            sig[i + 1, rng.permutation(neardup.BITS)[:distance]] ^= 1
+        words = np.packbits(sig, axis=1).view(np.int64)
+        batch = pa.RecordBatch.from_arrays([pa.array(np.arange(600)), *(pa.array(words[:, k]) for k in range(4))], names=["node", "s0", "s1", "s2", "s3"])
+        spread = pa.Table.from_batches(neardup._spread(neardup.BLOCK_BITS)([batch])).sort_by("key").to_batches()
+        found = {(x, y) for b in neardup._joined(neardup.BLOCK_BITS, neardup.MAX_BITS)(spread) for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist())}
+        assert found == {(i, i + 1) for i in range(0, 600, 2)}, distance
+
+
 def test_near_dedup_awkward(spark, docs_of, awkward):
     base = " ".join(f"w{i}" for i in range(300))
     rows = [*awkward, (20, base), (21, base + " more"), (22, base), (None, base), (23, " ".join(f"v{i}" for i in range(300)))]
