@@ -61,49 +61,92 @@ class Record:
         return self.block.partition(b"\r\n\r\n")[2]
 
 
-def _plain(raw: bytes) -> bytes:
-    """Members that are gzipped, one after the other, as plain bytes; a broken member ends the reading."""
+_GZIP = b"\x1f\x8b"
+
+
+def _members(raw: bytes, at: int) -> tuple[bytes, int, bool]:
+    """The gzip members from ``at`` on as plain bytes, where they end, and whether all are sound; of a damaged one what can be read."""
     out = []
-    while raw[:2] == b"\x1f\x8b":
-        d = zlib.decompressobj(31)
+    while raw.startswith(_GZIP, at):
+        d, to = zlib.decompressobj(31), at
         try:
-            out.append(d.decompress(raw))
+            while not d.eof and to < len(raw):
+                out.append(d.decompress(raw[to : to + 65536]))
+                to += 65536
         except zlib.error:
-            break
-        raw = d.unused_data
-    return b"".join(out) if out else raw
+            pass
+        if not d.eof:
+            return b"".join(out), at + 2, False
+        at = min(to, len(raw)) - len(d.unused_data)
+    return b"".join(out), at, True
 
 
-def parse(raw: bytes) -> tuple[list[Record], int]:
-    """The records of an archive and the number of places that couldn't be read."""
-    raw = _plain(raw)
-    records, bad, at = [], 0, 0
+def _next(raw: bytes, at: int, members: bool) -> int:
+    """Where the next record begins, plain or (with ``members``) as a gzip member; -1 if there is none."""
+    plain = raw.find(b"WARC/1.", at)
+    while members and (at := raw.find(_GZIP + b"\x08", at, plain if plain >= 0 else len(raw))) >= 0:
+        try:
+            if zlib.decompressobj(31).decompress(raw[at : at + 4096], 7) == b"WARC/1.":
+                return at
+        except zlib.error:
+            pass
+        at += 1
+    return plain
+
+
+def _records(raw: bytes, at: int, members: bool) -> tuple[list[Record], int, int]:
+    """The plain records from ``at`` up to a gzip member, the number of unreadable places, and where it ended."""
+    records, bad = [], 0
     while at < len(raw):
         if not raw.startswith(b"WARC/1.", at):
-            nxt = raw.find(b"WARC/1.", at)
-            bad += bool(raw[at : nxt if nxt >= 0 else None].strip())
+            nxt = _next(raw, at, members)
+            bad += bool(raw[at : nxt if nxt >= 0 else None].strip(b"\0 \t\r\n\v\f"))
             if nxt < 0:
                 break
             at = nxt
+            if raw.startswith(_GZIP, at):
+                return records, bad, at
         end = raw.find(b"\r\n\r\n", at)
-        if end < 0:
-            bad += 1
-            break
-        lines = raw[at:end].decode("utf-8", "replace").split("\r\n")[1:]
-        r = Record([(k.strip(), v.strip()) for k, s, v in (x.partition(":") for x in lines) if s], b"")
-        size = r.get("Content-Length") or ""
+        size = ""
+        if end >= 0:
+            lines = raw[at:end].decode("utf-8", "replace").split("\r\n")[1:]
+            r = Record([(k.strip(), v.strip()) for k, s, v in (x.partition(":") for x in lines) if s], b"")
+            size = r.get("Content-Length") or ""
         if not size.isdecimal() or end + 4 + int(size) > len(raw):
             bad += 1
-            nxt = raw.find(b"WARC/1.", at + 7)
-            if nxt < 0:
+            nxt = _next(raw, at + 7, members)
+            if nxt < 0 or end < 0 and not raw.startswith(_GZIP, nxt):
                 break
             at = nxt
+            if raw.startswith(_GZIP, at):
+                return records, bad, at
             continue
         r.block = raw[end + 4 : end + 4 + int(size)]
         records.append(r)
         at = end + 4 + int(size)
         while raw.startswith(b"\r\n", at):
             at += 2
+        if members and raw.startswith(_GZIP, at):
+            return records, bad, at
+    return records, bad, len(raw)
+
+
+def parse(raw: bytes) -> tuple[list[Record], int]:
+    """The records of an archive and the number of places that couldn't be read."""
+    records, bad, at = [], 0, 0
+    while at < len(raw):
+        if raw.startswith(_GZIP, at):
+            plain, at, sound = _members(raw, at)
+            got, n, _ = _records(plain, 0, False)
+            # A record that the damage cut short is the damaged place itself.
+            n = n if sound else max(n, 1)
+            if not sound:
+                nxt = _next(raw, at, True)
+                at = nxt if nxt >= 0 else len(raw)
+        else:
+            got, n, at = _records(raw, at, True)
+        records += got
+        bad += n
     return records, bad
 
 

@@ -149,6 +149,20 @@ def test_warc_round_trip_and_junk():
     assert warc.parse(b"WARC/1.0\r\nContent-Length: x\r\n\r\n" + raw)[1] == 1
 
 
+def test_warc_goes_on_after_a_damaged_member():
+    import gzip
+
+    one = [warc.render(warc.Record([("WARC-Type", "metadata")], b"block %d " % i * 50)) for i in range(4)]
+    a, b, c, d = (gzip.compress(x) for x in one)
+    hurt = b[:20] + bytes(x ^ 255 for x in b[20:40]) + b[40:]
+    blocks = lambda raw: ([x.block[:7] for x in warc.parse(raw)[0]], warc.parse(raw)[1])
+    assert blocks(a + hurt + c + d) == ([b"block 0", b"block 2", b"block 3"], 1)
+    assert blocks(a + hurt + one[2] + d) == ([b"block 0", b"block 2", b"block 3"], 1)
+    assert blocks(a + bytes(16) + b + b"\r\n" + c) == ([b"block 0", b"block 1", b"block 2"], 0)
+    assert blocks(a + one[1] + c + one[3]) == ([b"block 0", b"block 1", b"block 2", b"block 3"], 0)
+    assert blocks(a + b"junk" + b) == ([b"block 0", b"block 1"], 1)
+
+
 def brute_warc(archives):
     """Kind of every record after resolution, by (archive, part, position)."""
     recs = [(a, p, i, r) for a, p, raw in archives for i, r in enumerate(warc.parse(raw)[0])]
