@@ -186,6 +186,15 @@ def test_language_accuracy_and_rejection(spark):
     assert sum(who.judge(noise)[2]) <= 2
 
 
+def test_a_length_class_with_one_row_limits_no_other():
+    # One short row of low entropy, forty long ones above it; a class between and one beyond have no rows.
+    m = np.r_[4, np.full(40, 6), np.full(40, 7)]
+    e = np.r_[1.8, np.linspace(2.2, 2.6, 40), np.linspace(2.1, 2.5, 40)]
+    limits = langid.limits_of(np.zeros(81, int), m, e, 1, langid.QUANTILE, langid.MARGIN)[0]
+    assert limits[6] == pytest.approx(2.6 + langid.MARGIN) and limits[7] == pytest.approx(2.5 + langid.MARGIN)
+    assert limits[4] == limits[5] == limits[6] and limits[8] == limits[12] == limits[7] and limits[3] == limits[4] + langid.EASE
+
+
 def test_language_awkward(spark, docs_of, awkward):
     docs = docs_of([*awkward, *((100 + i, f"these are english words number {i}", "en") for i in range(30)), *((200 + i, f"dies sind deutsche wörter nummer {i}", "de") for i in range(30))])
     got = langid.identify(docs).collect()
