@@ -50,10 +50,14 @@ def _luhn(x: str) -> str:
 
 
 _OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+#: A card is the longest sequence of whole groups of digits, one space or hyphen between, from a group on that has 13 to 19 digits; the search goes on behind it.
 _FOUND = f"""
-WITH email AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}')) AS value FROM documents),
-run AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[0-9](?:[ -]?[0-9])*')), ' -', '') AS value FROM documents),
-card AS (SELECT * FROM run WHERE length(value) BETWEEN 13 AND 19 AND {_luhn("value")}),
+WITH RECURSIVE email AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}')) AS value FROM documents),
+run AS (SELECT doc_id, row_number() OVER () AS r, string_split_regex(v, '[ -]') AS g FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9](?:[ -]?[0-9])*')) AS v FROM documents) WHERE length(v) >= 13),
+step AS (SELECT doc_id, r, g, CAST(0 AS BIGINT) AS i, CAST(NULL AS STRING) AS value FROM run
+  UNION ALL SELECT doc_id, r, g, i + coalesce(n, 1), CASE WHEN n IS NOT NULL THEN array_to_string(g[i + 1:i + n], '') END
+  FROM (SELECT *, list_max(list_filter(range(1, least(19, len(g) - i) + 1), lambda k: length(array_to_string(g[i + 1:i + k], '')) BETWEEN 13 AND 19)) AS n FROM step WHERE i < len(g))),
+card AS (SELECT doc_id, value FROM step WHERE value IS NOT NULL AND {_luhn("value")}),
 token AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_.]+')) AS value FROM documents),
 ip AS (SELECT * FROM token WHERE regexp_full_match(value, '{_OCTET}(\\.{_OCTET}){{3}}')),
 found AS (SELECT 'email' AS entity_type, 'contact' AS category, 'medium' AS confidence, * FROM email
