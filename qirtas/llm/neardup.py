@@ -1,27 +1,28 @@
 """SimHash near-dedup by a self-join of binary tries.
 
 A text's fingerprint has 256 bits: the signs of the sum, over its distinct lower-cased words, of a pseudo-random
-+1/-1 vector per word. Two texts are near copies if at most ``max_bits`` of the bits differ. The fingerprint is
-cut into eight blocks of 32 bits, and a binary trie over each block is joined with itself: pairs of nodes are
-traversed together, differing bits add up, and a pair of nodes is dropped once it exceeds the block's budget of
-``block_bits``. To spread the tries over the cluster, each block is cut again into ``block_bits + 2`` parts: two
-blocks within the budget agree in two parts at least, so the subtries under each value of each two parts are joined
-separately and nothing within the budget is missed. Leaves are checked on all 256 bits.
-
-Of 44 differing bits one of the eight blocks has five at most, so with a block budget of five (``max_bits // 8``) no
-pair is missed; a lower ``block_bits`` misses pairs of which all eight blocks differ in more. There is no cap on
-partners: texts with equal fingerprints are one node, pairs already known to be connected aren't compared again, and only a
-spanning forest of each task's matches is shuffled. Groups are connected components; of each the document with
-the least id stays.
-
-Cases: null texts and texts without a word are in no group and stay. Rows with the same id and text are one
-document and stay or go together. A null id loses against any other; a group of null ids only stays whole.
-Empty tables give empty results. Other columns are left alone.
++1/-1 vector per word. Two texts are linked if at most ``max_bits`` of the bits differ. The fingerprint is cut into
+blocks, a little narrower than the logarithm of the number of fingerprints, and block k has an error budget t(k) with
+sum(t(k) + 1) = max_bits + 1: were every block over its budget, more than ``max_bits`` bits would differ. So no link
+is missed if each block's values are joined within its budget. For that a binary trie over a block is joined with
+itself: pairs of nodes are traversed together, differing bits add up, and a pair of nodes is dropped once it exceeds the
+block's budget. Leaves are checked on all 256 bits; a link counts in the first block that finds it.
+
+A trie is spread over the cluster by its upper nodes: a node with more than ``group`` fingerprints is split into its
+children, and (behind ``_DEEPEST`` levels, as where a third of all share a block's value) by a hash; pairs of such nodes
+that are within the budget are one task each. Their number comes from counts of the upper nodes alone. Texts with equal
+fingerprints are one node. There is no cap on partners; only a spanning forest and the sums of each task's links are
+shuffled. Classes are connected components; the least id of a class names it and stays.
+
+Cases: null texts and texts without a word have no links and are a class of their own. Rows with the same id and text are
+one document and stay or go together. A null id loses against any other; a class of null ids only stays whole and has
+no name. Empty tables give empty results. Other columns are left alone.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,11 +33,15 @@ from pyspark.sql import functions as F
 
 from .common import free_name, sliced, table, written
 
-BITS, BLOCKS = 256, 8
+BITS = 256
 MAX_BITS = 44
-BLOCK_BITS = MAX_BITS // BLOCKS
+#: Fingerprints of an upper node of a trie, of which a task holds two.
+GROUP = 1 << 20
+_DEEPEST = 12
+_SELF = 2  # the side of a part that is joined with itself
+_SIG = ["s0", "s1", "s2", "s3"]
 _WORDS_AT_ONCE = 1 << 14
-_PAIRS_AT_ONCE = 1 << 20
+_CELLS, _LEAF = 1 << 15, 16
 
 
 def _vectors(hashes: np.ndarray) -> np.ndarray:
@@ -64,109 +69,211 @@ def fingerprint(text: str) -> np.ndarray | None:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fingerprints, null for texts without words."""
     for batch in sliced(batches):
         sigs = [None if t is None else fingerprint(t) for t in batch.column("text").to_pylist()]
-        keep = np.array([s is not None for s in sigs], bool)
-        got = np.array([s for s in sigs if s is not None], np.uint64).reshape(-1, 4).view(np.int64)
-        part = batch.filter(pa.array(keep))
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), *(pa.array(got[:, k]) for k in range(4))], names=["doc_id", "h", "s0", "s1", "s2", "s3"])
+        none = np.array([s is None for s in sigs], bool)
+        got = np.array([np.zeros(4, np.uint64) if s is None else s for s in sigs], np.uint64).reshape(-1, 4).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), *(pa.array(got[:, k], mask=none) for k in range(4))], names=["doc_id", "h", *_SIG])
 
 
-def _parts(block_bits: int) -> list[tuple[int, int]]:
-    """(shift, width) of each part of a block, highest first."""
-    n = block_bits + 2
-    edges = [round(32 * k / n) for k in range(n + 1)]
-    return [(32 - b, b - a) for a, b in zip(edges, edges[1:])]
+def blocks_of(n: int, max_bits: int) -> list[tuple[int, int, int]]:
+    """First bit, width and error budget of each block for ``n`` fingerprints."""
+    width = min(32, max(10, math.log2(max(n, 2)) - 2.5))
+    count = max(math.ceil(BITS / 32), min(max_bits + 1, round(BITS / width)))
+    edges = [round(BITS * k / count) for k in range(count + 1)]
+    budget, more = divmod(max_bits + 1, count)
+    return [(a, b - a, budget - (k >= more)) for k, (a, b) in enumerate(zip(edges, edges[1:])) if budget - (k >= more) >= 0]
 
 
-def _keys(block_bits: int) -> list[tuple[int, int, int, int]]:
-    """(shift, width, shift, width) of each two parts of a block, the higher part first."""
-    return [(*x, *y) for x, y in itertools.combinations(_parts(block_bits), 2)]
+def _values(sig: np.ndarray, first: int, width: int) -> np.ndarray:
+    """``width`` bits of each fingerprint from bit ``first`` on, as a number."""
+    words = sig.view(np.uint64)
+    w, at = divmod(first, 64)
+    out = words[:, w] >> np.uint64(at)
+    if at + width > 64:
+        out = out | words[:, w + 1] << np.uint64(64 - at)
+    return (out & np.uint64((1 << width) - 1)).astype(np.uint32)
 
 
-def _spread(block_bits: int):
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sigs(batch: pa.RecordBatch) -> np.ndarray:
+    return np.ascontiguousarray(np.stack([batch.column(x).to_numpy() for x in _SIG], axis=1)).view(np.uint64)
+
+
+def _upper(blocks: list[tuple[int, int, int]]):
+    """Counts of each block's upper nodes in a partition."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [np.zeros(1 << min(w, _DEEPEST), np.int64) for _, w, _ in blocks]
         for batch in batches:
-            sig = np.stack([batch.column(f"s{k}").to_numpy() for k in range(4)], axis=1)
-            blocks = np.ascontiguousarray(sig).view(np.uint32)
-            for b in range(BLOCKS):
-                for p, (s1, w1, s2, w2) in enumerate(_keys(block_bits)):
-                    high, low = (blocks[:, b] >> np.uint32(s) & np.uint32((1 << w) - 1) for s, w in ((s1, w1), (s2, w2)))
-                    key = (high << np.uint32(w2) | low).astype(np.int64) | (b << 10 | p) << 32
-                    yield pa.RecordBatch.from_arrays([pa.array(key), *(batch.column(x) for x in ("node", "s0", "s1", "s2", "s3"))], names=["key", "node", "s0", "s1", "s2", "s3"])
+            sig = _sigs(batch)
+            for k, (first, w, _) in enumerate(blocks):
+                deep = min(w, _DEEPEST)
+                total[k] += np.bincount(_values(sig, first, w) >> np.uint32(w - deep), minlength=1 << deep)
+        for k, n in enumerate(total):
+            some = np.flatnonzero(n)
+            yield pa.RecordBatch.from_pydict({"block": pa.array([k] * len(some), pa.int32()), "top": pa.array(some, pa.int32()), "n": pa.array(n[some])})
 
-    return spread
+    return count
 
 
-def _cut(value: np.ndarray, shift: np.ndarray, width: np.ndarray) -> np.ndarray:
-    """``value`` without ``width`` bits from ``shift`` on."""
-    shift, width = shift.astype(np.uint64), width.astype(np.uint64)
-    return value >> (shift + width) << shift | value & ((np.uint64(1) << shift) - np.uint64(1))
+def cells_of(counts: np.ndarray, width: int, budget: int, group: int) -> tuple[np.ndarray, np.ndarray, list[list[tuple[int, int]]]]:
+    """How a block's trie is spread, from the counts of its nodes ``_DEEPEST`` levels down (or as deep as it is).
 
+    Gives for each such node its first cell part, the number of parts that a hash deals it to, and for each part the
+    (cell, side) that it takes part in; a cell is a pair of parts within the budget, or one part with itself.
+    """
+    deep = len(counts).bit_length() - 1
+    upto = np.r_[0, np.cumsum(counts)]
+    tops, todo = [], [(0, 0)]
+    while todo:  # depth first, so nodes come in order
+        prefix, length = todo.pop()
+        lo, hi = prefix << (deep - length), (prefix + 1) << (deep - length)
+        n = int(upto[hi] - upto[lo])
+        if n > group and length < deep:
+            todo += [(prefix * 2 + 1, length + 1), (prefix * 2, length + 1)]
+        elif n:
+            tops.append((prefix, length, lo, hi, max(1, -(-n // group))))
+    part, parts = np.zeros(1 << deep, np.int64), np.ones(1 << deep, np.int64)
+    nodes = []
+    for prefix, length, lo, hi, s in tops:
+        part[lo:hi], parts[lo:hi] = len(nodes), s
+        nodes += [(prefix, length)] * s
+    prefix, length = (np.array([x[k] for x in nodes], np.int64).reshape(-1) for k in (0, 1))
+    takes: list[list[tuple[int, int]]] = [[] for _ in nodes]
+    cell = 0
+    for i in range(len(nodes)):
+        common = np.minimum(length[i], length[i:])
+        far = np.bitwise_count((prefix[i] >> (length[i] - common)) ^ (prefix[i:] >> (length[i:] - common)))
+        for j in (i + np.flatnonzero(far <= budget)).tolist():
+            takes[i].append((cell, 0 if j != i else _SELF))
+            if j != i:
+                takes[j].append((cell, 1))
+            cell += 1
+    return part, parts, takes
+
+
+def _spread(blocks: list[tuple[int, int, int]], cells):
+    """Every fingerprint to the cells of its upper nodes; a cell's key has the block above 2 ** 40."""
 
-def _product(alo, ahi, blo, bhi, same) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The pairs of positions of pairs of ranges, a bounded number at a time; of a range with itself, each pair once."""
-    na, nb = ahi - alo, bhi - blo
-    size = na * nb
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sig, node = _sigs(batch), batch.column("node").to_numpy()
+            for k, (first, w, _) in enumerate(blocks):
+                part, parts, takes = cells.value[k]
+                top = _values(sig, first, w) >> np.uint32(w - min(w, _DEEPEST))
+                mine = part[top] + (node.view(np.uint64) >> np.uint64(8)).astype(np.int64) % parts[top]
+                for p in np.unique(mine).tolist():
+                    own = batch.filter(pa.array(mine == p))
+                    for cell, side in takes[p]:
+                        n = own.num_rows
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k << 40 | cell)), pa.array(np.full(n, side, np.int8)), *own.columns], names=["key", "side", *own.schema.names])
+
+    return spread
+
+
+def _runs(size: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of at least one element whose sizes sum up to ``most`` at most, where there are several."""
+    upto = np.r_[0, np.cumsum(size)]
     lo = 0
     while lo < len(size):
-        if size[lo] > _PAIRS_AT_ONCE:  # one pair of large leaves: row by row
-            step = max(1, _PAIRS_AT_ONCE // int(nb[lo]))
-            for i in range(int(alo[lo]), int(ahi[lo]), step):
-                rows = np.arange(i, min(i + step, int(ahi[lo])))
-                x, y = np.repeat(rows, nb[lo]), np.tile(np.arange(blo[lo], bhi[lo]), len(rows))
-                ok = x < y if same[lo] else np.ones(len(x), bool)
-                yield x[ok], y[ok]
-            lo += 1
-            continue
-        hi = max(lo + 1, int(np.searchsorted(np.cumsum(size[lo:]), _PAIRS_AT_ONCE, side="right")) + lo)
-        s = size[lo:hi]
-        at = np.repeat(np.arange(lo, hi), s)
-        k = np.arange(int(s.sum())) - np.repeat(np.cumsum(s) - s, s)
-        x, y = alo[at] + k // nb[at], blo[at] + k % nb[at]
-        ok = ~same[at] | (x < y)
-        yield x[ok], y[ok]
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + most, side="right")) - 1)
+        yield lo, hi
         lo = hi
 
 
-def trie_pairs(group: np.ndarray, value: np.ndarray, width: int, budget: int, leaf: int = 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidate pairs of positions: same group, and values (of ``width`` bits) that differ in at most ``budget`` bits.
+def _batched(leaves: Iterator[tuple[np.ndarray, ...]], most: int = 1 << 16) -> Iterator[tuple[np.ndarray, ...]]:
+    held, n = [], 0
+    for x in leaves:
+        held.append(x)
+        n += len(x[0])
+        if n >= most:
+            yield tuple(map(np.concatenate, zip(*held)))
+            held, n = [], 0
+    if held:
+        yield tuple(map(np.concatenate, zip(*held)))
 
-    Positions must be sorted by (group, value). Each group is the root of a binary trie whose nodes are ranges of
-    positions. Small pairs of nodes are given out unsplit, so a few candidates may exceed the budget.
+
+def trie_pairs(value: np.ndarray, width: int, budget: int, cut: int | None = None, leaf: int = _LEAF) -> Iterator[tuple[np.ndarray, ...]]:
+    """Pairs of leaves that hold all pairs of positions whose values (of ``width`` bits) differ in at most ``budget`` bits.
+
+    ``value`` is sorted, or sorted up to ``cut`` and from there on: then pairs are of one from each side. Both are the
+    roots of binary tries whose nodes are ranges of positions; leaves are those of at most ``leaf`` positions, cut up
+    where equal values make them longer. Gives begin and end of the first and of the second leaf of each pair.
     """
-    n = len(group)
-    lo = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if n else np.zeros(0, np.int64)
-    hi = np.r_[lo[1:], n]
-    big = hi - lo > 1
-    todo = [(width, lo[big], hi[big], lo[big], hi[big], np.zeros(int(big.sum()), np.int8))]
+    n = len(value)
+    a, b = ((0, n), (0, n)) if cut is None else ((0, cut), (cut, n))
+    one = lambda x: np.array([x], np.int64)
+    todo = [(width, one(a[0]), one(a[1]), one(b[0]), one(b[1]), np.zeros(1, np.int8))] if a[1] > a[0] and b[1] > b[0] else []
     ones: dict[int, np.ndarray] = {}
     while todo:
         d, alo, ahi, blo, bhi, err = todo.pop()
         if not len(alo):
             continue
-        if len(alo) > 1 << 18:  # the frontier stays bounded: depth first over halves
+        if len(alo) > 1 << 17:  # the frontier stays bounded: depth first over halves
             m = len(alo) // 2
             todo += [(d, *(x[:m] for x in (alo, ahi, blo, bhi, err))), (d, *(x[m:] for x in (alo, ahi, blo, bhi, err)))]
             continue
-        small = (ahi - alo) * (bhi - blo) <= leaf if d else np.ones(len(alo), bool)
+        small = np.maximum(ahi - alo, bhi - blo) <= leaf
         if small.any():
-            yield from _product(alo[small], ahi[small], blo[small], bhi[small], alo[small] == blo[small])
+            yield alo[small], ahi[small], blo[small], bhi[small]
             alo, ahi, blo, bhi, err = (x[~small] for x in (alo, ahi, blo, bhi, err))
+        if not len(alo):
+            continue
         if not d:
+            na, nb = -((alo - ahi) // leaf), -((blo - bhi) // leaf)
+            for lo, hi in _runs(na * nb, 1 << 17):
+                if hi == lo + 1 and na[lo] * nb[lo] > 1 << 17:  # a value that very many share: its leaves row by row
+                    right = np.arange(blo[lo], bhi[lo], leaf)
+                    for i in range(int(alo[lo]), int(ahi[lo]), leaf):
+                        r = right[right >= i] if alo[lo] == blo[lo] else right
+                        yield np.full(len(r), i), np.full(len(r), min(i + leaf, ahi[lo])), r, np.minimum(r + leaf, bhi[lo])
+                    continue
+                n = (na * nb)[lo:hi]
+                at = np.repeat(np.arange(lo, hi), n)
+                k = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+                x, y = alo[at] + k // nb[at] * leaf, blo[at] + k % nb[at] * leaf
+                ok = (alo[at] != blo[at]) | (x <= y)
+                yield x[ok], np.minimum(x + leaf, ahi[at])[ok], y[ok], np.minimum(y + leaf, bhi[at])[ok]
             continue
         if d not in ones:
-            ones[d] = np.r_[0, np.cumsum(value >> np.uint32(d - 1) & np.uint32(1))].astype(np.int64)
+            ones[d] = np.r_[0, np.cumsum(value >> np.uint32(d - 1) & np.uint32(1), dtype=np.int64)]
         c = ones[d]
         am, bm = ahi - (c[ahi] - c[alo]), bhi - (c[bhi] - c[blo])
-        same, more = alo == blo, err + 1
+        same, more = alo == blo, err + np.int8(1)
         cross = more <= budget
-        kids = [(alo, am, blo, bm, err), (am, ahi, bm, bhi, err), *(tuple(x[cross] for x in (alo, am, bm, bhi, more)),), tuple(x[cross & ~same] for x in (am, ahi, blo, bm, more))]
+        kids = [(alo, am, blo, bm, err), (am, ahi, bm, bhi, err), tuple(x[cross] for x in (alo, am, bm, bhi, more)), tuple(x[cross & ~same] for x in (am, ahi, blo, bm, more))]
         k = [np.concatenate(x) for x in zip(*kids)]
         some = (k[1] > k[0]) & (k[3] > k[2]) & ~((k[0] == k[2]) & (k[1] - k[0] < 2))
         todo.append((d - 1, *(x[some] for x in k)))
 
 
+def _near(words: list[np.ndarray], alo: np.ndarray, ahi: np.ndarray, blo: np.ndarray, bhi: np.ndarray, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of positions, one from each of two leaves, that differ in at most ``max_bits`` bits; leaves are
+    compared as square tiles, and most pairs are out after half of the bits."""
+    size, last = np.maximum(ahi - alo, bhi - blo), len(words[0]) - 1
+    differ, bits, more = (np.empty(_CELLS, x) for x in (np.uint64, np.uint8, np.uint8))  # fresh memory would cost more than the work
+    for low, t in ((0, 4), (4, 8), (8, _LEAF)):
+        own = np.flatnonzero((size > low) & (size <= t))
+        step = _CELLS // (t * t)
+        for lo in range(0, len(own), step):
+            k = own[lo : lo + step]
+            i, j = (np.minimum(x[k][:, None] + np.arange(t), last) for x in (alo, blo))
+            n, shape = len(k) * t * t, (len(k), t, t)
+            for w, to in ((words[0], bits), (words[1], more)):
+                np.bitwise_xor(w[i][:, :, None], w[j][:, None, :], out=differ[:n].reshape(shape))
+                np.bitwise_count(differ[:n], out=to[:n])
+            np.add(bits[:n], more[:n], out=bits[:n])
+            at = np.flatnonzero(bits[:n] <= max_bits)
+            p, u, v = k[at // (t * t)], at // t % t, at % t
+            x, y = alo[p] + u, blo[p] + v
+            ok = (x < ahi[p]) & (y < bhi[p]) & ((alo[p] != blo[p]) | (u < v))
+            x, y = x[ok], y[ok]
+            total = sum(np.bitwise_count(w[x] ^ w[y]).astype(np.int16) for w in words)
+            ok = total <= max_bits
+            yield x[ok], y[ok]
+
+
 class Forest:
     """Connected components over positions; labels are least members."""
 
@@ -185,51 +292,61 @@ class Forest:
                 self.label = self.label[self.label]
 
 
-def matches(key: np.ndarray, sig: np.ndarray, block_bits: int, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the near copies among rows that share a key (block, two parts and their values)."""
-    if not len(key):
-        return np.zeros(0, int), np.zeros(0, int)
-    keys = np.array(_keys(block_bits))
-    blocks = np.ascontiguousarray(sig).view(np.uint32)
-    b, p = (key >> 42).astype(int), (key >> 32 & 1023).astype(int)
-    s1, w1, s2, w2 = keys[p].T
-    whole = blocks[np.arange(len(key)), b].astype(np.uint64)
-    value = _cut(_cut(whole, s1, w1), s2, w2).astype(np.uint32)  # the block without the parts that all share
-    order = np.lexsort((value, key))
-    key, value, full = key[order], value[order], np.ascontiguousarray(sig[order]).view(np.uint64)
-    forest = Forest(len(key))
-    for x, y in trie_pairs(key, value, 32 - int((keys[:, 1] + keys[:, 3]).min()), block_bits):
-        ok = forest.label[x] != forest.label[y]
+def matches(sig: np.ndarray, weight: np.ndarray, blocks: list[tuple[int, int, int]], k: int, max_bits: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the links that block ``k`` is the first to find: a spanning forest (pairs of positions), and for each position
+    the sum of its partners' weights. With ``side`` (0 or 1) links are between the sides only."""
+    first, width, budget = blocks[k]
+    value = _values(sig, first, width)
+    order = np.argsort(value, kind="stable") if side is None else np.lexsort((value, side))
+    value, sig, weight = value[order], sig[order], weight[order]
+    words = [np.ascontiguousarray(sig[:, i]) for i in range(4)]
+    forest, links = Forest(len(sig)), np.zeros(len(sig), np.int64)
+    leaves = trie_pairs(value, width, budget, None if side is None else int((side == 0).sum()))
+    for x, y in itertools.chain.from_iterable(_near(words, *pairs, max_bits) for pairs in _batched(leaves)):
+        ok = np.bitwise_count(value[x] ^ value[y]) <= budget
         x, y = x[ok], y[ok]
-        near = np.bitwise_count(full[x] ^ full[y]).sum(axis=1, dtype=np.int32) <= max_bits
-        forest.add(x[near], y[near])
-    child = np.flatnonzero(forest.label != np.arange(len(key)))
-    return order[child], order[forest.label[child]]
-
-
-def _joined(block_bits: int, max_bits: int):
-    names = ["key", "node", "s0", "s1", "s2", "s3"]
-
-    def flush(cols: list[np.ndarray]) -> pa.RecordBatch:
-        x, y = matches(cols[0], np.stack(cols[2:], axis=1), block_bits, max_bits)
-        e = np.unique(np.stack([np.minimum(cols[1][x], cols[1][y]), np.maximum(cols[1][x], cols[1][y])], axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], names=["a", "b"])
+        if not len(x):
+            continue
+        differ = sig[x] ^ sig[y]
+        fresh = np.ones(len(x), bool)
+        for f, w, t in blocks[:k]:
+            fresh &= np.bitwise_count(_values(differ, f, w)) > t
+        x, y = x[fresh], y[fresh]
+        links += np.bincount(x, weight[y], len(links)).astype(np.int64) + np.bincount(y, weight[x], len(links)).astype(np.int64)
+        forest.add(x, y)
+    child = np.flatnonzero(forest.label != np.arange(len(sig)))
+    back = np.empty_like(links)
+    back[order] = links
+    return order[child], order[forest.label[child]], back
+
+
+def _joined(blocks: list[tuple[int, int, int]], max_bits: int):
+    names = ["side", "node", "weight"]
+
+    def cell(key: int, batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        side, node, weight = (np.concatenate([b.column(x).to_numpy() for b in batches]) for x in names)
+        sig = np.concatenate([_sigs(b) for b in batches])
+        batches.clear()
+        x, y, links = matches(sig, weight, blocks, key >> 40, max_bits, None if side[0] == _SELF else side)
+        some = np.flatnonzero(links)
+        yield pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y]), pa.array(np.zeros(len(x), np.int64))], names=["a", "b", "links"])
+        yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(node[some]), pa.array(links[some])], names=["a", "b", "links"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Rows come sorted by key: whole keys are taken together, and memory holds some 100,000 rows and one key.
-        held: list[list[np.ndarray]] = []
-        rows = 0
+        # Rows come sorted by key; memory holds one cell, which is bounded.
+        held: list[pa.RecordBatch] = []
+        at = None
         for batch in batches:
-            held.append([batch.column(x).to_numpy() for x in names])
-            rows += batch.num_rows
-            if rows >= 100_000:
-                cols = [np.concatenate(x) for x in zip(*held)]
-                cut = int(np.searchsorted(cols[0], cols[0][-1]))
-                if cut:
-                    yield flush([c[:cut] for c in cols])
-                held, rows = [[c[cut:] for c in cols]], rows - cut
-        if rows:
-            yield flush([np.concatenate(x) for x in zip(*held)])
+            keys = batch.column("key").to_numpy()
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if hi > lo:
+                    if held and keys[lo] != at:
+                        yield from cell(int(at), held)
+                    at = keys[lo]
+                    held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield from cell(int(at), held)
 
     return join
 
@@ -253,20 +370,43 @@ def components(edges: DataFrame) -> DataFrame:
         edges = new
 
 
-def copies(docs: DataFrame, *, max_bits: int = MAX_BITS, block_bits: int = BLOCK_BITS) -> DataFrame:
-    """doc_id, h (hash of the text), duplicate_of (the id that stays) for every document that is a later copy."""
+def classes(docs: DataFrame, *, max_bits: int = MAX_BITS, group: int = GROUP) -> DataFrame:
+    """doc_id, h (hash of the text), class_id and n_links, the number of other texts linked, for every row of ``docs``."""
+    spark = docs.sparkSession
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("h"), "text")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
     sigs = rows.mapInArrow(_fingerprints, f"doc_id {id_type}, h long, s0 long, s1 long, s2 long, s3 long")
-    words = ["s0", "s1", "s2", "s3"]
-    sigs = written(sigs.withColumn("node", F.xxhash64(*words)), "simhash")
-    nodes = sigs.select("node", *words).dropDuplicates(["node"])
-    spread = nodes.mapInArrow(_spread(block_bits), "key long, node long, s0 long, s1 long, s2 long, s3 long")
-    pairs = spread.repartition("key").sortWithinPartitions("key").mapInArrow(_joined(block_bits, max_bits), "a long, b long")
-    linked = sigs.select("doc_id", "h", "node").join(components(pairs), "node", "left").select("doc_id", "h", F.coalesce("root", "node").alias("root"))
-    stays = linked.groupBy("root").agg(F.min("doc_id").alias("duplicate_of"), F.count("*").alias("n")).where("n > 1").drop("n")
-    out = linked.join(stays, "root").where("duplicate_of is not null and not (doc_id <=> duplicate_of)")
-    return out.select("doc_id", "h", "duplicate_of").distinct()
+    sigs = written(sigs.withColumn("node", F.when(F.col("s0").isNotNull(), F.xxhash64(*_SIG))), "simhash")
+    # A node weighs as much as it has different texts.
+    texts = sigs.where("node is not null").select("node", *_SIG, "h").distinct()
+    nodes = written(texts.groupBy("node").agg(*[F.min(x).alias(x) for x in _SIG], F.count("*").alias("weight")), "nodes")
+    blocks = blocks_of(nodes.count(), max_bits)
+    counts = nodes.mapInArrow(_upper(blocks), "block int, top int, n long").groupBy("block", "top").agg(F.sum("n").alias("n")).toArrow()  # at most 2 ** 12 rows a block
+    block, top, n = (counts.column(x).to_numpy() for x in ("block", "top", "n"))
+    cells = []
+    for k, (_, w, t) in enumerate(blocks):
+        own = np.zeros(1 << min(w, _DEEPEST), np.int64)
+        own[top[block == k]] = n[block == k]
+        cells.append(cells_of(own, w, t, group))
+    shared = spark.sparkContext.broadcast(cells)
+    spread = nodes.mapInArrow(_spread(blocks, shared), "key long, side byte, node long, s0 long, s1 long, s2 long, s3 long, weight long")
+    # Cells are few and each is work for a core: they are dealt to more tasks than there are cells, so that few tasks get two.
+    size = sum(len({c for x in takes for c, _ in x}) for _, _, takes in cells)
+    apart = spread.repartition(max(1, min(3 * size, 100_000)), "key").sortWithinPartitions("key")
+    found = written(apart.mapInArrow(_joined(blocks, max_bits), "a long, b long, links long"), "links")
+    twins = nodes.where("weight > 1").select("node", (F.col("weight") - 1).alias("links"))
+    links = found.where("a = b").select(F.col("a").alias("node"), "links").union(twins).groupBy("node").agg(F.sum("links").alias("n_links"))
+    linked = links.join(components(found.where("a <> b").select("a", "b")), "node", "left").select("node", "n_links", F.coalesce("root", "node").alias("root"))
+    some = sigs.where("node is not null").select("doc_id", "h", "node").join(linked, "node", "left")
+    some = written(some.select("doc_id", "h", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")), "linked")
+    named = some.join(some.groupBy("root").agg(F.min("doc_id").alias("class_id")), "root").select("doc_id", "h", "class_id", "n_links")
+    return named.union(sigs.where("node is null").select("doc_id", "h", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+
+
+def copies(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, h (hash of the text), duplicate_of (the id that stays) for every document that is a later copy."""
+    later = classes(docs, **options).where("class_id is not null and not (doc_id <=> class_id)")
+    return later.select("doc_id", "h", F.col("class_id").alias("duplicate_of")).distinct()
 
 
 def kept(docs: DataFrame, **options) -> DataFrame:
@@ -277,4 +417,4 @@ def kept(docs: DataFrame, **options) -> DataFrame:
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return copies(table(spark, sf_dir, "documents")).select("doc_id", "duplicate_of")
+    return classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")

@@ -95,35 +95,79 @@ def groups_of(rows, max_bits=neardup.MAX_BITS):
     return {r: least.get(find(i)) for i, r in enumerate(rows)}
 
 
-@settings(deadline=None, max_examples=40)
-@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 255)), max_size=40), st.integers(0, 3))
-def test_the_trie_misses_no_pair(rows, budget):
-    rows.sort()
-    group, value = (np.array([r[k] for r in rows], np.uint32) for k in (0, 1))
-    got = [tuple(sorted(p)) for x, y in neardup.trie_pairs(group, value, 8, budget, leaf=1) for p in zip(x.tolist(), y.tolist())]
-    want = {(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if group[i] == group[j] and int(value[i] ^ value[j]).bit_count() <= budget}
+def classes_of(rows):
+    """Brute force: (id, text) to (least id of its class, number of other texts linked)."""
+    texts = sorted({t for _, t in rows if t is not None and t.split()})
+    sigs = np.array([neardup.fingerprint(t) for t in texts], np.uint64).reshape(-1, 4)
+    links = [int((np.bitwise_count(sigs ^ s).sum(axis=1) <= neardup.MAX_BITS).sum()) - 1 for s in sigs]
+    group, n = groups_of(rows), dict(zip(texts, links))
+    return {r: (group.get(r, r[0]), n.get(r[1], 0)) for r in rows}
+
+
+@settings(deadline=None, max_examples=60)
+@given(st.lists(st.integers(0, 255), max_size=40), st.lists(st.integers(0, 255), max_size=40), st.integers(0, 3), st.integers(1, 3), st.booleans())
+def test_the_trie_misses_no_pair(left, right, budget, leaf, apart):
+    value = np.array(sorted(left) + sorted(right) if apart else sorted(left + right), np.uint32)
+    n, cut = len(value), len(left)
+    leaves = neardup.trie_pairs(value, 8, budget, cut if apart else None, leaf)
+    got = [(i, j) for pairs in leaves for a, b, c, d in zip(*(x.tolist() for x in pairs)) for i in range(a, b) for j in range(c, d) if a != c or i < j]
+    want = {(i, j) for i, j in itertools.combinations(range(n), 2) if int(value[i] ^ value[j]).bit_count() <= budget and (not apart or i < cut <= j)}
     assert len(got) == len(set(got)) and want <= set(got)
 
 
+@pytest.mark.parametrize("n", [1, 2, 300, 10**6, 10**9, 10**12])
+@pytest.mark.parametrize("max_bits", [0, 3, 23, 44])
+def test_blocks_cover_the_budget(n, max_bits):
+    blocks = neardup.blocks_of(n, max_bits)
+    # Were all blocks over their budgets, more than max_bits bits would differ.
+    assert sum(t + 1 for *_, t in blocks) == max_bits + 1 and all(t >= 0 and 0 < w <= 32 for _, w, t in blocks)
+    assert all(a + w <= b for (a, w, _), (b, *_) in zip(blocks, blocks[1:])) and blocks[-1][0] + blocks[-1][1] <= neardup.BITS
+
+
 def test_near_copies_against_all_pairs(spark, sf):
     rows = [(r.doc_id, r.text) for r in read(spark, sf).collect()]
-    want = {(d, g) for (d, _), g in groups_of(rows).items() if g != d}
-    got = {(r.doc_id, r.duplicate_of) for r in neardup.op4_simhash(spark, sf).collect()}
-    assert want and len(want & got) >= 0.9 * len(want) and {d for d, _ in got} <= {d for d, _ in want}
+    want = {(d, *c) for (d, _), c in classes_of(rows).items()}
+    got = [tuple(r) for r in neardup.op4_simhash(spark, sf).select("doc_id", "class_id", "n_links").collect()]
+    assert len(got) == len(rows) and set(got) == want and any(n for *_, n in want)
 
 
-def test_no_near_copy_is_missed_at_any_distance():
+@pytest.mark.parametrize("group", [16, 40, 1000])
+def test_no_near_copy_is_missed_at_any_distance(group):
+    """With pairs at every distance, and a third of all fingerprints that share a block; nodes split as far as a hash."""
     rng = np.random.default_rng(3)
-    for distance in (20, 33, 36, 40, 44):
-        sig = rng.integers(0, 2, (600, neardup.BITS), dtype=np.uint8)
-        for i in range(0, 600, 2):
+    for distance in (1, 20, 33, 36, 40, 44, 45):
+        sig = rng.integers(0, 2, (300, neardup.BITS), dtype=np.uint8)
+        sig[::3, :40] = 1
+        for i in range(0, 300, 2):
             sig[i + 1] = sig[i]
             sig[i + 1, rng.permutation(neardup.BITS)[:distance]] ^= 1
-        words = np.packbits(sig, axis=1).view(np.int64)
-        batch = pa.RecordBatch.from_arrays([pa.array(np.arange(600)), *(pa.array(words[:, k]) for k in range(4))], names=["node", "s0", "s1", "s2", "s3"])
-        spread = pa.Table.from_batches(neardup._spread(neardup.BLOCK_BITS)([batch])).sort_by("key").to_batches()
-        found = {(x, y) for b in neardup._joined(neardup.BLOCK_BITS, neardup.MAX_BITS)(spread) for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist())}
-        assert found == {(i, i + 1) for i in range(0, 600, 2)}, distance
+        sig = np.packbits(sig, axis=1).view(np.uint64)
+        blocks = neardup.blocks_of(len(sig), neardup.MAX_BITS)
+        weight = rng.integers(1, 4, 300)
+        names = ["node", *neardup._SIG, "weight"]
+        batch = pa.RecordBatch.from_arrays([pa.array(np.arange(300)), *(pa.array(sig[:, k].view(np.int64)) for k in range(4)), pa.array(weight)], names=names)
+        counts = pa.Table.from_batches(neardup._upper(blocks)([batch])).to_pylist()
+        cells = []
+        for k, (_, w, t) in enumerate(blocks):
+            own = np.zeros(1 << min(w, neardup._DEEPEST), np.int64)
+            for r in counts:
+                if r["block"] == k:
+                    own[r["top"]] = r["n"]
+            cells.append(neardup.cells_of(own, w, t, group))
+
+        class Shared:
+            value = cells
+
+        spread = pa.Table.from_batches(neardup._spread(blocks, Shared)([batch])).sort_by("key").to_batches()
+        found = pa.concat_tables([pa.Table.from_batches([b]) for b in neardup._joined(blocks, neardup.MAX_BITS)(spread)]).to_pylist()
+        near = np.bitwise_count(sig[:, None] ^ sig[None]).sum(axis=2) <= neardup.MAX_BITS
+        np.fill_diagonal(near, False)
+        assert near.sum() == (300 if distance <= 44 else 0)
+        assert {tuple(sorted((r["a"], r["b"]))) for r in found if r["a"] != r["b"]} == {(i, int(j)) for i in range(300) for j in np.flatnonzero(near[i]) if i < j}
+        links = Counter()
+        for r in found:
+            links[r["a"]] += r["links"]
+        assert all(links[i] == weight[near[i]].sum() for i in range(300)), distance
 
 
 def test_near_dedup_awkward(spark, docs_of, awkward):
@@ -135,6 +179,10 @@ def test_near_dedup_awkward(spark, docs_of, awkward):
     assert neardup.copies(docs_of(rows).limit(0)).count() == 0
     many = docs_of([(i, base + f" x{i % 3}") for i in range(2500)])
     assert neardup.copies(many).count() == 2499
+    got = neardup.classes(docs_of(rows)).select("doc_id", "class_id", "n_links").collect()
+    assert Counter(map(tuple, got)) == Counter({(d, *classes_of([(d, t)])[d, t]): 1 for d, t, *_ in awkward} | {(7, 7, 0): 2, (8, 8, 0): 1, (20, 20, 1): 1, (21, 20, 1): 1, (22, 20, 1): 1, (None, 20, 1): 1, (None, None, 0): 1, (23, 23, 0): 1})
+    few = {tuple(r) for r in neardup.classes(many).select("class_id", "n_links").distinct().collect()}
+    assert few == {(0, 2)} and neardup.classes(docs_of(rows).limit(0)).count() == 0
 
 
 # Language ID
