@@ -4,12 +4,19 @@ A passage is a run of words, wherever in its lines it begins and ends. A word th
 words that stand earlier too, in another document or the same one, goes; the first stays.
 
 Of every window of ``min_words`` words the least hash of its runs of ``min_words // 2`` words is its fingerprint
-(winnowing): few per document, and the same wherever the same words stand, so a window whose fingerprint occurs once
-can't be repeated. The windows of fingerprints that occur again are joined on a hash of all their words, each with the
-first place of its kind. Windows start at every word, so their union extends each match word by word both ways,
-whichever earlier document a word came from (pairwise extension from the first partner alone would stop short where
-that partner's run is shorter). Which fingerprints occur again is told to the tasks as a bitmap of at most ``MAX_BITS``
-bits: a bit set by another fingerprint costs some windows more in the join and changes no result.
+(winnowing). Neighbouring windows mostly have the same one, so a document is cut into ranges of windows with one
+fingerprint: some eight for every hundred words, and equal windows have equal fingerprints. Two steps of joins follow:
+
+1. Ranges meet by fingerprint. Where all ranges of a fingerprint hold the same words, the later ones are repeated as a
+   whole, and nothing else need be looked at: this is the inside of every repeated run.
+2. Where a fingerprint has ranges that differ, as at both ends of a run, each different range is given out window by
+   window, and windows meet by a hash of all their words. So each match is extended word by word both ways, whichever
+   earlier document a word came from (pairwise extension from the first partner alone would stop short where that
+   partner's run is shorter). Which ranges these are is told to the tasks as a bitmap of at most ``MAX_BITS`` bits: a
+   bit set by another range costs some windows more in the join and changes no result.
+
+Both joins are of what a batch of documents has left after looking in itself: a fingerprint or window that very many
+documents share is one row a batch. No line, run or group of copies is too long or too frequent to be looked at.
 
 Order: "first" is by (doc_id, hash of the text, word); null ids come first. Words are compared without the white space
 between them. A line all of whose words go is deleted, with the blank lines inside a run; of other lines the words that
@@ -18,27 +25,32 @@ stay are kept with their spacing. Short boilerplate alone stays. Where copies of
 line that repeats itself at a distance under ``min_words`` stays. Rows that repeat both id and text are one document
 and are edited alike. Null and empty texts come back as they are. A document all of whose lines go keeps its row
 with an empty text (``deduped`` leaves it out on request). Extra columns are kept; ``n_chars`` is set anew if
-there is one. No line, run or group of copies is too long or too frequent to be looked at.
+there is one.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, sliced, table, written
+from .common import ROWS_AT_ONCE, free_name, table, written
 
 MIN_WORDS = 50
 MAX_BITS = 1 << 29
 _SLICE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _NEVER = 2**31 - 1
+#: Characters of text that are in work at once, unless one text has more.
+_CHARS = 1 << 22
+#: Kinds of rows: a range, a fingerprint whose ranges differ, a window, words that go.
+_RANGE, _DIFFERS, _WINDOW, _GONE = range(4)
 
 
 def _powers(n: int, base: int) -> np.ndarray:
@@ -48,14 +60,32 @@ def _powers(n: int, base: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_POWER, _INVERSE = (_powers(1 << 15, x) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+_KNOWN: dict[int, np.ndarray] = {}
+
+
+def _upto(n: int, base: int) -> np.ndarray:
+    """The first ``n`` powers of ``base``, at least; kept for the next batch."""
+    if base not in _KNOWN or len(_KNOWN[base]) < n:
+        _KNOWN[base] = _powers(max(n, 1 << 18), base)
+    return _KNOWN[base]
+
+
+class _Words(dict):
+    """Hashes of words."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1 << 19:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
 
 
-def _hashes(upto: np.ndarray, inverse: np.ndarray, size: int) -> np.ndarray:
-    """A hash of every run of ``size`` words."""
-    z = (upto[size:] - upto[:-size]) * inverse[: len(upto) - size]
+_WORDS = _Words()
+
+
+def _mixed(z: np.ndarray) -> np.ndarray:
     z = (z ^ (z >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (z ^ (z >> np.uint64(29))).view(np.int64)
+    return z ^ (z >> np.uint64(29))
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -66,56 +96,222 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:n], x[width - done : width - done + n])
 
 
-def windows(text: str, min_words: int, content: bool = True) -> tuple[np.ndarray, np.ndarray] | None:
-    """Fingerprint and hash of all words of the windows that start at each word (without ``content``: the hashes of the shorter runs)."""
-    words = text.split()
-    n = len(words)
-    if n < min_words:
-        return None
-    power, inverse = (_POWER, _INVERSE) if n <= len(_POWER) else (_powers(n, x) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
-    upto = np.zeros(n + 1, np.uint64)
-    np.cumsum(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n) * power[:n], out=upto[1:])
-    size = max(1, min_words // 2)
-    short = _hashes(upto, inverse, size)
-    return _sliding_min(short, min_words - size + 1), _hashes(upto, inverse, min_words) if content else short
+class Batch:
+    """The windows of some texts, one after the other: for each its text, first word, fingerprint and content hash,
+    and the ranges of windows with one fingerprint."""
+
+    def __init__(self, texts: list[str], min_words: int):
+        words = [t.split() for t in texts]
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        self.texts, self.min_words, self.begin = texts, min_words, np.cumsum(size) - size
+        total = int(size.sum())
+        owner = np.repeat(np.arange(len(texts)), size)
+        whole = owner[: max(0, total - min_words + 1)] == owner[min_words - 1 :]
+        self.at = np.flatnonzero(whole)
+        if not len(self.at):
+            self.first = self.at
+            return
+        self.owner = owner[self.at]
+        upto = np.zeros(total + 1, np.uint64)
+        hashes = np.fromiter((_WORDS[w] for x in words for w in x), np.uint64, total)
+        np.cumsum(hashes * _upto(total, _BASE)[:total], out=upto[1:])
+        self.upto, self.inverse = upto, _upto(total, pow(_BASE, -1, 1 << 64))
+        short = max(1, min_words // 2)
+        least = _sliding_min(self.hash_of(slice(None, -short), slice(short, None)), min_words - short + 1)
+        self.least, self.content = least[self.at], self.hash_of(self.at, self.at + min_words)
+        new = np.r_[True, (np.diff(self.at) > 1) | (self.owner[1:] != self.owner[:-1]) | (self.least[1:] != self.least[:-1])]
+        self.first = np.flatnonzero(new)  # of each range, as an index of windows
+        self.count = np.diff(np.r_[self.first, len(self.at)])
+
+    def hash_of(self, lo, hi) -> np.ndarray:
+        """A hash of the words from ``lo`` to ``hi``."""
+        z = self.upto[hi] - self.upto[lo]
+        return _mixed(z * (self.inverse[: len(z)] if isinstance(lo, slice) else self.inverse[lo])).view(np.int64)
+
+    def ranges(self) -> np.ndarray:
+        lo = self.at[self.first]
+        return self.hash_of(lo, lo + self.count + self.min_words - 1) ^ _mixed(self.count.astype(np.uint64)).view(np.int64)
+
+    def free(self) -> tuple[np.ndarray, np.ndarray]:
+        """For every window the first word that may go where its document has later copies of it, and whether copies overlap."""
+        own = self.at - self.begin[self.owner]
+        free, lap = own + self.min_words, np.zeros(len(own), bool)
+        key = self.content ^ _mixed(self.owner.astype(np.uint64) + np.uint64(1)).view(np.int64)
+        order = np.argsort(key, kind="stable")
+        near = (key[order[1:]] == key[order[:-1]]) & (np.diff(order) < self.min_words)
+        lap[order[1:][near]] = lap[order[:-1][near]] = True
+        for d in np.unique(self.owner[lap]).tolist():
+            k = np.flatnonzero(self.owner == d)
+            free[k] = _free_from(self.texts[d], self.content[k], self.min_words)
+        return free, lap
+
+
+def _first(*keys: np.ndarray) -> np.ndarray:
+    """Where a row of sorted keys differs from the one before it."""
+    return np.r_[True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys])] if len(keys[0]) else np.zeros(0, bool)
+
+
+def _any(x: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """For each row whether any of its group has ``x``."""
+    at = np.flatnonzero(new)
+    return np.repeat(np.logical_or.reduceat(x, at), np.diff(np.r_[at, len(x)])) if len(x) else x
+
+
+def _united(owner: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Intervals without those that touch: owner, first and last."""
+    order = np.lexsort((lo, owner))
+    owner, lo, hi = owner[order], lo[order], hi[order]
+    far = int(hi.max()) + 2 if len(hi) else 1
+    last = np.maximum.accumulate(owner * far + hi)
+    new = np.flatnonzero(np.r_[True, owner[1:] * far + lo[1:] > last[:-1] + 1] | _first(owner)) if len(lo) else np.zeros(0, int)
+    return owner[new], lo[new], last[np.r_[new[1:] - 1, len(lo) - 1]] - owner[new] * far if len(new) else lo[:0]
+
+
+_ROW = ["kind", "a", "b", "s", "x"]
+
+
+class _Rows:
+    """Collects rows of (kind, a, b, s, x) of texts."""
+
+    def __init__(self):
+        self.parts: list[tuple] = []
+
+    def add(self, kind: int, owner, a, b, s, x) -> None:
+        if len(owner):
+            n = len(owner)
+            self.parts.append((owner, np.full(n, kind, np.int8), *(np.broadcast_to(np.asarray(v), n) for v in (a, b, s, x))))
+
+    def batch(self, doc_id: pa.Array, h: pa.Array) -> pa.RecordBatch:
+        owner, kind, a, b, s, x = map(np.concatenate, zip(*self.parts))
+        who = pa.array(owner)
+        return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64)), pa.array(s.astype(np.int32)), pa.array(x.astype(np.int32)), doc_id.take(who), h.take(who)], names=[*_ROW, "doc_id", "h"])
+
+
+def _looked_in(b: Batch, free: np.ndarray, windows: np.ndarray, rows: _Rows, gone: list[tuple]) -> None:
+    """Windows that are to meet those of other batches; those that another text of this one has earlier go at once."""
+    order = windows[np.argsort(b.content[windows], kind="stable")]
+    new = _first(b.content[order])
+    first = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+    stay = b.owner[order] == b.owner[order][first]
+    own = order[stay]
+    rows.add(_WINDOW, b.owner[own], b.content[own], 0, b.at[own] - b.begin[b.owner[own]], free[own])
+    gone.append((b.owner[order[~stay]], b.at[order[~stay]], b.at[order[~stay]] + b.min_words - 1))
+
+
+def _spans(b: Batch, ranges: np.ndarray) -> np.ndarray:
+    """The windows of some ranges, in order."""
+    n = b.count[ranges]
+    return np.repeat(b.first[ranges] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+def _gone(b: Batch, gone: list[tuple], rows: _Rows) -> None:
+    owner, lo, hi = _united(*map(np.concatenate, zip(*gone))) if gone else (np.zeros(0, np.int64),) * 3
+    rows.add(_GONE, owner, 0, 0, lo - b.begin[owner], hi - b.begin[owner])
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], wanted=None) -> Iterator[tuple[list[str], pa.RecordBatch]]:
+    """Texts of some rows, in the order in which words come first, each (doc_id, h) once."""
+    for batch in batches:
+        sizes = np.array([0 if x is None else x for x in batch.column("size").to_pylist()], np.int64)
+        keep = sizes > 0 if wanted is None else (sizes > 0) & wanted(batch.column("k").to_numpy(), -1)
+        batch, sizes = batch.filter(pa.array(keep)), sizes[keep]
+        lo = 0
+        while lo < batch.num_rows:
+            n = max(1, min(ROWS_AT_ONCE, int(np.searchsorted(np.cumsum(sizes[lo : lo + ROWS_AT_ONCE]), _CHARS, side="right"))))
+            part = batch.slice(lo, n)
+            lo += n
+            keys = [(d is not None, 0 if d is None else d, h) for d, h in zip(part.column("doc_id").to_pylist(), part.column("h").to_pylist())]
+            order = [i for _, g in itertools.groupby(sorted(range(n), key=keys.__getitem__), key=keys.__getitem__) for i in itertools.islice(g, 1)]
+            part = part.take(pa.array(order, pa.int64()))
+            yield part.column("text").to_pylist(), part
 
 
-def _fingerprints(min_words: int):
-    """Each document's fingerprints; n is 2 for one that stands in it more than once."""
+def _ranges(min_words: int):
+    """First step: what each batch has to say about ranges."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            out, times = [], []
-            for text in batch.column("text"):
-                if got := windows(text.as_py(), min_words, content=False):
-                    least, short = np.unique(got[0]), np.sort(got[1])
-                    out.append(least)
-                    times.append(1 + (np.searchsorted(short, least, "right") - np.searchsorted(short, least) > 1))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(np.concatenate(times), pa.int64())], names=["fingerprint", "n"])
+        for texts, part in _grouped(batches):
+            b = Batch(texts, min_words)
+            if not len(b.first):
+                continue
+            free, lap = b.free()
+            rows, gone = _Rows(), []
+            content, least = b.ranges(), b.least[b.first]
+            order = np.lexsort((content, least))  # stable: of equal ones the first comes first
+            least, content = least[order], content[order]
+            laps = np.logical_or.reduceat(lap, b.first)[order]
+            of, alike = _first(least), _first(least, content)
+            apart = _any(laps, of)  # copies that overlap meet window by window
+            differ = _any(alike & ~of, of) | apart
+            own, start, last = b.owner[b.first[order]], b.at[b.first[order]], b.at[b.first[order]] + b.count[order] + min_words - 2
+            k = of & ~differ
+            rows.add(_RANGE, own[k], least[k], content[k], start[k] - b.begin[own[k]], b.count[order[k]])
+            k = of & differ
+            rows.add(_DIFFERS, own[k], least[k], 0, 0, 0)
+            k = ~alike & ~apart
+            gone.append((own[k], start[k], last[k]))
+            _looked_in(b, free, _spans(b, np.sort(order[differ & (alike | apart)])), rows, gone)
+            _gone(b, gone, rows)
+            yield rows.batch(part.column("doc_id"), part.column("h"))
 
     return find
 
 
+def _bit(k: np.ndarray, s) -> np.ndarray:
+    """What stands for a range that starts at word ``s`` of a text (-1: for the text) in the bitmap."""
+    return _mixed(k.view(np.uint64) + _mixed((np.zeros(len(k), np.int64) + s).view(np.uint64))).view(np.int64)
+
+
+def _bits_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        k = batch.column("k").to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[_bit(k, batch.column("s").to_numpy()), np.unique(_bit(k, -1))])], names=["bit"])
+
+
 def _bitmap(rows: pa.Table) -> pa.Table:
     bits = np.zeros(_SLICE, bool)
     bits[rows.column("bit").to_numpy() % _SLICE] = True
     return pa.table({"slice": rows.column("slice").slice(0, 1), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
 
 
-def _again(rows: DataFrame, min_words: int) -> np.ndarray:
-    """A bitmap of the fingerprints that occur more than once, by their low bits."""
-    found = rows.mapInArrow(_fingerprints(min_words), "fingerprint long, n long").groupBy("fingerprint").agg(F.sum("n").alias("n"))
-    found = written(found.where("n > 1").select("fingerprint"), "fingerprints")
-    size = min(MAX_BITS, max(_SLICE, 1 << (16 * found.count()).bit_length()))
-    bit = F.col("fingerprint").bitwiseAND(F.lit(size - 1))
-    slices = found.select(bit.alias("bit"), (bit / F.lit(_SLICE)).cast("int").alias("slice")).groupBy("slice").applyInArrow(_bitmap, "slice int, bits binary")
+def _marked(ranges: DataFrame) -> np.ndarray:
+    """A bitmap of ranges (k, s) and their texts, by the low bits of what stands for them."""
+    size = min(MAX_BITS, max(_SLICE, 1 << (32 * ranges.count()).bit_length()))
+    bit = F.col("bit").bitwiseAND(F.lit(size - 1))
+    # Bits are made distinct before they meet, so a slice has a bounded number.
+    slices = ranges.mapInArrow(_bits_of, "bit long").select(bit.alias("bit")).distinct().withColumn("slice", (F.col("bit") / F.lit(_SLICE)).cast("int"))
     out = np.zeros(size // 8, np.uint8)
-    for r in slices.toLocalIterator():
+    for r in slices.groupBy("slice").applyInArrow(_bitmap, "slice int, bits binary").toLocalIterator():
         out[r.slice * _SLICE // 8 : (r.slice + 1) * _SLICE // 8] = np.frombuffer(r.bits, np.uint8)
     return out
 
 
+def _windows(min_words: int, marked):
+    """Second step: the windows of the ranges that are marked."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = marked.value
+        mask = np.int64(8 * len(bits) - 1)
+
+        def wanted(k: np.ndarray, s) -> np.ndarray:
+            low = _bit(k, s) & mask
+            return (bits[low >> 3] >> (7 - (low & 7)).astype(np.uint8) & 1).astype(bool)
+
+        for texts, part in _grouped(batches, wanted):
+            b = Batch(texts, min_words)
+            if not len(b.first):
+                continue
+            own = b.owner[b.first]
+            some = np.flatnonzero(wanted(part.column("k").to_numpy()[own], b.at[b.first] - b.begin[own]))
+            if len(some):
+                rows, gone = _Rows(), []
+                _looked_in(b, b.free()[0], _spans(b, some), rows, gone)
+                _gone(b, gone, rows)
+                yield rows.batch(part.column("doc_id"), part.column("h"))
+
+    return find
+
+
 def _free_from(text: str, content: np.ndarray, min_words: int) -> np.ndarray:
     """For every window the first word that may go where its document has later copies of it."""
     n = len(content)
@@ -130,54 +326,34 @@ def _free_from(text: str, content: np.ndarray, min_words: int) -> np.ndarray:
     return out
 
 
-def _windows(min_words: int, again):
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = again.value
-        mask = np.int64(8 * len(bits) - 1)
-        for batch in sliced(batches):
-            out, owner, held = [], [], 0
-
-            def flush() -> pa.RecordBatch:
-                who = pa.array(np.repeat(owner, [len(x[0]) for x in out]))
-                cols = [pa.array(np.concatenate(x), k) for x, k in zip(zip(*out), (pa.int32(), pa.int64(), pa.int32(), pa.int32()))]
-                return pa.RecordBatch.from_arrays([*cols, batch.column("doc_id").take(who), batch.column("h").take(who)], names=["fingerprint", "content", "s", "free", "doc_id", "h"])
-
-            for i, text in enumerate(batch.column("text")):
-                text = text.as_py()
-                got = windows(text, min_words)
-                if not got:
-                    continue
-                least, content = got
-                low = least & mask
-                s = np.flatnonzero(bits[low >> 3] >> (7 - (low & 7)).astype(np.uint8) & 1)
-                if len(s):
-                    free = _free_from(text, content, min_words)[s]
-                    out.append(((least[s] >> 32).astype(np.int32), content[s], s.astype(np.int32), free.astype(np.int32)))
-                    owner.append(i)
-                    held += len(s)
-                if held > 200_000:
-                    yield flush()
-                    out, owner, held = [], [], 0
-            if out:
-                yield flush()
-
-    return find
-
-
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, h (hash of the text) and the ranges of words that go, for each document that has some."""
-    rows = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("h"), "text")
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    again = docs.sparkSession.sparkContext.broadcast(_again(rows.select("text"), min_words))
-    found = written(rows.mapInArrow(_windows(min_words, again), f"fingerprint int, content long, s int, free int, doc_id {id_type}, h long"), "windows")
-    key = ["fingerprint", "content"]
-    # A partial aggregate before the shuffle: a window that occurs a million times costs one row per task.
-    first = found.groupBy(*key).agg(F.min(F.struct("doc_id", "h", "s", "free")).alias("f"), F.max(F.struct("doc_id", "h", "s", "free")).alias("l"))
-    first = first.where("f < l").select(*key, "f")
+    schema = f"kind byte, a long, b long, s int, x int, doc_id {id_type}, h long"
+    rows = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("h"), "text", F.length("text").alias("size")).withColumn("k", F.xxhash64("doc_id", "h"))
+    found = written(rows.mapInArrow(_ranges(min_words), schema), "ranges")
+
+    # Ranges meet by fingerprint: one shuffle, of a row a batch for one that all have.
+    of, alike = Window.partitionBy("a"), Window.partitionBy("a", "b").orderBy(F.asc_nulls_first("doc_id"), "h", "s")
+    met = found.where(F.col("kind").isin(_RANGE, _DIFFERS)).withColumn("differ", (F.max("kind").over(of) == _DIFFERS) | (F.min("b").over(of) != F.max("b").over(of)))
+    met = met.where(F.col("kind") == _RANGE).withColumn("later", F.dense_rank().over(alike) > 1).where("differ or later")
+    met = written(met.select("doc_id", "h", "s", "x", "later"), "met")
+    marked = docs.sparkSession.sparkContext.broadcast(_marked(met.where("not later").select(F.xxhash64("doc_id", "h").alias("k"), "s")))
+    more = written(rows.mapInArrow(_windows(min_words, marked), schema), "windows")
+
+    # Windows meet by content.
+    windows = found.where(F.col("kind") == _WINDOW).union(more.where(F.col("kind") == _WINDOW)).select("a", "doc_id", "h", "s", "x")
+    place = F.struct("doc_id", "h", "s", "x")
+    # A partial aggregate before the shuffle; what occurs at one place only is out.
+    first = windows.groupBy("a").agg(F.min(place).alias("f"), F.max(place).alias("l")).where("f < l").select("a", "f")
     same = F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("h") == F.col("f.h"))
-    later = found.select(*key, "doc_id", "h", "s").join(first.hint("merge"), key).where(~(same & (F.col("s") == F.col("f.s"))))
-    later = later.withColumn("e", F.col("s") + (min_words - 1)).withColumn("s", F.when(same, F.greatest("s", "f.free")).otherwise(F.col("s"))).where("s <= e")
-    return later.groupBy("doc_id", "h").agg(F.collect_set(F.struct("s", "e")).alias("runs"))
+    later = windows.join(first, "a").where(~(same & (F.col("s") == F.col("f.s"))))
+    later = later.select("doc_id", "h", F.when(same, F.greatest("s", "f.x")).otherwise(F.col("s")).alias("s"), (F.col("s") + (min_words - 1)).alias("e")).where("s <= e")
+
+    whole = met.where("later").select("doc_id", "h", "s", (F.col("s") + F.col("x") + (min_words - 2)).alias("e"))
+    at_once = [x.where(F.col("kind") == _GONE).select("doc_id", "h", "s", F.col("x").alias("e")) for x in (found, more)]
+    runs = later.union(whole).union(at_once[0]).union(at_once[1])
+    return runs.groupBy("doc_id", "h").agg(F.collect_set(F.struct("s", "e")).alias("runs"))
 
 
 def _edited(text: str, runs: np.ndarray) -> tuple[str, int, int]:
@@ -231,8 +407,7 @@ def deduped(docs: DataFrame, min_words: int = MIN_WORDS, *, counts: bool = False
     """
     runs = written(repeated_runs(docs, min_words), "runs")
     d, h, r, v = (free_name(docs, x) for x in ("run_doc", "text_hash", "runs", "edited"))
-    # The runs grow with the documents: the plan is a merge join at every size, not a broadcast while they are few.
-    runs = runs.select(F.col("doc_id").alias(d), F.col("h").alias(h), F.col("runs").alias(r)).hint("merge")
+    runs = runs.select(F.col("doc_id").alias(d), F.col("h").alias(h), F.col("runs").alias(r))
     without = F.arrow_udf(_without, "struct<text:string,n_lines:int,n_deleted:int>")
     joined = docs.join(runs, docs["doc_id"].eqNullSafe(F.col(d)) & (F.xxhash64(docs["text"]) == F.col(h)), "left")
     joined = joined.withColumn(v, F.when(F.col(h).isNotNull(), without(F.when(F.col(h).isNotNull(), F.col("text")), F.col(r))))

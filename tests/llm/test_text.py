@@ -382,6 +382,29 @@ def test_line_dedup_inside_and_across_lines(spark, docs_of):
     assert left == {1: " ".join(passage) + " between end", 2: "a b c " * 100, 3: "d e f " * 100}
 
 
+@pytest.mark.parametrize("at_once", [1, 7, 1000])
+def test_line_dedup_in_batches_of_any_size(spark, docs_of, at_once):
+    """What a batch finds in itself and what batches find in each other add up to the same."""
+    rng = random.Random(at_once)
+    passages = [[f"{k}p{i}" for i in range(70)] for k in range(4)]
+    rows = []
+    for d in range(80):
+        words = []
+        for _ in range(rng.randint(0, 3)):
+            p, a = rng.choice(passages), rng.randint(0, 30)
+            words += [f"{d}x{rng.randint(0, 9**9)}"] + p[a : a + rng.randint(5, 70)]
+        rows.append((d, " ".join(words)))
+    rows += [(100 + i, rows[i][1]) for i in range(0, 80, 3)] + [(200, None), (201, "")]
+    keep = [r for r in rows if r[1] and len(set(own := [tuple(r[1].split()[i : i + 20]) for i in range(len(r[1].split()) - 19)])) == len(own)]
+    assert len(keep) > 20
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", at_once)
+    try:
+        got = {r.doc_id: (r.text or "").split() for r in linededup.deduped(docs_of(keep).repartition(4), 20).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == words_left(keep, 20)
+
+
 # Pipeline
 
 
@@ -397,17 +420,23 @@ def test_pipeline_against_brute_force(spark, sf):
     rows = [{r.doc_id: r.text for r in x.collect()} for x in left[:4]]
     first = {r.doc_id: r.text for r in docs.collect()}
     assert all(first[k] == v for k, v in rows[0].items()) and all(rows[0][k] == v for k, v in rows[1].items())
-    # Line dedup: nothing that is left stands earlier in other documents; what went did.
-    earlier = set()
+    # Line dedup: what stands earlier went, and nothing else.
+    seen, exact = set(), 0
     for k in sorted(rows[1]):
-        text = rows[2].get(k, "")
-        words = [x.strip() for x in rows[1][k].split("\n") if x.strip()]
-        after = [x.strip() for x in text.split("\n") if x.strip()]
-        assert all(x in earlier or words.count(x) > 1 for x in (Counter(words) - Counter(after)))
-        earlier |= set(words)
+        words, n = rows[1][k].split(), linededup.MIN_WORDS
+        own = [tuple(words[i : i + n]) for i in range(len(words) - n + 1)]
+        gone = {j for i, w in enumerate(own) if w in seen for j in range(i, i + n)}
+        stay, after = [w for j, w in enumerate(words) if j not in gone], rows[2].get(k, "").split()
+        if len(set(own)) == len(own):
+            assert stay == after
+            exact += bool(gone)
+        else:  # repeats inside go too
+            assert not Counter(after) - Counter(stay)
+        seen |= set(own)
+    assert exact
     groups = groups_of(rows[2].items())
     keep = {k for k in rows[2] if groups.get((k, rows[2][k]), k) == k}
-    assert keep <= set(rows[3]) and len(set(rows[3]) - keep) <= 0.1 * max(1, len(rows[2]) - len(keep))
+    assert set(rows[3]) == keep
     size = Counter()
     for r in left[4].collect():
         size[r.doc_id] += r.length
