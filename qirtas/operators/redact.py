@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import hmac
+import html
+import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,32 +38,69 @@ def partly(value: Column, keep_last: int = 4, fill: str = "*") -> Column:
     return F.when(n <= keep_last, value).otherwise(F.concat(F.repeat(F.lit(fill), n - keep_last), F.right(value, F.lit(keep_last))))
 
 
-def disjoint(found: Column) -> Column:
-    """Findings by start, without those that start inside the one before."""
-    ordered = F.array_sort(found, lambda a, b: a["start"] - b["start"])
-    return F.aggregate(ordered, F.slice(ordered, 1, 0), lambda acc, m: F.when(F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(-1)) > m["start"], acc).otherwise(F.concat(acc, F.array(m))))
-
-
-def _original(text: Column, m: Column) -> Column:
-    return F.substr(text, m["start"] + 1, m["end"] - m["start"])
-
-
-def _tokens(text: Column, found: Column) -> Column:
-    """array<struct<name, original, token>>: one token for each name and original, numbered from the right."""
-    said = F.transform(F.reverse(found), lambda m: F.struct(label_of(m).alias("name"), _original(text, m).alias("original")))
-
-    def add(acc: Column, m: Column) -> Column:
-        number = F.size(F.filter(acc, lambda t: t["name"] == m["name"])) + 1
-        token = F.concat(F.lit("<"), F.upper(m["name"]), F.lit("_"), number.cast("string"), F.lit(">"))
-        return F.concat(acc, F.array(F.struct(m["name"].alias("name"), m["original"].alias("original"), token.alias("token"))))
-
-    return F.aggregate(F.array_distinct(said), F.array().cast("array<struct<name:string,original:string,token:string>>"), add)
-
-
-def last_wins(entries: Column) -> Column:
-    """A map of (key, value) entries; of equal keys the last counts."""
-    rest = lambda i: F.slice(entries, i + 2, F.size(entries))
-    return F.map_from_entries(F.filter(entries, lambda e, i: ~F.exists(rest(i), lambda x: x["key"] == e["key"])))
+Item = tuple[str, str, str, str, str, int, int]  # type, category, confidence, original, replacement, start, end
+
+
+def redact_text(text: str, found: list[dict], mode: str, salt: str = "", hash_length: int = 12, keep_last: int = 4, fill: str = "*") -> tuple[str, list[Item], dict[str, str]]:
+    """The text with every finding replaced, the items by start, and the vault (empty but for tokens): one pass over both."""
+    safe, end = [], -1
+    for m in sorted(found, key=lambda m: m["start"]):
+        if m["start"] >= end:
+            safe.append(m)
+            end = m["end"]
+    name = lambda m: m["label"] or m["entity_type"]
+    tokens: dict[tuple[str, str], str] = {}
+    vault: dict[str, str] = {}
+    if mode == "tokenize":  # one for each name and original, numbered from the right
+        count: dict[str, int] = {}
+        for m in reversed(safe):
+            key = (name(m), text[m["start"] : m["end"]])
+            if key not in tokens:
+                count[key[0]] = n = count.get(key[0], 0) + 1
+                tokens[key] = f"<{key[0].upper()}_{n}>"
+                vault[tokens[key]] = key[1]
+    out, items, at = [], [], 0
+    for m in safe:
+        start, end = m["start"], m["end"]
+        original, value = text[start:end], m["value"]
+        if mode == "mask":
+            new = f"[{name(m).upper()}]"
+        elif mode == "remove":
+            new = ""
+        elif mode == "hash":
+            new = f"[HASH:{hmac.new(salt.encode(), value.encode('utf-8', 'replace'), hashlib.sha256).hexdigest()[:hash_length]}]"
+        elif mode == "partial":
+            new = fill * len(value) if keep_last <= 0 else value if len(value) <= keep_last else fill * (len(value) - keep_last) + value[-keep_last:]
+        else:
+            new = tokens[name(m), original]
+        out += [text[at:start], new]
+        items.append((m["entity_type"], m["category"], m["confidence"], original, new, start, end))
+        at = end
+    return "".join([*out, text[at:]]), items, vault
+
+
+_ITEMS = "array<struct<entity_type:string,category:string,confidence:string,original:string,replacement:string,start:int,end:int>>"
+_AT_ONCE = 512
+
+
+def _redactor(**options):
+    kinds = [pa.string()] * 5 + [pa.int32()] * 2
+    item = pa.struct(list(zip(("entity_type", "category", "confidence", "original", "replacement", "start", "end"), kinds)))
+
+    def redact(text: pa.Array, found: pa.Array) -> pa.Array:
+        parts = []
+        for lo in range(0, max(1, len(text)), _AT_ONCE):
+            rows = [("", [], {}) if t is None else redact_text(t, f or [], **options) for t, f in zip(text.slice(lo, _AT_ONCE).to_pylist(), found.slice(lo, _AT_ONCE).to_pylist())]
+            flat = list(zip(*(i for _, items, _ in rows for i in items))) or [()] * 7
+            offsets = [0]
+            for _, items, _ in rows:
+                offsets.append(offsets[-1] + len(items))
+            structs = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(flat, kinds)], fields=list(item))
+            vault = pa.array([list(v.items()) for _, _, v in rows], pa.map_(pa.string(), pa.string()))
+            parts.append(pa.StructArray.from_arrays([pa.array([t for t, _, _ in rows], pa.string()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), structs), vault], names=["text", "items", "vault"]))
+        return pa.concat_arrays(parts)
+
+    return F.arrow_udf(redact, f"struct<text:string,items:{_ITEMS},vault:map<string,string>>")
 
 
 def redacted(
@@ -80,70 +121,50 @@ def parts(df: DataFrame, column: str, found: str, mode: str, *, salt: str = "",
         raise ValueError(f"no such mode: {mode}")
     if mode == "hash" and not salt:
         hashed(F.lit(""), salt)
-    text = F.col(column)
-    out = _bound(df, "_qirtas_safe", disjoint(F.col(found)))
-    safe = F.col("_qirtas_safe")
-    if mode == "tokenize":
-        out = _bound(out, "_qirtas_tokens", _tokens(text, safe))
-        tokens = F.col("_qirtas_tokens")
-    else:
-        tokens = F.array().cast("array<struct<name:string,original:string,token:string>>")
-
-    def replacement(m: Column) -> Column:
-        if mode == "mask":
-            return F.concat(F.lit("["), F.upper(label_of(m)), F.lit("]"))
-        if mode == "remove":
-            return F.lit("")
-        if mode == "hash":
-            return hashed(m["value"], salt, hash_length)
-        if mode == "partial":
-            return partly(m["value"], keep_last, fill)
-        return F.get(F.filter(tokens, lambda t: (t["name"] == label_of(m)) & (t["original"] == _original(text, m))), F.lit(0))["token"]
-
-    items = F.transform(
-        safe,
-        lambda m: F.struct(m["entity_type"].alias("entity_type"), m["category"].alias("category"), m["confidence"].alias("confidence"), _original(text, m).alias("original"), replacement(m).alias("replacement"), m["start"].alias("start"), m["end"].alias("end")),
-    )
-    out = _bound(out, "_qirtas_items", items)
-    spliced = F.aggregate(
-        F.col("_qirtas_items"),
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, i: F.struct(i["end"].alias("at"), F.concat(a["out"], F.substr(text, a["at"] + 1, i["start"] - a["at"]), i["replacement"]).alias("out")),
-        lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1)),
-    )
-    clean = F.when(F.size("_qirtas_items") == 0, text).otherwise(spliced)
-    vault = last_wins(F.transform(tokens, lambda t: F.struct(t["token"].alias("key"), t["original"].alias("value"))))
-    made = {f"{name}_text": F.when(text.isNotNull(), clean), f"{name}_vault": vault, f"{name}_items": F.col("_qirtas_items")}
-    return out.withColumns(made).drop("_qirtas_safe", "_qirtas_tokens", "_qirtas_items")
-
-
-def _bound(df: DataFrame, name: str, value: Column) -> DataFrame:
-    from .scan import _staged
-
-    return _staged(df, name, value)
+    text, given = F.col(column), F.col(found)
+    some = F.size(given) > 0  # all other rows stay in the JVM
+    made = _redactor(mode=mode, salt=salt, hash_length=hash_length, keep_last=keep_last, fill=fill)(F.when(some, text), F.when(some, given))
+    out = df.withColumn("_qirtas_made", made)
+    new = F.col("_qirtas_made")
+    items, vault = F.array().cast(_ITEMS), F.create_map().cast("map<string,string>")
+    made = {f"{name}_text": F.when(some, new["text"]).otherwise(text), f"{name}_vault": F.when(some, new["vault"]).otherwise(vault), f"{name}_items": F.when(some, new["items"]).when(given.isNotNull(), items)}
+    return out.withColumns(made).drop("_qirtas_made")
 
 
-def restored(text: Column, vault: Column) -> Column:
+def restore_text(text: str, vault: dict[str, str]) -> str:
     """Tokens replaced by what the vault has for them, the longest first."""
-    entries = F.array_sort(F.map_entries(vault), lambda a, b: F.length(b["key"]) - F.length(a["key"]))
-    return F.aggregate(entries, text, lambda t, e: F.replace(t, e["key"], e["value"]))
+    if all(_TOKEN.fullmatch(k) for k in vault) and not any("<" in v or ">" in v for v in vault.values()):
+        return _TOKEN.sub(lambda m: vault.get(m.group(), m.group()), text)  # then the order doesn't matter, and one pass does
+    for k in sorted(vault, key=len, reverse=True):
+        text = text.replace(k, vault[k])
+    return text
+
+
+_TOKEN = re.compile("<[^<>]*>")
+
+
+def _restore(text: pa.Array, vault: pa.Array) -> pa.Array:
+    return pa.array([None if t is None or v is None else restore_text(t, dict(v)) for t, v in zip(text.to_pylist(), vault.to_pylist())], pa.string())
+
+
+def restored(text: Column, vault: Column) -> Column:
+    some = F.size(vault) > 0
+    return F.when(some, F.arrow_udf(_restore, "string")(F.when(some, text), F.when(some, vault))).when(vault.isNotNull(), text)
+
+
+def highlight_text(text: str, found: list[dict]) -> str:
+    out, at = [], 0
+    for m in sorted(found, key=lambda m: m["start"]):
+        if m["start"] >= at:
+            out += [html.escape(text[at : m["start"]]), '<mark title="', html.escape(m["label"] or m["entity_type"]), '">', html.escape(text[m["start"] : m["end"]]), "</mark>"]
+            at = m["end"]
+    return "".join([*out, html.escape(text[at:])]).replace("\n", "<br>")
 
 
-def _escaped(x: Column) -> Column:
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
-        x = F.replace(x, F.lit(a), F.lit(b))
-    return x
+def _highlight(text: pa.Array, found: pa.Array) -> pa.Array:
+    return pa.array([None if t is None or f is None else highlight_text(t, f) for t, f in zip(text.to_pylist(), found.to_pylist())], pa.string())
 
 
 def highlighted(text: Column, found: Column) -> Column:
     """HTML of the text with every finding in a ``<mark>`` that names its type."""
-    marked = F.aggregate(
-        disjoint(found),
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, m: F.struct(
-            m["end"].alias("at"),
-            F.concat(a["out"], _escaped(F.substr(text, a["at"] + 1, m["start"] - a["at"])), F.lit('<mark title="'), _escaped(label_of(m)), F.lit('">'), _escaped(_original(text, m)), F.lit("</mark>")).alias("out"),
-        ),
-        lambda a: F.concat(a["out"], _escaped(F.substr(text, a["at"] + 1))),
-    )
-    return F.replace(marked, F.lit("\n"), F.lit("<br>"))
+    return F.arrow_udf(_highlight, "string")(text, found)

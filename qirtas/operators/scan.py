@@ -1,79 +1,121 @@
-"""Detection: normalize, detect, project back to the original offsets, resolve overlaps. No shuffle, one row at a time."""
+"""Detection: normalize, detect, project back to the original offsets, resolve overlaps. No shuffle, one row at a time.
+
+Rows in which no detector can match stay in the JVM: one regular expression tells. The others go through one Arrow UDF
+that runs all detectors over a text and accepts findings in order of rank, each by a binary search among those accepted:
+work is in proportion to the text, and the plan has one node whatever the number of detectors.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import lru_cache
+from bisect import bisect_right
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import replace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.unicode_fold import fold_arabic_digits, normalized, original_end, original_start
+from ..functions.plain import fold, fold_arabic
+from ..functions.unicode_fold import normalized
 from ..schema import CONFIDENCE_RANK, FINDINGS
-from .detectors import SHARED, Detector, defaults
-
-
-def resolve(found: Column) -> Column:
-    """Drop overlaps: higher confidence wins, then length, then the earlier start, then the earlier detector.
-
-    ``found`` is an array of structs that start with the sort key (rank, length, start, detector, sequence; the
-    first two negated) and have an ``end``. The winners come back by start.
-    """
-    kept = F.aggregate(
-        F.array_sort(found),
-        F.slice(found, 1, 0),
-        lambda acc, x: F.when(F.exists(acc, lambda k: ((k["start"] <= x["start"]) & (k["end"] > x["start"])) | ((k["start"] > x["start"]) & (k["start"] < x["end"]))), acc).otherwise(F.concat(acc, F.array(x))),
-    )
-    return F.array_sort(kept, lambda a, b: a["start"] - b["start"])
-
-
-def raw_findings(text: Column, src: Column, detectors: Sequence[Detector], folded: Column | None = None, hints: dict[str, Column] | None = None) -> Column:
-    """All detectors' findings with their sort keys, in original offsets."""
-
-    def row(k: int, rank: int):
-        def make(m: Column, i: Column) -> Column:
-            start, end = original_start(src, m["start"]), original_end(src, m["start"], m["end"])
-            return F.struct(F.lit(rank).alias("rank"), (start - end).alias("size"), start.alias("start"), F.lit(k).alias("det"), i.alias("seq"), end.alias("end"), m["value"].alias("value"), m["type"].alias("type"))
-
-        return make
+from .detectors import RAW, Detector, Text, defaults
 
-    parts = [F.transform(d.raw(text, folded, hints), row(k, -CONFIDENCE_RANK[d.confidence])) for k, d in enumerate(detectors)]
-    return F.concat(*parts)
+#: Texts that become Python objects at once.
+_AT_ONCE = 512
 
+Finding = tuple[int, int, int, str, str]  # start, end, number of the detector, value, type
 
-@lru_cache(maxsize=64)
-def _raw(detectors: tuple[Detector, ...], normalize: bool) -> Column:
-    """The findings over the staged columns; kept, since building thousands of nodes takes the driver seconds."""
-    text = F.col("_qirtas_norm.text")
-    return raw_findings(text, F.col("_qirtas_norm.src"), detectors, text if normalize else F.col("_qirtas_more.folded"), {k: F.col(f"_qirtas_more.{k}") for k in SHARED})
 
+def resolve(found: list[tuple]) -> list[tuple]:
+    """Drop overlaps: higher confidence wins, then length, then the earlier start, then the earlier detector.
 
-def _finished(kept: Column, detectors: Sequence[Detector]) -> Column:
-    said = F.array(*[F.struct(F.lit(d.category).alias("category"), F.lit(d.confidence).alias("confidence"), F.lit(d.name).alias("detector"), F.lit(d.notes).alias("notes"), F.lit(d.label).alias("label")) for d in detectors])
-
-    def row(m: Column) -> Column:
-        s = F.get(said, m["det"])
-        return F.struct(m["type"].alias("entity_type"), s["category"].alias("category"), s["confidence"].alias("confidence"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), s["detector"].alias("detector"), s["notes"].alias("notes"), s["label"].alias("label"))
-
-    return F.transform(kept, row)
+    ``found`` has tuples that begin with the sort key (negated rank, negated length, start, detector, sequence) and go on
+    with the end; the winners come back by start.
+    """
+    found.sort()
+    starts: list[int] = []
+    kept: list[tuple] = []
+    for x in found:
+        start, end = x[2], x[5]
+        i = bisect_right(starts, start)
+        if (i and kept[i - 1][5] > start) or (i < len(kept) and starts[i] < end):
+            continue
+        starts.insert(i, start)
+        kept.insert(i, x)
+    return kept
+
+
+def scan_text(text: str, detectors: Sequence[Detector], normalize: bool = True, given: dict[int, list] | None = None) -> list[Finding]:
+    """The resolved findings of a text; ``given`` has what expressions found, by number of detector."""
+    t, src = fold(text) if normalize else (text, None)
+    seen = Text(t, t if normalize else fold_arabic(t))
+    found = []
+    for k, d in enumerate(detectors):
+        rank = -CONFIDENCE_RANK[d.confidence]
+        for i, (start, end, value, kind) in enumerate(given[k] if given and k in given else d.find(seen)):
+            if src is not None:  # an end lies behind the source of the last character
+                start, end = src[start], src[end - 1] + 1 if end > start else src[start]
+            found.append((rank, start - end, start, k, i, end, value, kind))
+    return [(x[2], x[5], x[3], x[6], x[7]) for x in (resolve(found) if len(found) > 1 else found)]
+
+
+def _columns(rows: list[list[Finding] | None], detectors: Sequence[Detector]) -> pa.Array:
+    flat = [f for r in rows if r for f in r]
+    offsets, at = [], 0
+    for r in rows:
+        offsets.append(at)
+        at += len(r or ())
+    start, end, number, value, kind = zip(*flat) if flat else ((),) * 5
+    number = pa.array(number, pa.int32())
+    said = lambda x: pa.array([getattr(d, x) for d in detectors], pa.string()).take(number)
+    parts = [pa.array(kind, pa.string()), said("category"), said("confidence"), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(value, pa.string()), said("name"), said("notes"), said("label")]
+    items = pa.StructArray.from_arrays(parts, names=["entity_type", "category", "confidence", "start", "end", "value", "detector", "notes", "label"])
+    return pa.ListArray.from_arrays(pa.array([*offsets, at], pa.int32()), items, mask=pa.array([r is None for r in rows], pa.bool_()))
+
+
+def _udf(detectors: Sequence[Detector], normalize: bool) -> Callable[..., Column]:
+    # What an expression has found comes with the row; the expression itself stays here.
+    inside = [d if d.custom is None else replace(d, custom=None, python=None, pattern="") for d in detectors]
+    outside = [k for k, d in enumerate(detectors) if d.custom is not None]
+
+    def scan(text: pa.Array, *raw: pa.Array) -> pa.Array:
+        parts = []
+        for lo in range(0, max(1, len(text)), _AT_ONCE):
+            given = [x.slice(lo, _AT_ONCE).to_pylist() for x in raw]
+            rows: list[list[Finding] | None] = []
+            for i, t in enumerate(text.slice(lo, _AT_ONCE).to_pylist()):
+                if t is None:
+                    rows.append(None)
+                    continue
+                own = {k: [(m["start"], m["end"], m["value"], m["type"]) for m in x[i] or ()] for k, x in zip(outside, given)}
+                rows.append(scan_text(t, inside, normalize, own))
+            parts.append(_columns(rows, inside))
+        return pa.concat_arrays(parts)
+
+    # Typed per number of arguments, since an Arrow UDF says its types in its signature.
+    if not outside:
+        return F.arrow_udf(lambda text: scan(text), FINDINGS)
+    return F.arrow_udf(lambda text, *raw: scan(text, *raw), FINDINGS)
 
 
 def with_findings(df: DataFrame, column: str = "text", detectors: Sequence[Detector] | None = None, *, normalize: bool = True, name: str = "findings") -> DataFrame:
-    """``df`` with an array of resolved findings in ``column``. A null text has a null array.
-
-    The stages are projections of their own, so what later ones use twice is computed once.
-    """
+    """``df`` with an array of resolved findings in ``column``. A null text has a null array."""
     detectors = list(detectors) if detectors is not None else defaults()
+    text, none = F.col(column), F.array().cast(FINDINGS)
     if not detectors:
-        return df.withColumn(name, F.when(F.col(column).isNotNull(), F.array().cast(FINDINGS)))
-    norm = normalized(F.col(column)) if normalize else F.struct(F.col(column).alias("text"), F.lit(None).cast("array<int>").alias("src"))
-    # After normalization the Arabic digits are folded already.
-    more = [F.col("_qirtas_norm.text").rlike(rx).alias(k) for k, rx in SHARED.items()] + ([] if normalize else [fold_arabic_digits(F.col("_qirtas_norm.text")).alias("folded")])
-    out = _staged(_staged(df, "_qirtas_norm", norm), "_qirtas_more", F.struct(*more))
-    out = _staged(out, "_qirtas_raw", _raw(tuple(detectors), normalize)).drop("_qirtas_norm", "_qirtas_more")
-    kept = F.when(F.size("_qirtas_raw") <= 1, F.col("_qirtas_raw")).otherwise(resolve(F.col("_qirtas_raw")))
-    out = _staged(out, "_qirtas_kept", kept).drop("_qirtas_raw")
-    return out.withColumn(name, F.when(F.col(column).isNotNull(), _finished(F.col("_qirtas_kept"), detectors))).drop("_qirtas_kept")
+        return df.withColumn(name, F.when(text.isNotNull(), none))
+    own = [d.custom for d in detectors if d.custom is not None]
+    if own:
+        norm = normalized(text)["text"] if normalize else text
+        out = _staged(df, "_qirtas_norm", norm)
+        names = [f"_qirtas_own{k}" for k in range(len(own))]
+        for n, c in zip(names, own):
+            out = _staged(out, n, c(F.col("_qirtas_norm")).cast(RAW))
+        return out.withColumn(name, _udf(detectors, normalize)(text, *names)).drop("_qirtas_norm", *names)
+    if any(d.seen is None for d in detectors):
+        return df.withColumn(name, _udf(detectors, normalize)(text))
+    gate = text.rlike("|".join(dict.fromkeys(["[^\\x00-\\x7f]", *(d.seen for d in detectors)])))
+    return df.withColumn(name, F.coalesce(_udf(detectors, normalize)(F.when(gate, text)), F.when(text.isNotNull(), none)))
 
 
 def _staged(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -104,18 +146,36 @@ def filtered(found: Column, *, min_confidence: str = "low", only: Sequence[str]
     return F.filter(found, keep)
 
 
+def _chunks(keys: int, chunk: int, margin: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Cuts texts into chunks with their numbers and first characters, in one pass."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in enumerate(batch.column(keys)):
+                text = text.as_py()
+                row = batch.slice(i, 1)
+                for k in range(-(-len(text) // chunk)):
+                    lo = max(k * chunk - margin, 0)
+                    part = pa.array([text[lo : (k + 1) * chunk + margin]], pa.string())
+                    yield pa.RecordBatch.from_arrays([*row.columns[:keys], part, pa.array([k], pa.int32()), pa.array([lo], pa.int32())], names=[*batch.schema.names, "_qirtas_k", "_qirtas_lo"])
+
+    return cut
+
+
 def chunked_findings(df: DataFrame, keys: Sequence[str], column: str = "text", detectors: Sequence[Detector] | None = None, *, chunk: int = 1 << 16, margin: int = 512, **options) -> DataFrame:
     """Findings of very long texts, cut into chunks that are scanned apart, with margins on both sides.
 
     A finding belongs to the chunk in which it starts. Equal to ``findings`` as long as no finding with its keyword
-    is longer than ``margin`` and no chain of overlaps is longer than that.
+    is longer than ``margin`` and no chain of overlaps is longer than that. Texts of one chunk are scanned where they lie;
+    the chunks of longer ones are dealt to all tasks.
     """
     if not 0 < margin < chunk:
         raise ValueError("margin must be less than chunk")
-    size = F.length(column)
-    cut = df.select(*keys, F.col(column).alias("_qirtas_t"), F.explode(F.sequence(F.lit(0), F.floor(F.greatest(size - 1, F.lit(0)) / chunk).cast("int"))).alias("_qirtas_k"))
-    low = F.greatest(F.col("_qirtas_k") * chunk - margin, F.lit(0))
-    cut = cut.select(*keys, "_qirtas_k", low.alias("_qirtas_lo"), F.substr("_qirtas_t", low + 1, F.lit(chunk + 2 * margin)).alias(column))
+    rows = df.select(*keys, column)
+    long = rows.where(F.length(column) > chunk)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    cut = long.mapInArrow(_chunks(len(keys), chunk, margin), f"{kinds}, _qirtas_k int, _qirtas_lo int").repartition(*keys, "_qirtas_k")
     out = findings(cut, [*keys, "_qirtas_k", "_qirtas_lo"], column, detectors, **options)
     out = out.withColumn("start", F.col("start") + F.col("_qirtas_lo")).withColumn("end", F.col("end") + F.col("_qirtas_lo"))
-    return out.where(F.floor(F.col("start") / chunk) == F.col("_qirtas_k")).drop("_qirtas_k", "_qirtas_lo")
+    out = out.where(F.floor(F.col("start") / chunk) == F.col("_qirtas_k")).drop("_qirtas_k", "_qirtas_lo")
+    return findings(rows.where(F.length(column) <= chunk), keys, column, detectors, **options).union(out)
