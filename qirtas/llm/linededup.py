@@ -48,7 +48,7 @@ _SLICE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _NEVER = 2**31 - 1
 #: Characters of text that are in work at once, unless one text has more.
-_CHARS = 1 << 22
+_CHARS = 1 << 21
 #: Kinds of rows: a range, a fingerprint whose ranges differ, a window, words that go.
 _RANGE, _DIFFERS, _WINDOW, _GONE = range(4)
 
@@ -74,7 +74,7 @@ class _Words(dict):
     """Hashes of words."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 1 << 19:
+        if len(self) > 1 << 18:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -113,7 +113,7 @@ class Batch:
             return
         self.owner = owner[self.at]
         upto = np.zeros(total + 1, np.uint64)
-        hashes = np.fromiter((_WORDS[w] for x in words for w in x), np.uint64, total)
+        hashes = np.fromiter(map(_WORDS.__getitem__, itertools.chain.from_iterable(words)), np.uint64, total)
         np.cumsum(hashes * _upto(total, _BASE)[:total], out=upto[1:])
         self.upto, self.inverse = upto, _upto(total, pow(_BASE, -1, 1 << 64))
         short = max(1, min_words // 2)
@@ -274,28 +274,31 @@ def _bitmap(rows: pa.Table) -> pa.Table:
     return pa.table({"slice": rows.column("slice").slice(0, 1), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
 
 
-def _marked(ranges: DataFrame) -> np.ndarray:
-    """A bitmap of ranges (k, s) and their texts, by the low bits of what stands for them."""
-    size = min(MAX_BITS, max(_SLICE, 1 << (32 * ranges.count()).bit_length()))
+def _marked(bits: DataFrame) -> np.ndarray:
+    """A bitmap of some hashes (column bit), by their low bits."""
+    size = min(MAX_BITS, max(_SLICE, 1 << (32 * bits.count()).bit_length()))
     bit = F.col("bit").bitwiseAND(F.lit(size - 1))
     # Bits are made distinct before they meet, so a slice has a bounded number.
-    slices = ranges.mapInArrow(_bits_of, "bit long").select(bit.alias("bit")).distinct().withColumn("slice", (F.col("bit") / F.lit(_SLICE)).cast("int"))
+    slices = bits.select(bit.alias("bit")).distinct().withColumn("slice", (F.col("bit") / F.lit(_SLICE)).cast("int"))
     out = np.zeros(size // 8, np.uint8)
     for r in slices.groupBy("slice").applyInArrow(_bitmap, "slice int, bits binary").toLocalIterator():
         out[r.slice * _SLICE // 8 : (r.slice + 1) * _SLICE // 8] = np.frombuffer(r.bits, np.uint8)
     return out
 
 
+def _holds(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    low = hashes & np.int64(8 * len(bits) - 1)
+    return (bits[low >> 3] >> (7 - (low & 7)).astype(np.uint8) & 1).astype(bool)
+
+
 def _windows(min_words: int, marked):
     """Second step: the windows of the ranges that are marked."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = marked.value
-        mask = np.int64(8 * len(bits) - 1)
 
         def wanted(k: np.ndarray, s) -> np.ndarray:
-            low = _bit(k, s) & mask
-            return (bits[low >> 3] >> (7 - (low & 7)).astype(np.uint8) & 1).astype(bool)
+            return _holds(bits, _bit(k, s))
 
         for texts, part in _grouped(batches, wanted):
             b = Batch(texts, min_words)
@@ -338,7 +341,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     met = found.where(F.col("kind").isin(_RANGE, _DIFFERS)).withColumn("differ", (F.max("kind").over(of) == _DIFFERS) | (F.min("b").over(of) != F.max("b").over(of)))
     met = met.where(F.col("kind") == _RANGE).withColumn("later", F.dense_rank().over(alike) > 1).where("differ or later")
     met = written(met.select("doc_id", "h", "s", "x", "later"), "met")
-    marked = docs.sparkSession.sparkContext.broadcast(_marked(met.where("not later").select(F.xxhash64("doc_id", "h").alias("k"), "s")))
+    marked = docs.sparkSession.sparkContext.broadcast(_marked(met.where("not later").select(F.xxhash64("doc_id", "h").alias("k"), "s").mapInArrow(_bits_of, "bit long")))
     more = written(rows.mapInArrow(_windows(min_words, marked), schema), "windows")
 
     # Windows meet by content.
@@ -403,21 +406,27 @@ def _without(text: pa.Array, runs: pa.Array) -> pa.Array:
 def deduped(docs: DataFrame, min_words: int = MIN_WORDS, *, counts: bool = False, drop_emptied: bool = False) -> DataFrame:
     """``docs`` without repeated runs, with the same columns; with ``counts`` also ``n_lines`` and ``n_deleted``.
 
-    Only the texts of documents with something to delete reach Python a second time.
+    Which documents have something to delete is told to the tasks as a bitmap; the texts of the others aren't shuffled
+    and don't reach Python a second time.
     """
+    spark = docs.sparkSession
     runs = written(repeated_runs(docs, min_words), "runs")
+    bits = spark.sparkContext.broadcast(_marked(runs.select(F.xxhash64("doc_id", "h").alias("bit"))))
     d, h, r, v = (free_name(docs, x) for x in ("run_doc", "text_hash", "runs", "edited"))
+    some = F.arrow_udf(lambda k: pa.array(_holds(bits.value, k.to_numpy())), "boolean")(F.xxhash64("doc_id", F.xxhash64("text")))
     runs = runs.select(F.col("doc_id").alias(d), F.col("h").alias(h), F.col("runs").alias(r))
     without = F.arrow_udf(_without, "struct<text:string,n_lines:int,n_deleted:int>")
-    joined = docs.join(runs, docs["doc_id"].eqNullSafe(F.col(d)) & (F.xxhash64(docs["text"]) == F.col(h)), "left")
-    joined = joined.withColumn(v, F.when(F.col(h).isNotNull(), without(F.when(F.col(h).isNotNull(), F.col("text")), F.col(r))))
-    out = joined.withColumn("text", F.when(F.col(h).isNotNull(), F.col(f"{v}.text")).otherwise(F.col("text")))
+    touched = docs.where(some).join(runs, docs["doc_id"].eqNullSafe(F.col(d)) & (F.xxhash64(docs["text"]) == F.col(h)), "left")
+    touched = touched.withColumn(v, F.when(F.col(h).isNotNull(), without(F.when(F.col(h).isNotNull(), F.col("text")), F.col(r))))
+    edited = touched.withColumn("text", F.when(F.col(h).isNotNull(), F.col(f"{v}.text")).otherwise(F.col("text")))
     if drop_emptied:
-        out = out.where(F.col(h).isNull() | F.col("text").rlike(r"\S"))
+        edited = edited.where(F.col(h).isNull() | F.col("text").rlike(r"\S"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col(h).isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    extra = [F.coalesce(F.col(f"{v}.n_lines"), F.size(F.split("text", "\n"))).alias("n_lines"), F.coalesce(F.col(f"{v}.n_deleted"), F.lit(0)).alias("n_deleted")]
-    return out.select(*docs.columns, *(extra if counts else []))
+        edited = edited.withColumn("n_chars", F.when(F.col(h).isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    lines, none = F.size(F.split("text", "\n")), F.lit(0)
+    left = docs.where(~some).select(*docs.columns, *([lines.alias("n_lines"), none.alias("n_deleted")] if counts else []))
+    extra = [F.coalesce(F.col(f"{v}.n_lines"), lines).alias("n_lines"), F.coalesce(F.col(f"{v}.n_deleted"), none).alias("n_deleted")]
+    return left.union(edited.select(*docs.columns, *(extra if counts else [])))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
