@@ -1,32 +1,36 @@
 """Exact top-k search by inner product: tiles of a matrix product, partial selection, tree merging.
 
-Vectors are dealt to ``G`` blocks by a hash of their id; every pair of a query block and a shard block is a cell
-of a G x G grid and one task's work. In it queries go through in tiles: one matrix product per tile in double
-precision, a partial selection (not a sort) of the k best of each query, and only those leave the task. The lists
-of a query are merged eight at a time until one is left, so no task holds more than eight lists per query.
+Queries and vectors are dealt to blocks by a hash of their id; blocks have so many vectors as ``QUERY_BYTES`` and
+``SHARD_BYTES`` hold. Every pair of a query block and a shard is a cell and one task's work: queries go through in
+tiles, one matrix product per tile in double precision, a partial selection (not a sort) of the k best of each query,
+and only those leave the task. The lists of a query are merged eight at a time until one is left, so no task holds more
+than eight lists per query. A vector is copied once for each query block, a query once for each shard.
 
-Every row is a query against all other rows. Equal scores go to the smaller id.
+``queries`` says which rows ask, all by default; every row answers. A row is no answer to itself. Equal scores go to
+the smaller id.
 
 Cases: rows with a null id, or with a vector that is null, empty or has a null, NaN or infinite element, neither
-ask nor answer. Vectors that aren't as long as the longest usual one (the most frequent length, of equals the
-greater) are left out too. Of rows with the same id the one with the least vector counts. A query with fewer than
+ask nor answer; ``left_out`` counts them. A query is answered by vectors of its own length, since others have no product
+with it. Of rows with the same id and length the one with the least vector counts. A query with fewer than
 k others gets all of them. Empty tables give empty results; other columns are left alone.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
 
 K = 10
-#: Vectors in a block: a task holds two blocks and one tile of scores.
-BLOCK_ROWS, TILE_ROWS = 8192, 512
+#: A task holds a block of queries, a shard, and one tile of scores.
+QUERY_BYTES, SHARD_BYTES, TILE_ROWS = 64 << 20, 16 << 20, 512
+#: The set of queries of ``op9_topk``.
+EVERY = 50
 FAN_IN = 8
 
 
@@ -50,9 +54,15 @@ def select(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return best_s, best_i
 
 
-def _matrix(t: pa.Table, name: str) -> np.ndarray:
-    col = t.column(name).combine_chunks()
-    return np.asarray(col.flatten(), dtype=np.float64).reshape(len(col), -1) if len(col) else np.zeros((0, 0))
+def _vectors(t: pa.Table, names: tuple[str, str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of a block, each id once with its least vector."""
+    ids, col = t.column(names[0]).to_numpy(), t.column(names[1]).combine_chunks()
+    x = np.asarray(col.flatten(), dtype=np.float64).reshape(len(col), -1)
+    if len(np.unique(ids)) < len(ids):
+        order = np.lexsort((*x.T[::-1], ids))
+        order = order[np.r_[True, ids[order[1:]] != ids[order[:-1]]]]
+        ids, x = ids[order], x[order]
+    return ids, x
 
 
 def _cell(k: int):
@@ -61,57 +71,84 @@ def _cell(k: int):
     def cell(queries: pa.Table, shard: pa.Table) -> pa.Table:
         if not queries.num_rows or not shard.num_rows:  # a side without rows comes without columns
             return pa.table({"vec_id": pa.array([], pa.int64()), "part": pa.array([], pa.int64()), "best": pa.array([], kind)})
-        ids = shard.column("other").to_numpy()
-        asks = queries.column("vec_id").to_numpy()
-        q, x = _matrix(queries, "embedding"), _matrix(shard, "vector").T
+        asks, q = _vectors(queries, ("vec_id", "embedding"))
+        ids, x = _vectors(shard, ("other", "vector"))
         out_s, out_i = [], []
-        for lo in range(0, len(asks) if len(ids) else 0, TILE_ROWS):
-            scores = q[lo : lo + TILE_ROWS] @ x
-            scores[asks[lo : lo + TILE_ROWS, None] == ids[None]] = -np.inf
+        for lo in range(0, len(asks), TILE_ROWS):
+            scores = q[lo : lo + TILE_ROWS] @ x.T
+            own, at = np.nonzero(asks[lo : lo + TILE_ROWS, None] == ids[None])
+            scores[own, at] = -np.inf
             s, i = select(scores, ids, k)
             out_s.append(s)
             out_i.append(i)
-        s, i = (np.concatenate(v) if v else np.zeros((0, k)) for v in (out_s, out_i))
+        s, i = np.concatenate(out_s), np.concatenate(out_i)
         some = s > -np.inf
         offsets = np.concatenate([[0], np.cumsum(some.sum(axis=1))]).astype(np.int32)
         best = pa.StructArray.from_arrays([pa.array(-s[some]), pa.array(i[some].astype(np.int64))], names=["s", "id"])
-        part = queries.column("part").to_numpy() if len(s) else np.zeros(0, np.int64)
-        return pa.table({"vec_id": pa.array(asks if len(s) else np.zeros(0, np.int64)), "part": pa.array(part), "best": pa.ListArray.from_arrays(pa.array(offsets), best).cast(kind)})
+        part = np.full(len(asks), queries.column("part")[0].as_py(), np.int64)
+        return pa.table({"vec_id": pa.array(asks), "part": pa.array(part), "best": pa.ListArray.from_arrays(pa.array(offsets), best).cast(kind)})
 
     return cell
 
 
-def nearest(vectors: DataFrame, k: int = K, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """vec_id, rank (from 1), neighbour, score: the k largest inner products of every row."""
-    sound = "vec_id is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))"
-    rows = vectors.where(sound).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
-    rows = rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    sizes = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    width = sizes[0]["d"] if sizes else 0
-    n = sizes[0]["count"] if sizes else 0
-    rows = rows.where(F.size("embedding") == width)
-    grid = max(1, math.ceil(n / block_rows))
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(grid))
-    others = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(grid - 1).cast("long")))
-    asks = rows.select("vec_id", "embedding", block.alias("b"), others.alias("part")).withColumn("cell", F.col("b") * grid + F.col("part")).drop("b")
+def _least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the rows of a batch with the same id (and length) the one with the least vector, so no id fills a block."""
+    for batch in batches:
+        ids = batch.column("vec_id").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        again = np.zeros(len(ids), bool)
+        same = ids[order[1:]] == ids[order[:-1]]
+        again[order[1:][same]] = again[order[:-1][same]] = True
+        best: dict[tuple, tuple[list, int]] = {}
+        for i in np.flatnonzero(again).tolist():
+            key = tuple(batch.column(x)[i].as_py() for x in ("vec_id", "_asks", "d"))
+            best[key] = min(best.get(key, ([float("inf")], -1)), (batch.column("embedding")[i].as_py(), i))
+        again[[i for _, i in best.values()]] = False
+        yield batch.filter(pa.array(~again)) if best else batch
+
+
+_SOUND = "coalesce(vec_id is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')), false)"
+
+
+def left_out(vectors: DataFrame) -> DataFrame:
+    """n: how many rows neither ask nor answer."""
+    return vectors.agg(F.count_if(~F.expr(_SOUND)).alias("n"))
+
+
+def nearest(vectors: DataFrame, k: int = K, *, queries: Column | None = None, query_bytes: int = QUERY_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """vec_id, rank (from 1), neighbour, score: the k largest inner products of every row that asks."""
+    exact = vectors.schema["embedding"].dataType.elementType.typeName() in ("float", "double")
+    rows = vectors.withColumn("_asks", F.lit(True) if queries is None else F.coalesce(queries, F.lit(False))).where(_SOUND)
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding") if exact else F.col("embedding").cast("array<double>").alias("embedding"), "_asks", F.size("embedding").alias("d"))
+    rows = rows.mapInArrow(_least, rows.schema)
+    # One row a length: as many blocks as its vectors need.
+    blocks = lambda n, most: F.greatest(F.ceil(n * F.col("d") * 8 / F.lit(most)), F.lit(1)).cast("long")
+    sizes = rows.groupBy("d").agg(blocks(F.count_if("_asks"), query_bytes).alias("g"), blocks(F.count("*"), shard_bytes).alias("n"))
+    rows = rows.join(sizes, "d")
+    block = lambda of: F.pmod(F.xxhash64("vec_id"), F.col(of))
+    each = lambda of: F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
+    asks = rows.where("_asks").select("d", "vec_id", "embedding", block("g").alias("b"), each("n").alias("part"))
     # Names of their own: columns that both sides have from one table would be pruned from the second.
-    shards = rows.select(F.col("vec_id").alias("other"), F.col("embedding").alias("vector"), block.alias("part"), others.alias("b")).withColumn("cell", F.col("b") * grid + F.col("part")).drop("b", "part")
-    lists = asks.groupBy("cell").cogroup(shards.groupBy("cell")).applyInArrow(_cell(k), "vec_id long, part long, best array<struct<s:double,id:long>>")
+    shards = rows.select(F.col("d").alias("d2"), F.col("vec_id").alias("other"), F.col("embedding").alias("vector"), block("n").alias("part2"), each("g").alias("b2"))
+    lists = asks.groupBy("d", "b", "part").cogroup(shards.groupBy("d2", "b2", "part2")).applyInArrow(_cell(k), "vec_id long, part long, best array<struct<s:double,id:long>>")
     merged = F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best")
-    while grid > 1:
+    most = sizes.agg(F.max("n")).first()[0] or 1
+    while True:  # once at least: an id may ask with vectors of two lengths
         lists = lists.groupBy("vec_id", F.floor(F.col("part") / FAN_IN).alias("part")).agg(merged)
-        grid = math.ceil(grid / FAN_IN)
+        most = -(-most // FAN_IN)
+        if most <= 1:
+            break
     out = lists.select("vec_id", F.posexplode("best").alias("rank", "b"))
     return out.select("vec_id", (F.col("rank") + 1).alias("rank"), F.col("b.id").alias("neighbour"), F.round(-F.col("b.s"), 6).alias("score"))
 
 
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearest(table(spark, sf_dir, "embeddings"))
+    return nearest(table(spark, sf_dir, "embeddings"), queries=F.col("vec_id") % EVERY == 0)
 
 
 SQL = """
 WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-p AS (SELECT a.vec_id, b.vec_id AS neighbour, list_inner_product(a.v, b.v) AS s FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+p AS (SELECT a.vec_id, b.vec_id AS neighbour, list_inner_product(a.v, b.v) AS s FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, neighbour) AS rank FROM p)
 SELECT vec_id, CAST(rank AS INTEGER) AS rank, neighbour, round(s, 6) AS score FROM r WHERE rank <= 10
 """
