@@ -8,11 +8,15 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Texts that become Python objects at once: an Arrow batch has more, and its copy would double a worker's memory.
 ROWS_AT_ONCE = 1000
+#: Bits of a bitmap that is sent to the tasks, at most (64 MB), and of what one task makes of it.
+MAX_BITS, _SLICE = 1 << 29, 1 << 20
 
 _LOCAL: list[str] = []
 
@@ -56,6 +60,33 @@ def written(df: DataFrame, name: str, coalesce: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _slice_bits(rows: pa.Table) -> pa.Table:
+    bits = np.zeros(_SLICE, bool)
+    bits[rows.column("bit").to_numpy() % _SLICE] = True
+    return pa.table({"slice": rows.column("slice").slice(0, 1), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+
+def bitmap(hashes: DataFrame) -> np.ndarray:
+    """A bitmap of some hashes (a column ``bit``), by their low bits: at most ``MAX_BITS`` bits, so it may be broadcast.
+
+    It has a hash for certain if that is among them; another one by chance, the more often the fuller it is.
+    """
+    size = min(MAX_BITS, max(_SLICE, 1 << (32 * hashes.count()).bit_length()))
+    low = F.col("bit").bitwiseAND(F.lit(size - 1))
+    # Bits are made distinct before they meet, so a slice has a bounded number.
+    slices = hashes.select(low.alias("bit")).distinct().withColumn("slice", (F.col("bit") / F.lit(_SLICE)).cast("int"))
+    out = np.zeros(size // 8, np.uint8)
+    for r in slices.groupBy("slice").applyInArrow(_slice_bits, "slice int, bits binary").toLocalIterator():
+        out[r.slice * _SLICE // 8 : (r.slice + 1) * _SLICE // 8] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def holds(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of ``hashes`` a bitmap has."""
+    low = hashes & np.int64(8 * len(bits) - 1)
+    return (bits[low >> 3] >> (7 - (low & 7)).astype(np.uint8) & 1).astype(bool)
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` doesn't have, whatever case its names are in."""
     taken = {c.lower() for c in df.columns}

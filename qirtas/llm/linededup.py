@@ -12,7 +12,7 @@ fingerprint: some eight for every hundred words, and equal windows have equal fi
 2. Where a fingerprint has ranges that differ, as at both ends of a run, each different range is given out window by
    window, and windows meet by a hash of all their words. So each match is extended word by word both ways, whichever
    earlier document a word came from (pairwise extension from the first partner alone would stop short where that
-   partner's run is shorter). Which ranges these are is told to the tasks as a bitmap of at most ``MAX_BITS`` bits: a
+   partner's run is shorter). Which ranges these are is told to the tasks as a bitmap of bounded size: a
    bit set by another range costs some windows more in the join and changes no result.
 
 Both joins are of what a batch of documents has left after looking in itself: a fingerprint or window that very many
@@ -40,11 +40,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ROWS_AT_ONCE, free_name, table, written
+from .common import ROWS_AT_ONCE, bitmap, free_name, holds, table, written
 
 MIN_WORDS = 50
-MAX_BITS = 1 << 29
-_SLICE = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _NEVER = 2**31 - 1
 #: Characters of text that are in work at once, unless one text has more.
@@ -268,29 +266,6 @@ def _bits_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[_bit(k, batch.column("s").to_numpy()), np.unique(_bit(k, -1))])], names=["bit"])
 
 
-def _bitmap(rows: pa.Table) -> pa.Table:
-    bits = np.zeros(_SLICE, bool)
-    bits[rows.column("bit").to_numpy() % _SLICE] = True
-    return pa.table({"slice": rows.column("slice").slice(0, 1), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
-
-
-def _marked(bits: DataFrame) -> np.ndarray:
-    """A bitmap of some hashes (column bit), by their low bits."""
-    size = min(MAX_BITS, max(_SLICE, 1 << (32 * bits.count()).bit_length()))
-    bit = F.col("bit").bitwiseAND(F.lit(size - 1))
-    # Bits are made distinct before they meet, so a slice has a bounded number.
-    slices = bits.select(bit.alias("bit")).distinct().withColumn("slice", (F.col("bit") / F.lit(_SLICE)).cast("int"))
-    out = np.zeros(size // 8, np.uint8)
-    for r in slices.groupBy("slice").applyInArrow(_bitmap, "slice int, bits binary").toLocalIterator():
-        out[r.slice * _SLICE // 8 : (r.slice + 1) * _SLICE // 8] = np.frombuffer(r.bits, np.uint8)
-    return out
-
-
-def _holds(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    low = hashes & np.int64(8 * len(bits) - 1)
-    return (bits[low >> 3] >> (7 - (low & 7)).astype(np.uint8) & 1).astype(bool)
-
-
 def _windows(min_words: int, marked):
     """Second step: the windows of the ranges that are marked."""
 
@@ -298,7 +273,7 @@ def _windows(min_words: int, marked):
         bits = marked.value
 
         def wanted(k: np.ndarray, s) -> np.ndarray:
-            return _holds(bits, _bit(k, s))
+            return holds(bits, _bit(k, s))
 
         for texts, part in _grouped(batches, wanted):
             b = Batch(texts, min_words)
@@ -341,7 +316,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     met = found.where(F.col("kind").isin(_RANGE, _DIFFERS)).withColumn("differ", (F.max("kind").over(of) == _DIFFERS) | (F.min("b").over(of) != F.max("b").over(of)))
     met = met.where(F.col("kind") == _RANGE).withColumn("later", F.dense_rank().over(alike) > 1).where("differ or later")
     met = written(met.select("doc_id", "h", "s", "x", "later"), "met")
-    marked = docs.sparkSession.sparkContext.broadcast(_marked(met.where("not later").select(F.xxhash64("doc_id", "h").alias("k"), "s").mapInArrow(_bits_of, "bit long")))
+    marked = docs.sparkSession.sparkContext.broadcast(bitmap(met.where("not later").select(F.xxhash64("doc_id", "h").alias("k"), "s").mapInArrow(_bits_of, "bit long")))
     more = written(rows.mapInArrow(_windows(min_words, marked), schema), "windows")
 
     # Windows meet by content.
@@ -411,9 +386,9 @@ def deduped(docs: DataFrame, min_words: int = MIN_WORDS, *, counts: bool = False
     """
     spark = docs.sparkSession
     runs = written(repeated_runs(docs, min_words), "runs")
-    bits = spark.sparkContext.broadcast(_marked(runs.select(F.xxhash64("doc_id", "h").alias("bit"))))
+    bits = spark.sparkContext.broadcast(bitmap(runs.select(F.xxhash64("doc_id", "h").alias("bit"))))
     d, h, r, v = (free_name(docs, x) for x in ("run_doc", "text_hash", "runs", "edited"))
-    some = F.arrow_udf(lambda k: pa.array(_holds(bits.value, k.to_numpy())), "boolean")(F.xxhash64("doc_id", F.xxhash64("text")))
+    some = F.arrow_udf(lambda k: pa.array(holds(bits.value, k.to_numpy())), "boolean")(F.xxhash64("doc_id", F.xxhash64("text")))
     runs = runs.select(F.col("doc_id").alias(d), F.col("h").alias(h), F.col("runs").alias(r))
     without = F.arrow_udf(_without, "struct<text:string,n_lines:int,n_deleted:int>")
     touched = docs.where(some).join(runs, docs["doc_id"].eqNullSafe(F.col(d)) & (F.xxhash64(docs["text"]) == F.col(h)), "left")

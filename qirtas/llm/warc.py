@@ -1,10 +1,12 @@
 """WARC revisit resolution (ISO 28500).
 
-Only headers are shuffled: every archive is parsed where it lies, and (digest, kind, date, place) of its records
-go by payload digest. The earliest response of a digest is its original; ties go to the smaller (archive, part,
+Only headers are shuffled by digest: every archive is parsed where it lies, and (digest, kind, date, place) of its
+records go by payload digest. The earliest response of a digest is its original; ties go to the smaller (archive, part,
 position). A later response with the same digest becomes a revisit record without its payload; a revisit record
 is joined to the original of its digest. The decisions then go back to the archives, which are written anew with
-fresh headers: record ids, lengths, block digests, and the ``WARC-Refers-To*`` fields of revisits.
+fresh headers: record ids, lengths, block digests, and the ``WARC-Refers-To*`` fields of revisits, of which
+``WARC-Refers-To`` is the id that the original gets in its new archive. Which archives a decision changes is told to the
+tasks as a bitmap; the others are written where they lie and not shuffled. ``save`` writes them as files.
 
 Payload digests of responses are computed, never trusted; a revisit has no payload, so its stated digest counts.
 
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import bitmap, holds, sliced, table, written
 
 PAGES_PER_ARCHIVE = 1024
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
@@ -186,15 +188,34 @@ def captured(pages: DataFrame) -> DataFrame:
     return pages.select(F.floor(F.col("page_id") / PAGES_PER_ARCHIVE).alias("archive"), F.col("page_id").alias("part"), warc.alias("warc"))
 
 
+def _raw(batch: pa.RecordBatch) -> Iterator[bytes]:
+    """The bytes of each archive of a batch: its column ``warc``, or the file at its ``path``."""
+    if "warc" in batch.schema.names:
+        for raw in batch.column("warc"):
+            yield raw.as_py() or b""
+        return
+    from pyarrow import fs
+
+    for path in batch.column("path").to_pylist():
+        where, at = fs.FileSystem.from_uri(path)
+        with where.open_input_stream(at, compression=None) as f:
+            yield f.read()
+
+
+def _source(archives: DataFrame) -> str:
+    """What stands for an archive's bytes; with a path only that is shuffled."""
+    return "path" if "path" in archives.columns else "warc"
+
+
 def headers(archives: DataFrame) -> DataFrame:
     """archive, part, position, kind, uri, date, digest, record_id of every record."""
     names = ["position", "kind", "uri", "date", "digest", "record_id"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows, owner = [], []
-            for i, raw in enumerate(batch.column("warc")):
-                for at, r in enumerate(parse(raw.as_py() or b"")[0]):
+            for i, raw in enumerate(_raw(batch)):
+                for at, r in enumerate(parse(raw)[0]):
                     kind = r.get("WARC-Type")
                     d = digest(r.payload) if kind == "response" else r.get("WARC-Payload-Digest") if kind == "revisit" else None
                     rows.append((at, kind, r.get("WARC-Target-URI"), r.get("WARC-Date"), d, r.get("WARC-Record-ID")))
@@ -205,16 +226,21 @@ def headers(archives: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("archive").take(take), batch.column("part").take(take), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["archive", "part", *names])
 
     place = ", ".join(f"{c} {archives.schema[c].dataType.simpleString()}" for c in ("archive", "part"))
-    return archives.select("archive", "part", "warc").mapInArrow(read, f"{place}, position int, kind string, uri string, date string, digest string, record_id string")
+    return archives.select("archive", "part", _source(archives)).mapInArrow(read, f"{place}, position int, kind string, uri string, date string, digest string, record_id string")
+
 
+def new_id(archive, part, position: int, old: str | None) -> str:
+    """A record's id in the deduplicated archive, known from its place alone."""
+    return f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{archive}/{part}/{position}/{old}/deduplicated')}>"
 
-def rewrite(raw: bytes, refers: dict[int, tuple], compress: bool) -> tuple[bytes, int, int, int, int]:
-    """The archive written anew; ``refers`` has for each position the original's (uri, date, record id)."""
+
+def rewrite(raw: bytes, place: tuple, refers: dict[int, tuple], compress: bool) -> tuple[bytes, int, int, int, int]:
+    """The archive at ``place`` (archive, part) written anew; ``refers`` has for each position the original's (uri, date, new record id)."""
     records, bad = parse(raw)
     out, revisits, unresolved = [], 0, 0
     for at, r in enumerate(records):
         kind, old = r.get("WARC-Type"), r.get("WARC-Record-ID")
-        head = [("WARC-Type", kind or "unknown"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(_NAMESPACE, f'{old}/{at}/deduplicated')}>")]
+        head = [("WARC-Type", kind or "unknown"), ("WARC-Record-ID", new_id(*place, at, old))]
         to = refers.get(at)
         stated = digest(r.payload) if kind == "response" else r.get("WARC-Payload-Digest")
         if to:
@@ -232,25 +258,32 @@ def rewrite(raw: bytes, refers: dict[int, tuple], compress: bool) -> tuple[bytes
 
 
 def resolved(archives: DataFrame, compress: bool = True) -> DataFrame:
-    """archive, part, warc, n_records, n_revisits, n_unresolved, n_bad: the deduplicated archives."""
+    """archive, part, warc, n_records, n_revisits, n_unresolved, n_bad: the deduplicated archives.
+
+    ``archives`` has (archive, part) and the bytes as ``warc``, or a ``path`` to them that all executors can open.
+    """
     found = written(headers(archives), "warc-headers")
     known = found.where("digest is not null and kind in ('response', 'revisit')")
     place = F.struct(F.col("date"), "archive", "part", "position")
     # A partial aggregate by digest: a payload captured a million times costs one row per task here.
     first = known.where("kind = 'response'").groupBy("digest").agg(F.min_by(F.struct("archive", "part", "position", "uri", F.col("date"), "record_id"), place).alias("f"))
-    # Originals and references grow with the archives: merge joins at every size, no broadcast while they are few.
-    later = known.select("digest", "archive", "part", "position").join(first.hint("merge"), "digest")
+    later = known.select("digest", "archive", "part", "position").join(first, "digest")
     later = later.where("not (archive <=> f.archive and part <=> f.part and position = f.position)")
-    refers = later.groupBy("archive", "part").agg(F.collect_list(F.struct("position", "f.uri", "f.date", "f.record_id")).alias("refers"))
-    refers = refers.hint("merge")
-    one = archives.select("archive", "part", "warc").withColumnsRenamed({"archive": "in_archive", "part": "in_part"})
-    joined = one.join(refers, one["in_archive"].eqNullSafe(refers["archive"]) & one["in_part"].eqNullSafe(refers["part"]), "left").select("in_archive", "in_part", "warc", "refers")
+    refers = later.groupBy("archive", "part").agg(F.collect_list(F.struct("position", F.col("f.archive").alias("to_archive"), F.col("f.part").alias("to_part"), F.col("f.position").alias("to"), "f.uri", "f.date", "f.record_id")).alias("refers"))
+    refers = written(refers, "warc-refers")
+    bits = archives.sparkSession.sparkContext.broadcast(bitmap(refers.select(F.xxhash64("archive", "part").alias("bit"))))
+    own = _source(archives)
+    one = archives.select("archive", "part", own).withColumnsRenamed({"archive": "in_archive", "part": "in_part"})
+    touched = F.arrow_udf(lambda k: pa.array(holds(bits.value, k.to_numpy())), "boolean")(F.xxhash64("in_archive", "in_part"))
+    joined = one.where(touched).join(refers, one["in_archive"].eqNullSafe(refers["archive"]) & one["in_part"].eqNullSafe(refers["part"]), "left").select("in_archive", "in_part", own, "refers")
+    joined = one.where(~touched).select("in_archive", "in_part", own, F.lit(None).cast(refers.schema["refers"].dataType).alias("refers")).union(joined)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
-            for raw, refers in zip(batch.column("warc"), batch.column("refers").to_pylist()):
-                out.append(rewrite(raw.as_py() or b"", {r["position"]: (r["uri"], r["date"], r["record_id"]) for r in refers or ()}, compress))
+            for a, p, raw, refers in zip(batch.column("in_archive").to_pylist(), batch.column("in_part").to_pylist(), _raw(batch), batch.column("refers").to_pylist()):
+                to = {r["position"]: (r["uri"], r["date"], new_id(r["to_archive"], r["to_part"], r["to"], r["record_id"])) for r in refers or ()}
+                out.append(rewrite(raw, (a, p), to, compress))
             cols = list(zip(*out)) if out else [()] * 5
             yield pa.RecordBatch.from_arrays([batch.column("in_archive"), batch.column("in_part"), pa.array(cols[0], pa.binary()), *(pa.array(c, pa.int32()) for c in cols[1:])], names=["archive", "part", "warc", "n_records", "n_revisits", "n_unresolved", "n_bad"])
 
@@ -258,5 +291,30 @@ def resolved(archives: DataFrame, compress: bool = True) -> DataFrame:
     return joined.mapInArrow(write, f"{kinds}, warc binary, n_records int, n_revisits int, n_unresolved int, n_bad int")
 
 
+def save(archives: DataFrame, folder: str, suffix: str = ".warc.gz") -> DataFrame:
+    """archive, part, path: every archive as a file of its own in ``folder``, which all executors share.
+
+    A file is written under another name and then renamed, so a task that runs twice leaves whole files.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        to, base = fs.FileSystem.from_uri(folder)
+        to.create_dir(base, recursive=True)
+        for batch in sliced(batches):
+            paths = []
+            for a, p, raw in zip(*(batch.column(x).to_pylist() for x in ("archive", "part", "warc"))):
+                paths.append(f"{base}/{a}-{p}{suffix}")
+                unfinished = f"{paths[-1]}.{uuid.uuid4().hex}"
+                with to.open_output_stream(unfinished, compression=None) as f:
+                    f.write(raw or b"")
+                to.move(unfinished, paths[-1])
+            yield pa.RecordBatch.from_arrays([batch.column("archive"), batch.column("part"), pa.array(paths, pa.string())], names=["archive", "part", "path"])
+
+    kinds = ", ".join(f"{c} {archives.schema[c].dataType.simpleString()}" for c in ("archive", "part"))
+    return archives.mapInArrow(write, f"{kinds}, path string")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolved(captured(table(spark, sf_dir, "pages")))

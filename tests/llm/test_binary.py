@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from qirtas.llm import chat, ogg, topk, warc
 
@@ -116,24 +117,31 @@ def brute(ids, x, k):
     return {(int(i), rank + 1): (int(ids[j]), s[a, j]) for a, i in enumerate(ids) for rank, j in enumerate([j for j in sorted(range(len(ids)), key=lambda j: (-s[a, j], ids[j])) if j != a][:k])}
 
 
-@pytest.mark.parametrize("block", [7, 1000])
-def test_topk_is_exact_with_ties(spark, block):
+@pytest.mark.parametrize("block", [7, 20, 1000])
+@pytest.mark.parametrize("every", [1, 3])
+def test_topk_is_exact_with_ties(spark, block, every):
     rng = np.random.default_rng(3)
     x = rng.integers(-2, 3, (60, 4)).astype(float)
     x[20:30] = x[0]
     ids = rng.permutation(1000)[:60]
     df = spark.createDataFrame([(int(i), [float(v) for v in r], "b") for i, r in zip(ids, x)], "vec_id long, embedding array<float>, part string")
-    got = {(r.vec_id, r.rank): (r.neighbour, r.score) for r in topk.nearest(df, 5, block).collect()}
-    assert got == {k: (n, pytest.approx(s)) for k, (n, s) in brute(ids, x, 5).items()}
+    got = {(r.vec_id, r.rank): (r.neighbour, r.score) for r in topk.nearest(df, 5, queries=F.col("vec_id") % every == 0, query_bytes=block * 32, shard_bytes=block * 16).collect()}
+    assert got == {k: (n, pytest.approx(s)) for k, (n, s) in brute(ids, x, 5).items() if k[0] % every == 0}
 
 
 def test_topk_awkward(spark):
     rows = [(1, [1.0, 0.0]), (1, [0.5, 0.0]), (2, [0.0, 1.0]), (None, [1.0, 1.0]), (3, None), (4, []), (5, [1.0]), (6, [float("nan"), 1.0]), (7, [None, 1.0]), (8, [float("inf"), 1.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = sorted((r.vec_id, r.rank, r.neighbour) for r in topk.nearest(df, 3).collect())
-    assert got == [(1, 1, 2), (2, 1, 1)]
+    assert got == [(1, 1, 2), (2, 1, 1)] and topk.left_out(df).first().n == 6
     assert topk.nearest(df.limit(0)).count() == 0
     assert topk.nearest(df.where("vec_id = 2")).count() == 0
+    hot = spark.createDataFrame([(1, [float(i % 7), 1.0]) for i in range(3000)] + [(2, [1.0, 1.0]), (3, [0.0, 2.0])], df.schema)
+    assert sorted((r.vec_id, r.neighbour, r.score) for r in topk.nearest(hot, 2).collect()) == [(1, 2, 1.0), (1, 3, 2.0), (2, 1, 1.0), (2, 3, 2.0), (3, 1, 2.0), (3, 2, 2.0)]
+    # Vectors of another length search among themselves; doubles aren't narrowed.
+    more = spark.createDataFrame([(9, [2.0]), (10, [1.0 + 1e-12, 0.0, 0.0]), (11, [1.0, 0.0, 0.0]), (12, [1.0, 0.0, 0.0])], "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id, r.rank, r.neighbour) for r in topk.nearest(df.union(more), 1).collect())
+    assert got == [(1, 1, 2), (2, 1, 1), (5, 1, 9), (9, 1, 5), (10, 1, 11), (11, 1, 10), (12, 1, 10)]
 
 
 def test_warc_round_trip_and_junk():
@@ -179,6 +187,62 @@ def brute_warc(archives):
     return out
 
 
+def plain_records(raw):
+    """The records of a sound archive, without the operator's parser: (headers, block)."""
+    import gzip
+
+    raw = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
+    out = []
+    while raw:
+        head, _, rest = raw.partition(b"\r\n\r\n")
+        lines = head.decode().split("\r\n")
+        assert lines[0] == "WARC/1.0"
+        fields = dict(x.split(": ", 1) for x in lines[1:])
+        n = int(fields["Content-Length"])
+        assert rest[n : n + 4] == b"\r\n\r\n"
+        out.append((fields, rest[:n]))
+        raw = rest[n + 4 :]
+    return out
+
+
+def check_references(archives):
+    """Every reference names an original that is there, of the same payload; ids are given once. Returns how many."""
+    import base64
+    import hashlib
+
+    records = [r for raw in archives for r in plain_records(raw)]
+    ids = {f["WARC-Record-ID"]: (f, b) for f, b in records}
+    assert len(ids) == len(records)
+    n = 0
+    for f, b in records:
+        assert f["WARC-Block-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
+        if "WARC-Refers-To" in f:
+            to, block = ids[f["WARC-Refers-To"]]
+            body = block.partition(b"\r\n\r\n")[2]
+            assert f["WARC-Type"] == "revisit" and to["WARC-Type"] == "response" and to["WARC-Date"] == f["WARC-Refers-To-Date"] and to["WARC-Target-URI"] == f["WARC-Refers-To-Target-URI"]
+            assert f["WARC-Payload-Digest"] == to["WARC-Payload-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(body).digest()).decode()
+            n += 1
+    return n
+
+
+def test_warc_references_name_records_that_are_there(spark, sf):
+    assert check_references([bytes(r.warc) for r in warc.op10_warc(spark, sf).collect()]) > 10
+
+
+def test_warc_files(spark, sf, tmp_path):
+    from qirtas.llm.common import table
+
+    made = warc.captured(table(spark, sf, "pages"))
+    files = warc.save(made, f"file://{tmp_path}/in").collect()
+    assert len(files) == made.count()
+    rows = spark.createDataFrame([(r.archive, r.part, f"file://{r.path}") for r in files], "archive long, part long, path string")
+    written = warc.save(warc.resolved(rows), f"file://{tmp_path}/out").collect()
+    got = {(r.archive, r.part): open(r.path, "rb").read() for r in written}
+    want = {(r.archive, r.part): bytes(r.warc) for r in warc.resolved(made).collect()}
+    assert got == want and check_references(got.values()) > 10
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == sorted(f"{a}-{p}.warc.gz" for a, p in want)
+
+
 def test_warc_operator(spark, sf):
     from qirtas.llm.common import table
 
