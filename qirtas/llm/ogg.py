@@ -2,8 +2,10 @@
 
 ``demuxed`` verifies every page's checksum, reassembles packets from the lacing values, keeps the logical
 streams of a file apart and turns granule positions into timestamps by the mapping of each stream's codec
-(Opus, Vorbis, Speex, FLAC; others have no timestamp). A packet that no page gives a granule position for itself
-(only the last packet that ends on a page has it) carries the position of the page it ends on.
+(Opus, Vorbis, Speex, FLAC; others have no timestamp). A page's granule position is where the last packet that ends on
+it ends. Where packets say how long they are (Opus by their first bytes, Speex by the stream's header) the others'
+ends follow: back from the page's position, or on a stream's last page, which may be trimmed, on from that of the page
+before. Where they don't, the others have no position and no timestamp, rather than a wrong one.
 
 The checksum (polynomial 0x04C11DB7, not reflected, start 0) is computed by zlib: with each byte's bits reversed
 the reflected CRC-32, freed of its inversions, is the bit-reversed Ogg checksum. That is some hundred times
@@ -23,6 +25,7 @@ hold a digit; every fiftieth document has one byte damaged, to show what verific
 
 from __future__ import annotations
 
+import itertools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -34,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import ROWS_AT_ONCE, sliced, table
 
 _REVERSED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
 _HEADER = struct.Struct("<4sBBqIIIB")
@@ -47,6 +50,18 @@ def checksum(page: bytes) -> int:
     return int.from_bytes(crc.to_bytes(4, "little").translate(_REVERSED), "big")
 
 
+_OPUS = [480, 960, 1920, 2880] * 3 + [480, 960] * 2 + [120, 240, 480, 960] * 4
+
+
+def opus_samples(packet: bytes) -> int:
+    """Samples at 48 kHz in an Opus packet, by its first bytes (RFC 6716, section 3.1)."""
+    if not packet:
+        return 0
+    code = packet[0] & 3
+    frames = 1 if code == 0 else 2 if code < 3 else packet[1] & 63 if len(packet) > 1 else 0
+    return _OPUS[packet[0] >> 3] * frames
+
+
 @dataclass
 class Stream:
     codec: str | None = None
@@ -56,6 +71,8 @@ class Stream:
     next_page: int | None = None
     open: list[bytes] | None = None  # parts of the packet under way; None: none, or it lost a part
     packets: int = 0
+    each: int = 0  # samples in each packet, where all have as many
+    last: int | None = None  # granule position of the page before
 
     def identify(self, packet: bytes) -> None:
         if packet.startswith(b"OpusHead") and len(packet) >= 19:
@@ -64,14 +81,34 @@ class Stream:
             self.codec, self.rate = "vorbis", int.from_bytes(packet[12:16], "little")
         elif packet.startswith(b"Speex   ") and len(packet) >= 40:
             self.codec, self.rate = "speex", int.from_bytes(packet[36:40], "little")
+            if len(packet) >= 68:
+                self.each = int.from_bytes(packet[56:60], "little") * int.from_bytes(packet[64:68], "little")
         elif packet.startswith(b"\x7fFLAC") and len(packet) >= 30:
             self.codec, self.rate = "flac", int.from_bytes(packet[27:30], "big") >> 4
         else:
             self.codec = "unknown"
 
-    def seconds(self, granule: int) -> float | None:
-        """The end of the last packet on a page; None where the position is unset or the codec has no mapping."""
-        if granule < 0 or not self.rate:
+    def samples(self, packet: bytes, number: int) -> int | None:
+        """How long a packet is; None if it doesn't say. The first two of a stream are headers."""
+        if self.codec not in ("opus", "speex") or self.codec == "speex" and not self.each:
+            return None
+        return 0 if number < 2 else self.each or opus_samples(packet)
+
+    def ends(self, granule: int, packets: list[bytes], final: bool) -> list[int | None]:
+        """Where each packet that ends on a page ends."""
+        if granule < 0 or not packets:
+            return [None] * len(packets)
+        size = [self.samples(p, self.packets + i) for i, p in enumerate(packets)]
+        if None in size:
+            return [None] * (len(packets) - 1) + [granule]
+        upto = list(itertools.accumulate(size))
+        if final and self.last is not None:
+            return [min(self.last + n, granule) for n in upto[:-1]] + [granule]
+        return [max(0, granule - (upto[-1] - n)) for n in upto]
+
+    def seconds(self, granule: int | None) -> float | None:
+        """The time of a position; None where it is unset or the codec has no mapping."""
+        if granule is None or granule < 0 or not self.rate:
             return None
         return max(0, granule - self.skip) / self.rate
 
@@ -107,7 +144,7 @@ def demux(raw: bytes) -> Demuxed:
         if flags & BEGIN:
             s.__init__()
         if s.next_page is not None and number != s.next_page:
-            s.open = None
+            s.open = s.last = None
         s.next_page = number + 1
         if not flags & CONTINUED:
             s.open = []
@@ -126,11 +163,12 @@ def demux(raw: bytes) -> Demuxed:
         if parts is not None and where > start:
             parts.append(page[start:where])
         s.open = parts
-        for data in done:
-            if s.codec is None and flags & BEGIN:
-                s.identify(data)
-            out.packets.append((serial, s.codec, s.packets, None if granule < 0 else granule, s.seconds(granule), data))
+        if done and s.codec is None and flags & BEGIN:
+            s.identify(done[0])
+        for data, end in zip(done, s.ends(granule, done, bool(flags & END))):
+            out.packets.append((serial, s.codec, s.packets, end, s.seconds(end), data))
             s.packets += 1
+        s.last = granule if granule >= 0 else s.last
 
 
 class Writer:
@@ -174,8 +212,11 @@ def file_of(key: int, text: str, damage: bool = False) -> bytes:
     a.packet(b"OpusHead\x01\x01" + struct.pack("<HIhB", 312, 48000, 0, 0), 0, True)
     b.packet(b"\x01vorbis" + struct.pack("<IBIiiiB", 0, 1, 44100, 0, 0, 0, 0xB8) + b"\x01", 0, True)
     a.packet(b"OpusTags" + struct.pack("<I", 0) + struct.pack("<I", 0), 0, True)
+    end = 312
     for i, line in enumerate(text.split("\n"), 1):
-        a.packet(line.encode("utf-8", "replace"), 312 + 960 * i)
+        data = line.encode("utf-8", "replace")
+        end += opus_samples(data)
+        a.packet(data, end)
         if any(c.isdigit() for c in line):
             b.packet(line.strip().encode("utf-8", "replace"), 1024 * i)
     a.flush(0, True)
@@ -192,7 +233,8 @@ def muxed(docs: DataFrame) -> DataFrame:
     """doc_id, media: the documents as Ogg files."""
 
     def write(doc_id: pa.Array, text: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else file_of(k or 0, t, (k or 0) % 50 == 7) for k, t in zip(doc_id.to_pylist(), text.to_pylist())], pa.binary())
+        made = [[None if t is None else file_of(k or 0, t, (k or 0) % 50 == 7) for k, t in zip(doc_id.slice(lo, ROWS_AT_ONCE).to_pylist(), text.slice(lo, ROWS_AT_ONCE).to_pylist())] for lo in range(0, len(text), ROWS_AT_ONCE)]
+        return pa.array(itertools.chain.from_iterable(made), pa.binary())
 
     return docs.select("doc_id", F.arrow_udf(write, "binary")("doc_id", "text").alias("media"))
 
@@ -203,7 +245,7 @@ def demuxed(files: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.float64(), pa.binary(), pa.int64(), pa.int32()]
         names = ["serial", "codec", "packet", "granule", "seconds", "data", "check", "damaged"]
-        for batch in batches:
+        for batch in sliced(batches):
             key = batch.column("doc_id")
             rows, owner, held = [], [], 0
             for i, raw in enumerate(batch.column("media")):

@@ -44,8 +44,44 @@ def test_streams_are_kept_apart_and_timed():
     a = [p for p in got.packets if p[0] == 6]
     assert [p[-1].decode() for p in a[2:]] == text.split("\n") and {p[1] for p in a} == {"opus"}
     assert {p[1] for p in got.packets if p[0] == 7} == {"vorbis"}
-    last = a[-1]
-    assert last[3] == 312 + 960 * 400 and last[4] == pytest.approx(8.0)
+    # Every packet ends where the packets up to it end, whatever page it is on.
+    end = 312
+    for p in a[2:]:
+        end += opus_duration(p[-1])
+        assert p[3] == end and p[4] == pytest.approx((end - 312) / 48000)
+    assert [p[3:5] for p in a[:2]] == [(0, 0.0)] * 2
+    assert {p[3] for p in got.packets if p[0] == 7} > {None}
+
+
+def opus_duration(packet):
+    """Samples of an Opus packet from the tables of RFC 6716 in milliseconds."""
+    if not packet:
+        return 0
+    config, code = divmod(packet[0], 8)[0], packet[0] % 4
+    ms = (10, 20, 40, 60)[config % 4] if config < 12 else (10, 20)[config % 2] if config < 16 else (2.5, 5, 10, 20)[config % 4]
+    return int(48 * ms * {0: 1, 1: 2, 2: 2}.get(code, packet[1] % 64 if len(packet) > 1 else 0))
+
+
+def test_positions_of_packets():
+    w = ogg.Writer(1, 10**6)
+    w.packet(b"OpusHead\x01\x01" + struct.pack("<HIhB", 312, 48000, 0, 0), 0, True)
+    w.packet(b"OpusTags" + bytes(8), 0, True)
+    w.packet(b"\x08a", 0)  # 20 ms
+    w.packet(b"\x18b", 312 + 960 + 2880, True)  # 60 ms
+    w.packet(b"\x08c", 0)
+    w.packet(b"\x08d", 312 + 3840 + 960 + 100)  # the end is trimmed
+    w.flush(0, True)
+    got = ogg.demux(b"".join(w.pages))
+    assert [p[3] for p in got.packets[2:]] == [1272, 4152, 5112, 5212]
+    # Speex: 4 frames of 160 samples in each packet. Vorbis packets don't say how long they are.
+    for head, want in ((b"Speex   " + bytes(28) + struct.pack("<I", 8000) + bytes(16) + struct.pack("<III", 160, 0, 4) + bytes(12), [640, 1280]), (b"\x01vorbis" + struct.pack("<IBI", 0, 1, 8000) + bytes(14), [None, 1280])):
+        w = ogg.Writer(1, 10**6)
+        w.packet(head, 0, True)
+        w.packet(b"comment", 0, True)
+        w.packet(b"x", 0)
+        w.packet(b"y", 1280, True)
+        got = ogg.demux(b"".join(w.pages)).packets
+        assert [p[3] for p in got[2:]] == want and [p[4] for p in got[2:]] == [None if x is None else x / 8000 for x in want]
 
 
 def test_damage_loses_only_what_it_touches():
