@@ -220,18 +220,72 @@ def model_bits(model, gram):
     return -np.log2(p)
 
 
+def kneser_ney(words):
+    """Brute force: a function from (context, character) to its probability, from a list of words; plain dictionaries only."""
+    pad = chr(langid._START) * (langid.ORDER - 1)
+    counts = {langid.ORDER: Counter()}
+    for w in words:
+        x = pad + w + chr(langid._END)
+        counts[langid.ORDER].update(x[i : i + langid.ORDER] for i in range(len(x) - langid.ORDER + 1))
+    for n in range(langid.ORDER - 1, 0, -1):  # how many different characters stand before
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+
+    def discount(n):
+        one, two = (sum(c == k for c in counts[n].values()) for k in (1, 2))
+        return min(max(one / (one + 2 * two), 0.1), 0.95) if one and two else 0.5
+
+    def p(context, c, alphabet):
+        total = sum(counts[1].values())
+        out = max(counts[1][c] - 0.75, 0) / total + 0.75 * len(counts[1]) / total / (len(alphabet) + 1)
+        for n in range(2, langid.ORDER + 1):
+            h = context[len(context) - n + 1 :]
+            after = [v for g, v in counts[n].items() if g[:-1] == h]
+            if after:
+                d = discount(n)
+                out = max(counts[n][h + c] - d, 0) / sum(after) + d * len(after) / sum(after) * out
+        return out
+
+    return p, set(counts[1])
+
+
+def test_models_against_brute_force(spark, docs_of):
+    """Counts over partitions, continuation counts, discounts and interpolation, by independent code."""
+    texts = {"en": ["The cat sat on the mat and the dog", "a cat and a rat sat", "that hat"], "fr": ["le chat est sur le tapis et le chien", "un chat et un rat", "ce chapeau le chat"]}
+    rows = [(i, t, lang) for i, (lang, t) in enumerate((k, t) for k, v in texts.items() for t in v)]
+    model = langid.train(docs_of(rows).repartition(3)).model
+    brute = {lang: kneser_ney(" ".join(v).lower().split()) for lang, v in texts.items()}
+    alphabet = set().union(*(a for _, a in brute.values()))
+    assert model.langs == ["en", "fr"] and set(map(chr, model.alphabet.tolist())) == alphabet
+    for word in ["the", "chat", "cat", "unseen", "z", "", "émat", "tapis"]:
+        bits, size = model.bits([word])
+        x = chr(langid._START) * 3 + word + chr(langid._END)
+        for k, lang in enumerate(model.langs):
+            want = -sum(np.log2(brute[lang][0](x[i : i + 3], x[i + 3], alphabet)) for i in range(len(word) + 1))
+            assert bits[0, k] == pytest.approx(want, rel=1e-5), (word, lang)
+        assert size[0] == len(word) + 1
+
+
+def test_languages_that_tie(spark, docs_of):
+    rows = [(i, "same words here", lang) for i, lang in enumerate(("b", "a", "b", "a"))]
+    got = langid.identify(docs_of(rows)).collect()
+    assert {r.detected for r in got} == {"a"} and len({r.cross_entropy for r in got}) == 1 and all(r.accepted for r in got)
+
+
 def test_language_accuracy_and_rejection(spark):
-    docs = read(spark, "/root/testdata/sf0.01")
-    truth = {r.doc_id: (r.lang, r.text) for r in docs.collect()}
-    who = langid.train(docs)
-    held = {k for k, (lang, text) in truth.items() if lang and text.split()}
-    got = {r.doc_id: r for r in langid.identify(docs).collect()}
-    assert len(got) == len(truth)
-    right = [got[k].detected == truth[k][0] for k in held]
-    assert sum(right) / len(right) > 0.97 and sum(got[k].accepted for k in held) / len(held) > 0.97
+    """Accuracy on documents whose texts the model never saw."""
+    docs = read(spark, "/root/testdata/sf0.1")
+    train = docs.where("pmod(xxhash64(text), 4) <> 0")
+    truth = {r.doc_id: (r.lang, r.text) for r in docs.where("pmod(xxhash64(text), 4) = 0").collect()}
+    who = langid.train(train)
+    held = [(lang, text) for lang, text in truth.values() if lang and text.split()]
+    detected, _, accepted = who.judge([t for _, t in held])
+    right = [d == lang for d, (lang, _) in zip(detected, held)]
+    assert len(held) > 1000 and sum(right) / len(right) > 0.97 and np.mean(accepted) > 0.97
     rng = random.Random(1)
     noise = [" ".join("".join(rng.choice("qxzjkwvq#%~") for _ in range(rng.randint(3, 9))) for _ in range(60)) for _ in range(40)]
     assert sum(who.judge(noise)[2]) <= 2
+    some = docs.limit(50)
+    assert langid.identify(some).count() == 50
 
 
 def test_a_length_class_with_one_row_limits_no_other():
