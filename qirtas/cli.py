@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .config import Config
 from .operators import domains as D
 from .operators.redact import MODES, redacted
-from .operators.scan import chunked_findings, filtered, with_findings
+from .operators.scan import chunk_findings, filtered, with_findings
 from .schema import CONFIDENCE_RANK
 from .sources import files
 
@@ -26,15 +26,16 @@ def parser() -> argparse.ArgumentParser:
         option("paths", help="what to read: files, folders, - for the standard input", nargs="*")
         if name == "domains":
             option("--watchlist", help="a file with one domain per line")
-            option("--max-distance", default=1, type=int)
-            continue
+            option("--max-distance", type=int, help="of typing errors; the configuration's, or 1")
         option("--config")
+        if name == "domains":
+            continue
         option("--min-confidence", choices=list(CONFIDENCE_RANK), default="low")
         option("--only", nargs="+", default=[])
         option("--exclude", nargs="+", default=[])
         if name == "scan":
             option("--no-values", action="store_true")
-            option("--stream", action="store_true", help="cut very long files into chunks")
+            option("--stream", action="store_true", help="read files of any size in chunks")
         else:
             option("--mode", choices=MODES, default="mask")
             option("--salt", default="")
@@ -49,18 +50,22 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print("--mode hash needs a --salt", file=sys.stderr)
         return 2
     spark = spark or SparkSession.builder.appName("qirtas").getOrCreate()
-    texts = files.read_texts(spark, a.paths)
+    stream = a.command == "scan" and a.stream
+    texts = (files.read_chunks if stream else files.read_texts)(spark, a.paths)
     if a.command == "domains":
         watch = files.watchlist(spark, a.watchlist) if a.watchlist else None
-        rows = D.suspicious(texts, ["source"], "text", watch, max_distance=a.max_distance).persist()
+        options = (Config.from_file(a.config) if a.config else Config()).domain_options()
+        if a.max_distance is not None:
+            options["max_distance"] = a.max_distance
+        rows = D.suspicious(texts, ["source"], "text", watch, **options).persist()
         files.printed(rows.select(F.to_json(F.struct("*")).alias("value")) if a.json else files.domain_lines(rows))
         return int(a.fail_on_find and files.found_any(rows))
     detectors = Config.from_file(a.config).detectors() if a.config else None
     keep = {"min_confidence": a.min_confidence, "only": a.only, "exclude": a.exclude}
-    if a.command == "scan" and a.stream:
-        rows = chunked_findings(texts, ["source"], "text", detectors)
+    if stream:
+        rows = chunk_findings(texts, ["source"], "text", detectors, chunk=1 << 20)
         found = rows.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("start", "end", "entity_type", "category", "confidence", "value", "detector", "notes", "label"))).alias("findings"))
-        found = texts.select("source").join(found, "source", "left").withColumn("findings", F.coalesce("findings", F.array()))
+        found = texts.select("source").distinct().join(found, "source", "left").withColumn("findings", F.coalesce("findings", F.array()))
     else:
         found = with_findings(texts, "text", detectors)
     found = found.withColumn("findings", filtered(F.col("findings"), **keep))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from .operators.detectors import DEFAULT, Detector, custom
+from .operators.domains import lookalike
 
 
 @dataclass(frozen=True)
@@ -27,6 +28,12 @@ class Config:
         with open(name, encoding="utf-8") as f:
             return Config.from_dict(json.load(f))
 
-    def detectors(self) -> list[Detector]:
-        """The default detectors but the disabled ones, then the custom ones, which can't be disabled."""
-        return [*(d for d in DEFAULT if d.name not in self.disable), *self.custom_detectors]
+    def detectors(self, watchlist: Sequence[str] = ()) -> list[Detector]:
+        """The default detectors but the disabled ones, then the custom ones, which can't be disabled; with a watchlist also
+        those of lookalike domains."""
+        own = lookalike(watchlist, **self.domain_options()) if watchlist else []
+        return [*(d for d in (*DEFAULT, *own) if d.name not in self.disable), *self.custom_detectors]
+
+    def domain_options(self) -> dict:
+        """What ``analysed``, ``suspicious`` and ``lookalike`` take."""
+        return {"max_distance": self.typosquat_max_distance, "confusables": dict(self.confusables)}

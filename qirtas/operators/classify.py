@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import EXTERNAL_NAMES, EXTERNAL_SCORES, LEVEL_OF_CATEGORY, LEVELS, PERSONAL
+from ..schema import DISPLAY_NAMES, EXTERNAL_NAMES, EXTERNAL_SCORES, LEVEL_OF_CATEGORY, LEVELS, PERSONAL
 
 
 def _lookup(table: dict, key: Column) -> Column:
@@ -49,9 +51,16 @@ def summary(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.count("*").alias("n"))
 
 
-def external(found: Column) -> Column:
-    """Findings under the names and scores of another tool; types that it has no name for are left out."""
-    named = F.filter(found, lambda m: m["entity_type"].isin(list(EXTERNAL_NAMES)))
+def display_name(entity_type: Column) -> Column:
+    """What a type is called before people."""
+    return F.coalesce(_lookup(DISPLAY_NAMES, entity_type), F.initcap(F.replace(entity_type, F.lit("_"), F.lit(" "))))
+
+
+def external(found: Column, entities: Sequence[str] = ()) -> Column:
+    """Findings under the names and scores of another tool, those of ``entities`` only if there are any; types that it has
+    no name for are left out."""
+    names = [t for t, n in EXTERNAL_NAMES.items() if not entities or n in entities]
+    named = F.filter(found, lambda m: m["entity_type"].isin(names))
     return F.transform(named, lambda m: F.struct(_lookup(EXTERNAL_NAMES, m["entity_type"]).alias("entity_type"), m["start"].alias("start"), m["end"].alias("end"), _lookup(EXTERNAL_SCORES, m["confidence"]).alias("score")))
 
 
@@ -63,6 +72,11 @@ def quality(truth: DataFrame, found: DataFrame, keys: list[str], by: str = "enti
     n = both.groupBy(by).agg(
         F.sum(yes(F.col("t")) * yes(F.col("f"))).alias("tp"), F.sum((1 - yes(F.col("t"))) * yes(F.col("f"))).alias("fp"), F.sum(yes(F.col("t")) * (1 - yes(F.col("f")))).alias("fn")
     )
-    share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
-    n = n.withColumn("precision", share(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", share(F.col("tp"), F.col("tp") + F.col("fn")))
-    return n.withColumn("f1", share(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+    share = lambda a, b, none: F.when(b > 0, a / b).otherwise(none)
+    n = n.withColumn("precision", share(F.col("tp"), F.col("tp") + F.col("fp"), 1.0)).withColumn("recall", share(F.col("tp"), F.col("tp") + F.col("fn"), 1.0))
+    return n.withColumn("f1", share(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall"), 0.0))
+
+
+def macro_average(measured: DataFrame) -> DataFrame:
+    """One row: precision, recall and f1 averaged over the types, each counting as much."""
+    return measured.agg(*[F.avg(c).alias(c) for c in ("precision", "recall", "f1")])

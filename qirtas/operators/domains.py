@@ -7,13 +7,14 @@ an equi-join in place of comparing every host with every watched name.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.spans import S, W, spans
-from .detectors import RAW, Detector
+from .detectors import Detector
 
 _IN = f"[^{S}/@:]"
 #: One dot is enough in the pattern: the class before it holds dots too.
@@ -137,21 +138,94 @@ def suspicious(df: DataFrame, keys: Sequence[str], column: str = "text", watchli
     return found.join(analysed(found, watchlist, **options), "domain").select(*keys, "domain", "reason", "confidence", "target", "detail", "start", "end")
 
 
+_FOUND = re.compile(r"(?<![\w@.\-])(?:https?://)?[^\s/@:]+\.[^\s/@:.]{2,}")
+_SCHEME = re.compile("(?i)https?://")
+_SCRIPTS = {n: re.compile(f"[{c}]") for n, c in SCRIPTS.items()}
+
+
+def _bare(host: str) -> str:
+    """What ``decoded`` does to a column."""
+    if "xn--" not in host.lower():
+        return host
+    labels = []
+    for x in host.split("."):
+        try:
+            labels.append(x[4:].encode("ascii").decode("punycode") if x.lower().startswith("xn--") else x)
+        except UnicodeError:
+            labels.append(x)
+    return ".".join(labels)
+
+
+def _skeleton(x: str, confusables: Mapping[str, str] | None = None) -> str:
+    """What ``skeleton`` does to a column."""
+    table = CONFUSABLES | dict(confusables or {})
+    out = x.lower().translate({ord(k): v for k, v in table.items() if len(k) == 1 and len(v) == 1})
+    for k, v in table.items():
+        if len(k) != 1 or len(v) != 1:
+            out = out.replace(k, v)
+    return out
+
+
+def _left(x: str, k: int) -> set[str]:
+    """What is left of a string after deleting up to ``k`` characters."""
+    out = level = {x}
+    for _ in range(k):
+        level = {v[:i] + v[i + 1 :] for v in level for i in range(len(v))}
+        out = out | level
+    return out
+
+
+def _apart(a: str, b: str) -> int:
+    """What ``distance`` is for columns."""
+    before, last = [], list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        now = [i]
+        for j, y in enumerate(b, 1):
+            best = min(last[j] + 1, now[j - 1] + 1, last[j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                best = min(best, before[j - 2] + 1)
+            now.append(best)
+        before, last = last, now
+    return last[-1]
+
+
 def lookalike(watchlist: Sequence[str] = (), *, max_distance: int = 1, confusables: Mapping[str, str] | None = None) -> list[Detector]:
-    """Detectors for a scan, with a watchlist of a modest size: first what looks the same, then what is merely near or mixed."""
-    watch = sorted(set(watchlist), key=list(watchlist).index)
-
-    def pick(text: Column, test) -> Column:
-        hosts = F.transform(domains_in(text), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), decoded(m["value"]).alias("d")))
-        hosts = F.transform(hosts, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), m["d"].alias("d"), skeleton(m["d"], confusables).alias("skel")))
-        kept = F.filter(hosts, test)
-        return F.transform(kept, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), F.lit("suspicious_domain").alias("type"))).cast(RAW)
-
-    names = F.array(*[F.struct(F.lower(F.lit(w)).alias("w"), skeleton(decoded(F.lit(w)), confusables).alias("skel")) for w in watch]) if watch else F.array().cast("array<struct<w:string,skel:string>>")
-    foreign = lambda m, w: (w["w"] != F.lower(m["d"])) & (w["w"] != F.lower(m["value"]))
-    same = lambda m: F.exists(names, lambda w: foreign(m, w) & (w["skel"] == m["skel"]))
-    near = lambda m: F.exists(names, lambda w: foreign(m, w) & within(w["skel"], m["skel"], max_distance)) | F.exists(F.split(m["d"], r"\."), is_mixed)
+    """Detectors for a scan, with a watchlist of a modest size: first what looks the same, then what is merely near or mixed.
+
+    Names are found by skeleton and, for typing errors, by what is left of it after deletions: one look-up each.
+    """
+    skeletons: dict[str, list[str]] = {}
+    pieces: dict[str, list[tuple[str, str]]] = {}
+    for w in dict.fromkeys(watchlist):
+        s = _skeleton(_bare(w), confusables)
+        skeletons.setdefault(s, []).append(w.lower())
+        for x in _left(s, max_distance):
+            pieces.setdefault(x, []).append((w.lower(), s))
+
+    def same(host: str, plain: str, skel: str) -> bool:
+        return any(w not in (plain.lower(), host.lower()) for w in skeletons.get(skel, ()))
+
+    def near(host: str, plain: str, skel: str) -> bool:
+        if any(sum(bool(c.search(label)) for c in _SCRIPTS.values()) > 1 for label in plain.split(".")):
+            return True
+        close = {c for x in _left(skel, max_distance) for c in pieces.get(x, ())} if pieces else ()
+        return any(w not in (plain.lower(), host.lower()) and _apart(s, skel) <= max_distance for w, s in close)
+
+    def finder(test):
+        def find(text: str) -> list[tuple[int, int, str, str]]:
+            if "." not in text:
+                return []
+            out = []
+            for m in _FOUND.finditer(text):
+                host = _SCHEME.sub("", m.group(), count=1) if _SCHEME.match(m.group()) else m.group()
+                plain = _bare(host)
+                if test(host, plain, _skeleton(plain, confusables)):
+                    out.append((m.end() - len(host), m.end(), host, "suspicious_domain"))
+            return out
+
+        return find
+
     return [
-        Detector("lookalike_domain", "threat", confidence, "", custom=lambda text, t=test: pick(text, t), notes=notes)
+        Detector("lookalike_domain", "threat", confidence, "", python=finder(test), seen=r"[.]", notes=notes)
         for confidence, test, notes in (("high", same, "looks the same as a watched domain"), ("medium", near, "near a watched domain, or of mixed scripts"))
     ]

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+import warnings
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from types import SimpleNamespace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +34,23 @@ def is_in_kingdom(destination: Column, allowed: Sequence[str] = ()) -> Column:
     return ok
 
 
+class AuditLog:
+    """Takes audit records of messages that were protected on the driver: kept in ``records``, appended to a file of JSON
+    lines and given to a function, if there are such. Audits of tables go by ``write_audit``."""
+
+    def __init__(self, path: str | None = None, sink: Callable[[dict], None] | None = None):
+        self.path, self.sink = path, sink
+        self.records: list[dict] = []
+
+    def record(self, one: dict) -> None:
+        self.records.append(one)
+        if self.path:
+            with open(self.path, "a", encoding="utf-8") as f:
+                f.write(json.dumps(one, ensure_ascii=False) + "\n")
+        if self.sink:
+            self.sink(one)
+
+
 @dataclass(frozen=True)
 class Guard:
     """What may pass. Blocked text comes back masked whatever the mode, without a vault."""
@@ -42,6 +62,7 @@ class Guard:
     block_cross_border: bool = False
     record_values: bool = False
     salt: str = ""
+    audit_log: AuditLog | None = None
 
     def __post_init__(self) -> None:
         if self.mode not in MODES:
@@ -98,10 +119,9 @@ class Guard:
         safe = self.protect(df, column, destination)
         rest = [c for c in df.columns if c not in (key, order, column)]
         one = F.struct(F.col(order).alias("order"), *[F.col(c) for c in rest], F.col("safe_text").alias("text"), "audit", "vault", "blocked")
-        all_ = safe.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.to_json(one).alias("j")))).alias("s"), F.bool_or("blocked").alias("blocked"))
-        kind = "struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in safe.select(one.alias("x")).schema["x"].dataType) + ">"
-        rows = F.transform("s", lambda x: F.from_json(x["j"], kind))
-        all_ = all_.select(key, "blocked", rows.alias("m"))
+        # A map can't be ordered, so the structs are compared by their order (nulls first) alone.
+        by_order = lambda a, b: F.when(a["order"] < b["order"], -1).when(a["order"] > b["order"], 1).when(a["order"].isNull() & b["order"].isNotNull(), -1).when(a["order"].isNotNull() & b["order"].isNull(), 1).otherwise(0)
+        all_ = safe.groupBy(key).agg(F.array_sort(F.collect_list(one), by_order).alias("m"), F.bool_or("blocked").alias("blocked"))
         messages = F.transform("m", lambda x: F.struct(x["order"].alias(order), *[x[c].alias(c) for c in rest], x["text"].alias(column)))
         vault = F.flatten(F.transform("m", lambda x: F.transform(F.map_entries(x["vault"]), lambda e: F.struct(x["order"].alias(order), e["key"].alias("token"), e["value"].alias("original")))))
         return all_.select(key, messages.alias("messages"), F.transform("m", lambda x: x["audit"]).alias("audits"), vault.alias("vault"), "blocked")
@@ -112,7 +132,11 @@ class Guard:
         if not texts:
             return []
         rows = self.protect(spark.createDataFrame(list(enumerate(texts)), "i long, text string"), "text", destination)
-        return rows.select("i", "safe_text", "vault", "blocked", "audit").orderBy("i").collect()
+        out = rows.select("i", "safe_text", "vault", "blocked", "audit").orderBy("i").collect()
+        if self.audit_log:
+            for r in out:
+                self.audit_log.record(r.audit.asDict(True))
+        return out
 
     def protect_messages(self, spark: SparkSession, messages: Sequence[dict], destination: str | None = None) -> tuple[list, list, dict, bool]:
         """Safe messages, audits, the merged vault (later messages win) and whether any is blocked.
@@ -154,6 +178,13 @@ class Guard:
         return Guarded(self, spark, client, resolve_adapter(client, provider), destination, restore_response)
 
 
+    def guard_openai(self, spark: SparkSession, client, *, destination: str | None = None, restore_response: bool = False):
+        """The older way to ``wrap(..., provider="openai")``: a proxy with ``chat.completions.create``."""
+        warnings.warn("use wrap(client, provider='openai')", DeprecationWarning, stacklevel=2)
+        inner = self.wrap(spark, client, restore_response=restore_response, destination=destination, provider="openai")
+        return SimpleNamespace(chat=SimpleNamespace(completions=inner))
+
+
 @dataclass
 class Guarded:
     guard: Guard

@@ -106,12 +106,12 @@ def _redactor(**options):
 def redacted(
     df: DataFrame, column: str = "text", found: str = "findings", mode: str = "mask", *, salt: str = "", hash_length: int = 12, keep_last: int = 4, fill: str = "*", name: str = "redaction"
 ) -> DataFrame:
-    """``df`` with a struct of the redacted text, the items (by start) and the vault (empty but for tokens).
+    """``df`` with a struct of the redacted text, the items (by start), the vault (empty but for tokens) and the count of items.
 
     Items carry the original span; hashing and partial masking work on the normalized value.
     """
     out = parts(df, column, found, mode, salt=salt, hash_length=hash_length, keep_last=keep_last, fill=fill, name="_qirtas_r")
-    made = F.struct(*[F.col(f"_qirtas_r_{x}").alias(x) for x in ("text", "items", "vault")])
+    made = F.struct(*[F.col(f"_qirtas_r_{x}").alias(x) for x in ("text", "items", "vault")], F.size("_qirtas_r_items").alias("count"))
     return out.withColumn(name, made).drop("_qirtas_r_text", "_qirtas_r_items", "_qirtas_r_vault")
 
 

@@ -157,7 +157,7 @@ def _chunks(keys: int, chunk: int, margin: int) -> Callable[[Iterator[pa.RecordB
                 for k in range(-(-len(text) // chunk)):
                     lo = max(k * chunk - margin, 0)
                     part = pa.array([text[lo : (k + 1) * chunk + margin]], pa.string())
-                    yield pa.RecordBatch.from_arrays([*row.columns[:keys], part, pa.array([k], pa.int32()), pa.array([lo], pa.int32())], names=[*batch.schema.names, "_qirtas_k", "_qirtas_lo"])
+                    yield pa.RecordBatch.from_arrays([*row.columns[:keys], part, pa.array([k], pa.int32()), pa.array([lo], pa.int64())], names=[*batch.schema.names, "_qirtas_k", "_qirtas_lo"])
 
     return cut
 
@@ -174,8 +174,14 @@ def chunked_findings(df: DataFrame, keys: Sequence[str], column: str = "text", d
     rows = df.select(*keys, column)
     long = rows.where(F.length(column) > chunk)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    cut = long.mapInArrow(_chunks(len(keys), chunk, margin), f"{kinds}, _qirtas_k int, _qirtas_lo int").repartition(*keys, "_qirtas_k")
+    cut = long.mapInArrow(_chunks(len(keys), chunk, margin), f"{kinds}, _qirtas_k int, _qirtas_lo long").repartition(*keys, "_qirtas_k")
+    whole = findings(rows.where(F.length(column) <= chunk), keys, column, detectors, **options)
+    return whole.withColumns({x: F.col(x).cast("long") for x in ("start", "end")}).union(chunk_findings(cut, keys, column, detectors, chunk=chunk, **options))
+
+
+def chunk_findings(cut: DataFrame, keys: Sequence[str], column: str = "text", detectors: Sequence[Detector] | None = None, *, chunk: int, **options) -> DataFrame:
+    """Findings of chunks of ``chunk`` characters (with their number ``_qirtas_k`` and first character ``_qirtas_lo``), in the
+    offsets of the whole (64 bits, since a file may be longer than a row)."""
     out = findings(cut, [*keys, "_qirtas_k", "_qirtas_lo"], column, detectors, **options)
     out = out.withColumn("start", F.col("start") + F.col("_qirtas_lo")).withColumn("end", F.col("end") + F.col("_qirtas_lo"))
-    out = out.where(F.floor(F.col("start") / chunk) == F.col("_qirtas_k")).drop("_qirtas_k", "_qirtas_lo")
-    return findings(rows.where(F.length(column) <= chunk), keys, column, detectors, **options).union(out)
+    return out.where(F.floor(F.col("start") / chunk) == F.col("_qirtas_k")).drop("_qirtas_k", "_qirtas_lo")

@@ -26,3 +26,9 @@ EXTERNAL_NAMES = {
     "arabic_name": "PERSON", "suspicious_domain": "SUSPICIOUS_DOMAIN",
 }
 EXTERNAL_SCORES = {"high": 0.95, "medium": 0.6, "low": 0.4}
+
+DISPLAY_NAMES = {
+    "saudi_national_id": "Saudi National ID", "saudi_iqama": "Saudi Iqama", "saudi_iban": "Saudi IBAN", "saudi_cr": "Commercial Registration", "saudi_vat": "VAT / Tax Number",
+    "saudi_mobile": "Saudi Mobile", "saudi_landline": "Saudi Landline", "saudi_passport": "Passport", "saudi_border_number": "Border / Visa Number",
+    "saudi_national_address": "National Address", "saudi_unified_number": "Unified Number (700)", "ip_address": "IP Address",
+}
