@@ -159,7 +159,7 @@ class Vocabulary:
         for end, piece in self.automaton.iter(word) if len(self.automaton) else ():
             fits[end + 1 - len(piece)].append(piece)
         known = self._compatible
-        alive = -1  # the bitfield: a cleared bit is a position from which nothing was found
+        failed = bytearray(n // 8 + 1)  # the bitfield: a set bit is a position from which nothing was found
         out: list[str] = []
         choice: list[int] = []  # index into fits of each laid token
         at, last = 0, ""
@@ -169,7 +169,7 @@ class Vocabulary:
             while k >= 0:
                 token = here[k]
                 end = at + len(token)
-                if alive >> end & 1:
+                if not failed[end >> 3] >> (end & 7) & 1:
                     if not last:
                         break
                     ok = known.get((last, token))
@@ -182,7 +182,7 @@ class Vocabulary:
                 at, last = end, token
                 k = len(fits[at]) - 1 if at < n else -1
             else:
-                alive &= ~(1 << at)
+                failed[at >> 3] |= 1 << (at & 7)
                 if not out:
                     return self.merge(word)  # can't happen for a proper model; merging is right for any
                 at -= len(out.pop())
