@@ -322,10 +322,12 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     # Windows meet by content.
     windows = found.where(F.col("kind") == _WINDOW).union(more.where(F.col("kind") == _WINDOW)).select("a", "doc_id", "h", "s", "x")
     place = F.struct("doc_id", "h", "s", "x")
-    # A partial aggregate before the shuffle; what occurs at one place only is out.
-    first = windows.groupBy("a").agg(F.min(place).alias("f"), F.max(place).alias("l")).where("f < l").select("a", "f")
+    # A partial aggregate before the shuffle; what occurs at one place only is out, here and (by a bitmap) in the join.
+    first = written(windows.groupBy("a").agg(F.min(place).alias("f"), F.max(place).alias("l")).where("f < l").select("a", "f"), "first")
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(first.select(F.col("a").alias("bit"))))
+    repeated = F.arrow_udf(lambda a: pa.array(holds(bits.value, a.to_numpy())), "boolean")
     same = F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("h") == F.col("f.h"))
-    later = windows.join(first, "a").where(~(same & (F.col("s") == F.col("f.s"))))
+    later = windows.where(repeated("a")).join(first, "a").where(~(same & (F.col("s") == F.col("f.s"))))
     later = later.select("doc_id", "h", F.when(same, F.greatest("s", "f.x")).otherwise(F.col("s")).alias("s"), (F.col("s") + (min_words - 1)).alias("e")).where("s <= e")
 
     whole = met.where("later").select("doc_id", "h", "s", (F.col("s") + F.col("x") + (min_words - 2)).alias("e"))
