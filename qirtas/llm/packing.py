@@ -12,14 +12,13 @@ A document longer than ``capacity`` is cut into full windows and one rest, so wh
 is dropped. The length of a text is an estimate of its tokens, four UTF-8 bytes each; another count can be given
 as a Column in ``length``.
 
-Cases: a null or empty text has no piece; it needs no room. Equal lengths are ranked by (doc_id, hash of the
-text, piece), null ids first; rows that repeat id and text are ranked side by side and each gets its own place.
+Cases: a null or empty text has no piece; it needs no room. Equal lengths are ranked by (hash of id and text modulo
+``SHARDS``, doc_id, hash of the text, piece), null ids first; rows that repeat id and text are ranked side by side and each gets its own place.
 An empty table gives an empty result. Extra columns don't matter.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 CAPACITY, BINS = 2048, 256
-#: Pieces that one task ranks, about.
-SHARD_ROWS = 500_000
+#: Parts in which each class is ranked, so that no task ranks a whole class; part of the order, so the same at every size.
+SHARDS = 256
 
 
 def price(values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -58,7 +57,8 @@ def solve(demand: np.ndarray, limit: int = 20_000, gap: float = 1e-4) -> tuple[n
     """Patterns (rows), how often each is used (fractional), and the linear program's lower bound on windows.
 
     ``demand[i]`` pieces have class i + 1; a window holds ``len(demand)`` units. The bound is Farley's, valid
-    even though the search ends at a relative ``gap`` to it.
+    even though the search ends at a relative ``gap`` to it, or after ``limit`` patterns if that is not reached: the
+    patterns so far hold all of the demand in any case, so a limit costs windows at most, never pieces.
     """
     n = len(demand)
     rows = np.flatnonzero(demand)
@@ -148,9 +148,8 @@ def packed(docs: DataFrame, *, capacity: int = CAPACITY, bins: int = BINS, lengt
     for r in rows.groupBy("bin").count().collect():
         demand[r["bin"] - 1] = r["count"]
     intervals, _, _ = plan(demand)
-    # Ranks: within shards of the ids first, then shifted by the sizes of the shards before.
-    shards = max(1, math.ceil(int(demand.sum()) / SHARD_ROWS))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "h"), F.lit(shards)).cast("int"))
+    # Ranks: within shards first, then shifted by the sizes of the shards before.
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "h"), F.lit(SHARDS)).cast("int"))
     inside = Window.partitionBy("bin", "shard").orderBy("doc_id", "h", "piece")
     rows = rows.withColumn("rank", F.row_number().over(inside).cast("long") - 1)
     before = rows.groupBy("bin", "shard").agg(F.count("*").alias("n"))
