@@ -5,8 +5,6 @@ The tables hold few identifiers, so most texts are made from keys by expressions
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +18,7 @@ from ..operators.detectors import Detector, custom, from_function
 from ..operators.guard import Guard, host_of, is_in_kingdom
 from ..operators.redact import redacted, restored
 from ..operators.scan import chunked_findings, filtered, findings, with_findings
+from ..sources.scratch import scratch
 from ..streaming.scan import read_stream, stream_findings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,19 +94,12 @@ def _chunked(spark, sf):
 @query("stream_scan", f"{_FOUND} SELECT doc_id, entity_type, value FROM found")
 def _streamed(spark, sf):
     like = _table(spark, sf, "documents").select("doc_id", "text")
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="qirtas-stream-")
-    out = f"{base.rstrip('/')}/stream-{os.urandom(8).hex()}"
+    out = scratch(spark, "stream")
     rows = stream_findings(read_stream(like, sf, pathGlobFilter="documents.parquet"), ["doc_id"])
     rows.writeStream.format("parquet").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start(f"{out}/rows").awaitTermination()
     return spark.read.schema(rows.schema).parquet(f"{out}/rows").select("doc_id", "entity_type", "value")
 
 
-@query("external_projection", f"""{_FOUND} SELECT doc_id, 'PERSON' AS entity_type, 0.0 AS score FROM found WHERE entity_type = 'arabic_name'""")
-def _external(spark, sf):
-    df = with_findings(_table(spark, sf, "documents").select("doc_id", "text"))
-    return df.select("doc_id", F.inline(C.external(F.col("findings")))).select("doc_id", "entity_type", "score")
-
-
 # Made texts
 
 _PAD = "lpad(CAST({} AS STRING), {}, '0')"
@@ -338,9 +330,11 @@ def _hosts(spark: SparkSession, sf: str) -> DataFrame:
     return _table(spark, sf, "pages").select(F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1).alias("host")).where("host <> ''").distinct()
 
 
-@query("domain_extract", f"SELECT page_id, {_HOST} AS domain, CAST(5 + strpos(url, '//') + 1 AS INT) AS start, CAST(5 + strpos(url, '//') + 1 + length({_HOST}) AS INT) AS \"end\" FROM pages WHERE {_HOST} LIKE '%.%'")
+@query("domain_extract", """WITH p AS (SELECT page_id, string_split(url, '/') AS s FROM pages), q AS (SELECT page_id, s, unnest(range(1, len(s) + 1)) AS i FROM p),
+d AS (SELECT page_id, regexp_extract(s[i], '^[^\\s@:]+\\.[^\\s@:.]{2,}') AS domain, 5 + length(array_to_string(s[1:i - 1], '/')) + CASE WHEN i > 1 THEN 1 ELSE 0 END AS start FROM q)
+SELECT page_id, domain, CAST(start AS INT) AS start, CAST(start + length(domain) AS INT) AS "end" FROM d WHERE domain <> ''""")
 def _domains(spark, sf):
-    df = _table(spark, sf, "pages").select("page_id", F.concat(F.lit("see  "), F.regexp_extract("url", "^[a-z]+://[^/:?#]+", 0)).alias("text"))
+    df = _table(spark, sf, "pages").select("page_id", F.concat(F.lit("see  "), "url").alias("text"))
     return D.domains(df, ["page_id"])
 
 
@@ -350,10 +344,10 @@ def _skeletons(spark, sf):
 
 
 def _mutants(spark: SparkSession, sf: str, change: Column) -> DataFrame:
-    return _hosts(spark, sf).where("host like '%a%'").select(change.alias("domain"))
+    return _hosts(spark, sf).select(change.alias("domain"))
 
 
-@query("mixed_script", f"SELECT DISTINCT replace({_HOST}, 'a', 'а') AS domain, 'mixed_script' AS reason FROM pages WHERE {_HOST} LIKE '%a%' AND regexp_matches(replace({_HOST}, 'a', 'а'), '(^|\\.)[^.]*([a-z][^.]*а|а[^.]*[a-z])')")
+@query("mixed_script", f"SELECT DISTINCT replace({_HOST}, 'a', 'а') AS domain, 'mixed_script' AS reason FROM pages WHERE regexp_matches(replace({_HOST}, 'a', 'а'), '(^|\\.)[^.]*([a-z][^.]*а|а[^.]*[a-z])')")
 def _mixed_script(spark, sf):
     return D.analysed(_mutants(spark, sf, F.replace("host", F.lit("a"), F.lit("а")))).select("domain", "reason")
 
@@ -361,7 +355,7 @@ def _mixed_script(spark, sf):
 _SK = "translate(lower({}), 'а0158', 'aolsb')"
 
 
-@query("impersonation_join", f"""WITH h AS (SELECT DISTINCT {_HOST} AS target FROM pages WHERE {_HOST} <> ''), m AS (SELECT DISTINCT replace(target, 'a', 'а') AS domain FROM h WHERE target LIKE '%a%')
+@query("impersonation_join", f"""WITH h AS (SELECT DISTINCT {_HOST} AS target FROM pages WHERE {_HOST} <> ''), m AS (SELECT DISTINCT replace(target, 'a', 'а') AS domain FROM h)
 SELECT domain, target FROM m JOIN h ON {_SK.format("domain")} = {_SK.format("target")} WHERE lower(domain) <> lower(target)""")
 def _impersonation(spark, sf):
     found = D.analysed(_mutants(spark, sf, F.replace("host", F.lit("a"), F.lit("а"))), _hosts(spark, sf).withColumnRenamed("host", "target"))
@@ -371,7 +365,7 @@ def _impersonation(spark, sf):
 _SWAP = "substr({0}, 1, 1) || substr({0}, 3, 1) || substr({0}, 2, 1) || substr({0}, 4)"
 
 
-@query("typosquat_join", f"""WITH h AS (SELECT DISTINCT {_HOST} AS target FROM pages WHERE {_HOST} <> ''), m AS (SELECT DISTINCT {_SWAP.format("target")} AS domain FROM h WHERE target LIKE '%a%')
+@query("typosquat_join", f"""WITH h AS (SELECT DISTINCT {_HOST} AS target FROM pages WHERE {_HOST} <> ''), m AS (SELECT DISTINCT {_SWAP.format("target")} AS domain FROM h)
 SELECT domain, target FROM m JOIN h ON damerau_levenshtein({_SK.format("domain")}, {_SK.format("target")}) = 1 WHERE lower(domain) <> lower(target)""")
 def _typosquat(spark, sf):
     found = D.analysed(_mutants(spark, sf, F.expr(_SWAP.format("host"))), _hosts(spark, sf).withColumnRenamed("host", "target"))
@@ -394,3 +388,6 @@ def _prf(spark, sf):
 def _naive(spark, sf):
     df = with_findings(_made(spark, sf, "customer", k="c_custkey", text=f"'ID ' || {_ID}"))
     return df.agg(F.count_if(F.col("text").rlike("[12][0-9]{9}")).alias("naive"), F.count_if(F.size("findings") > 0).alias("validated"))
+
+
+from . import more  # noqa: E402, F401

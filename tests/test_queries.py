@@ -14,16 +14,44 @@ ROOT = Path(__file__).resolve().parent.parent
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-@pytest.fixture(scope="module")
-def duck(sf):
+def connected(sf):
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     return con
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.fixture(scope="module")
+def duck(sf):
+    return connected(sf)
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_its_sql(spark, sf, duck, name):
+    compare(spark, sf, duck, name)
+
+
+@pytest.mark.parametrize("name", ["detect_credit_card", "detect_email", "detect_ip", "chunked_scan", "domain_extract"])
+def test_query_equals_its_sql_on_more_rows(spark, name):
+    sf = "/root/testdata/sf0.01"
+    compare(spark, sf, connected(sf), name)
+
+
+def test_queries_without_sql():
+    assert QUERIES.keys() - SQL.keys() == {"domains_in_pages"}
+
+
+def test_hosts_of_whole_pages_are_those_of_a_plain_search(spark, sf):
+    import re
+
+    found = re.compile(r"(?<![\w@.\-])(?:https?://)?([^\s/@:]+\.[^\s/@:.]{2,})")
+    pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    want = sorted((p.page_id, m.group(1), m.start(1), m.end(1)) for p in pages for m in found.finditer(" ".join(x for x in (p.url, p.html) if x is not None)))
+    got = sorted((r.page_id, r.domain, r.start, r.end) for r in QUERIES["domains_in_pages"](spark, sf).collect())
+    assert len(want) > 100 and got == want
+
+
+def compare(spark, sf, duck, name):
     df = QUERIES[name](spark, sf)
     cur = duck.execute(SQL[name])
     have = [d[0] for d in cur.description]
