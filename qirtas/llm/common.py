@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,29 @@ ROWS_AT_ONCE = 1000
 MAX_BITS, _SLICE = 1 << 29, 1 << 20
 
 _LOCAL: list[str] = []
+_CACHES: dict[str, Callable[[], object]] = {}
+
+
+def cache_of(operator: str, clear: Callable[[], object]) -> None:
+    """``clear`` empties what an operator keeps in a worker between its tasks."""
+    _CACHES[operator] = clear
+
+
+def begin(operator: str) -> None:
+    """To be called as an operator's task begins: a worker that served another operator before gives its memory back."""
+    for name, clear in _CACHES.items():
+        if name != operator:
+            clear()
+    give_back()
+
+
+def give_back() -> None:
+    """What allocators hold without use, back to the system: executors have several workers, busy and idle."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
 
 
 def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ROWS_AT_ONCE, bitmap, free_name, holds, table, written
+from .common import ROWS_AT_ONCE, begin, bitmap, cache_of, free_name, give_back, holds, table, written
 
 MIN_WORDS = 50
 _BASE = 0x9E3779B97F4A7C15
@@ -79,6 +79,7 @@ class _Words(dict):
 
 
 _WORDS = _Words()
+cache_of("linededup", lambda: (_WORDS.clear(), _KNOWN.clear()))
 
 
 def _mixed(z: np.ndarray) -> np.ndarray:
@@ -209,19 +210,19 @@ def _gone(b: Batch, gone: list[tuple], rows: _Rows) -> None:
 
 def _grouped(batches: Iterator[pa.RecordBatch], wanted=None) -> Iterator[tuple[list[str], pa.RecordBatch]]:
     """Texts of some rows, in the order in which words come first, each (doc_id, h) once."""
+    begin("linededup")
     for batch in batches:
         sizes = np.array([0 if x is None else x for x in batch.column("size").to_pylist()], np.int64)
-        keep = sizes > 0 if wanted is None else (sizes > 0) & wanted(batch.column("k").to_numpy(), -1)
-        batch, sizes = batch.filter(pa.array(keep)), sizes[keep]
+        some = np.flatnonzero(sizes > 0 if wanted is None else (sizes > 0) & wanted(batch.column("k").to_numpy(), -1))
         lo = 0
-        while lo < batch.num_rows:
-            n = max(1, min(ROWS_AT_ONCE, int(np.searchsorted(np.cumsum(sizes[lo : lo + ROWS_AT_ONCE]), _CHARS, side="right"))))
-            part = batch.slice(lo, n)
-            lo += n
-            keys = [(d is not None, 0 if d is None else d, h) for d, h in zip(part.column("doc_id").to_pylist(), part.column("h").to_pylist())]
-            order = [i for _, g in itertools.groupby(sorted(range(n), key=keys.__getitem__), key=keys.__getitem__) for i in itertools.islice(g, 1)]
-            part = part.take(pa.array(order, pa.int64()))
+        while lo < len(some):
+            n = max(1, int(np.searchsorted(np.cumsum(sizes[some[lo : lo + ROWS_AT_ONCE]]), _CHARS, side="right")))
+            at, lo = some[lo : lo + n], lo + n
+            keys = [(d is not None, 0 if d is None else d, h) for d, h in zip(*(batch.column(x).take(pa.array(at)).to_pylist() for x in ("doc_id", "h")))]
+            order = [i for _, g in itertools.groupby(sorted(range(len(at)), key=keys.__getitem__), key=keys.__getitem__) for i in itertools.islice(g, 1)]
+            part = batch.take(pa.array(at[order]))
             yield part.column("text").to_pylist(), part
+    give_back()
 
 
 def _ranges(min_words: int):

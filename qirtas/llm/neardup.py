@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, sliced, table, written
+from .common import begin, free_name, give_back, sliced, table, written
 
 BITS = 256
 MAX_BITS = 44
@@ -70,6 +70,7 @@ def fingerprint(text: str) -> np.ndarray | None:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Fingerprints, null for texts without words."""
+    begin("neardup")
     for batch in sliced(batches):
         sigs = [None if t is None else fingerprint(t) for t in batch.column("text").to_pylist()]
         none = np.array([s is None for s in sigs], bool)
@@ -334,6 +335,7 @@ def _joined(blocks: list[tuple[int, int, int]], max_bits: int):
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Rows come sorted by key; memory holds one cell, which is bounded.
+        begin("neardup")
         held: list[pa.RecordBatch] = []
         at = None
         for batch in batches:
@@ -347,6 +349,7 @@ def _joined(blocks: list[tuple[int, int, int]], max_bits: int):
                     held.append(batch.slice(lo, hi - lo))
         if held:
             yield from cell(int(at), held)
+        give_back()
 
     return join
 
