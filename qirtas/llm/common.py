@@ -76,12 +76,22 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_LOCAL[0]}"
 
 
-def written(df: DataFrame, name: str, coalesce: int | None = None) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut and later jobs survive lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    (df.coalesce(coalesce) if coalesce else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove what ``written`` made, once all that reads it has been written or collected itself."""
+    for df in tables:
+        jvm, spark = df.sparkSession._jvm, df.sparkSession
+        path = jvm.org.apache.hadoop.fs.Path(df.written_at)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def _slice_bits(rows: pa.Table) -> pa.Table:

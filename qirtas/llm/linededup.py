@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ROWS_AT_ONCE, begin, bitmap, cache_of, free_name, give_back, holds, table, written
+from .common import ROWS_AT_ONCE, begin, bitmap, cache_of, discard, free_name, give_back, holds, table, written
 
 MIN_WORDS = 50
 _BASE = 0x9E3779B97F4A7C15
@@ -306,7 +306,7 @@ def _free_from(text: str, content: np.ndarray, min_words: int) -> np.ndarray:
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, h (hash of the text) and the ranges of words that go, for each document that has some."""
+    """doc_id, h (hash of the text) and the ranges of words that go, for each document that has some, as a table of its own."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = f"kind byte, a long, b long, s int, x int, doc_id {id_type}, h long"
     rows = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("h"), "text", F.length("text").alias("size")).withColumn("k", F.xxhash64("doc_id", "h"))
@@ -334,7 +334,9 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     whole = met.where("later").select("doc_id", "h", "s", (F.col("s") + F.col("x") + (min_words - 2)).alias("e"))
     at_once = [x.where(F.col("kind") == _GONE).select("doc_id", "h", "s", F.col("x").alias("e")) for x in (found, more)]
     runs = later.union(whole).union(at_once[0]).union(at_once[1])
-    return runs.groupBy("doc_id", "h").agg(F.collect_set(F.struct("s", "e")).alias("runs"))
+    out = written(runs.groupBy("doc_id", "h").agg(F.collect_set(F.struct("s", "e")).alias("runs")), "runs")
+    discard(found, met, more, first)
+    return out
 
 
 def _edited(text: str, runs: np.ndarray) -> tuple[str, int, int]:
@@ -388,7 +390,7 @@ def deduped(docs: DataFrame, min_words: int = MIN_WORDS, *, counts: bool = False
     and don't reach Python a second time.
     """
     spark = docs.sparkSession
-    runs = written(repeated_runs(docs, min_words), "runs")
+    runs = repeated_runs(docs, min_words)
     bits = spark.sparkContext.broadcast(bitmap(runs.select(F.xxhash64("doc_id", "h").alias("bit"))))
     d, h, r, v = (free_name(docs, x) for x in ("run_doc", "text_hash", "runs", "edited"))
     some = F.arrow_udf(lambda k: pa.array(holds(bits.value, k.to_numpy())), "boolean")(F.xxhash64("doc_id", F.xxhash64("text")))

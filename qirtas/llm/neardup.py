@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import begin, free_name, give_back, sliced, table, written
+from .common import begin, discard, free_name, give_back, sliced, table, written
 
 BITS = 256
 MAX_BITS = 44
@@ -354,8 +354,11 @@ def _joined(blocks: list[tuple[int, int, int]], max_bits: int):
     return join
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, root (least node of its component) for every node of ``edges`` (a, b): alternating large and small stars."""
+def components(edges: DataFrame, made: list[DataFrame]) -> DataFrame:
+    """node, root (least node of its component) for every node of ``edges`` (a, b): alternating large and small stars.
+
+    The table that the result reads is added to ``made``.
+    """
     edges = written(edges.where("a <> b").distinct(), "edges")
     while True:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -368,13 +371,18 @@ def components(edges: DataFrame) -> DataFrame:
         new = written(small.where("a <> b").distinct(), "edges")
         same = new.agg(F.count("*").alias("n"), F.countDistinct("b").alias("k")).first()
         roots = new.select("a").distinct().join(new.select(F.col("b").alias("a")).distinct(), "a", "left_semi").limit(1).count()
+        discard(edges)
         if same["n"] == same["k"] and not roots:  # every node has one parent, and parents are roots
+            made.append(new)
             return new.select(F.col("b").alias("node"), F.col("a").alias("root"))
         edges = new
 
 
-def classes(docs: DataFrame, *, max_bits: int = MAX_BITS, group: int = GROUP) -> DataFrame:
-    """doc_id, h (hash of the text), class_id and n_links, the number of other texts linked, for every row of ``docs``."""
+def classes(docs: DataFrame, *, max_bits: int = MAX_BITS, group: int = GROUP, made: list[DataFrame] | None = None) -> DataFrame:
+    """doc_id, h (hash of the text), class_id and n_links, the number of other texts linked, for every row of ``docs``.
+
+    The tables that the result reads are added to ``made``, if that is given.
+    """
     spark = docs.sparkSession
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
@@ -397,11 +405,15 @@ def classes(docs: DataFrame, *, max_bits: int = MAX_BITS, group: int = GROUP) ->
     size = sum(len({c for x in takes for c, _ in x}) for _, _, takes in cells)
     apart = spread.repartition(max(1, min(3 * size, 100_000)), "key").sortWithinPartitions("key")
     found = written(apart.mapInArrow(_joined(blocks, max_bits), "a long, b long, links long"), "links")
+    inner = [nodes, found]
     twins = nodes.where("weight > 1").select("node", (F.col("weight") - 1).alias("links"))
     links = found.where("a = b").select(F.col("a").alias("node"), "links").union(twins).groupBy("node").agg(F.sum("links").alias("n_links"))
-    linked = links.join(components(found.where("a <> b").select("a", "b")), "node", "left").select("node", "n_links", F.coalesce("root", "node").alias("root"))
+    linked = links.join(components(found.where("a <> b").select("a", "b"), inner), "node", "left").select("node", "n_links", F.coalesce("root", "node").alias("root"))
     some = sigs.where("node is not null").select("doc_id", "h", "node").join(linked, "node", "left")
     some = written(some.select("doc_id", "h", F.coalesce("root", "node").alias("root"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")), "linked")
+    discard(*inner)
+    if made is not None:
+        made += [some, sigs]
     named = some.join(some.groupBy("root").agg(F.min("doc_id").alias("class_id")), "root").select("doc_id", "h", "class_id", "n_links")
     return named.union(sigs.where("node is null").select("doc_id", "h", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
@@ -415,7 +427,9 @@ def copies(docs: DataFrame, **options) -> DataFrame:
 def kept(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that aren't later copies, with all their columns."""
     d, h = free_name(docs, "copy_id"), free_name(docs, "copy_hash")
-    gone = written(copies(docs, **options), "copies").select(F.col("doc_id").alias(d), F.col("h").alias(h)).distinct()
+    made: list[DataFrame] = []
+    gone = written(copies(docs, made=made, **options).select(F.col("doc_id").alias(d), F.col("h").alias(h)).distinct(), "copies")
+    discard(*made)
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone[d]) & (F.xxhash64(docs["text"]) == gone[h]), "left_anti")
 
 

@@ -22,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROWS_AT_ONCE, free_name, sliced, table, written
+from .common import ROWS_AT_ONCE, discard, free_name, sliced, table, written
 
 #: At most so many labelled documents (those of least hash) fit and calibrate the model. 0: all of them.
 FIT_ROWS = 40_000
+#: Labels that are sent to all tasks, at most: 24 MB.
+BROADCAST_ROWS = 1_000_000
 FEATURES = 384
 RIDGE = 1e-3
 BINS = 512
@@ -166,11 +168,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS, feature
             )
 
     chosen = labelled(labels, fit_rows)
-    chosen = F.broadcast(chosen) if fit_rows else chosen  # bounded by fit_rows, else left to the optimizer
+    chosen = F.broadcast(chosen) if 0 < fit_rows <= BROADCAST_ROWS else chosen  # else left to the optimizer
     rows = docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "y", "h")
     rows = written(rows.mapInArrow(stats, "stats array<double>, y double, held boolean, h long"), "quality-fit")
     n, ones = rows.agg(F.count("*"), F.sum("y")).first()
     if not n or not 0 < ones < n:
+        discard(rows)
         return None
     moments = rows.agg(*[f(F.col("stats")[i]) for i in range(N_STATS) for f in (F.avg, F.stddev_pop)]).first()
     mean, scale = np.array(moments[0::2], float), np.array(moments[1::2], float)
@@ -195,6 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS, feature
     held = rows.where("held").mapInArrow(scored, "s double, y double")
     table_ = held.groupBy(F.round(F.greatest(F.lit(-1.0), F.least(F.lit(2.0), "s")) * bins).alias("b")).agg(F.avg("s").alias("s"), F.avg("y").alias("y"), F.count("*").alias("w"))
     got = sorted((r.s, r.y, r.w) for r in table_.collect())
+    discard(rows)
     if not got:
         got = [(0.0, 0.0, 1), (1.0, 1.0, 1)]
     x, y, w = map(np.array, zip(*got))

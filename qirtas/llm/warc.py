@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap, holds, sliced, table, written
+from .common import bitmap, discard, holds, sliced, table, written
 
 PAGES_PER_ARCHIVE = 1024
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
@@ -271,6 +271,7 @@ def resolved(archives: DataFrame, compress: bool = True) -> DataFrame:
     later = later.where("not (archive <=> f.archive and part <=> f.part and position = f.position)")
     refers = later.groupBy("archive", "part").agg(F.collect_list(F.struct("position", F.col("f.archive").alias("to_archive"), F.col("f.part").alias("to_part"), F.col("f.position").alias("to"), "f.uri", "f.date", "f.record_id")).alias("refers"))
     refers = written(refers, "warc-refers")
+    discard(found)
     bits = archives.sparkSession.sparkContext.broadcast(bitmap(refers.select(F.xxhash64("archive", "part").alias("bit"))))
     own = _source(archives)
     one = archives.select("archive", "part", own).withColumnsRenamed({"archive": "in_archive", "part": "in_part"})
