@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 import hmac
 import html
+import itertools
 import re
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,6 +85,14 @@ _ITEMS = "array<struct<entity_type:string,category:string,confidence:string,orig
 _AT_ONCE = 512
 
 
+def _rows_of(found: pa.Array) -> list[list[dict] | None]:
+    """The findings of each row; column by column, since nested values are slow to convert one by one."""
+    flat = found.flatten()
+    names = [f.name for f in flat.type]
+    every = iter([dict(zip(names, v)) for v in zip(*(c.to_pylist() for c in flat.flatten()))])
+    return [None if n is None else list(itertools.islice(every, n)) for n in pc.list_value_length(found).to_pylist()]
+
+
 def _redactor(**options):
     kinds = [pa.string()] * 5 + [pa.int32()] * 2
     item = pa.struct(list(zip(("entity_type", "category", "confidence", "original", "replacement", "start", "end"), kinds)))
@@ -90,7 +100,7 @@ def _redactor(**options):
     def redact(text: pa.Array, found: pa.Array) -> pa.Array:
         parts = []
         for lo in range(0, max(1, len(text)), _AT_ONCE):
-            rows = [("", [], {}) if t is None else redact_text(t, f or [], **options) for t, f in zip(text.slice(lo, _AT_ONCE).to_pylist(), found.slice(lo, _AT_ONCE).to_pylist())]
+            rows = [("", [], {}) if t is None else redact_text(t, f or [], **options) for t, f in zip(text.slice(lo, _AT_ONCE).to_pylist(), _rows_of(found.slice(lo, _AT_ONCE)))]
             flat = list(zip(*(i for _, items, _ in rows for i in items))) or [()] * 7
             offsets = [0]
             for _, items, _ in rows:
@@ -162,7 +172,7 @@ def highlight_text(text: str, found: list[dict]) -> str:
 
 
 def _highlight(text: pa.Array, found: pa.Array) -> pa.Array:
-    return pa.array([None if t is None or f is None else highlight_text(t, f) for t, f in zip(text.to_pylist(), found.to_pylist())], pa.string())
+    return pa.array([None if t is None or f is None else highlight_text(t, f) for t, f in zip(text.to_pylist(), _rows_of(found))], pa.string())
 
 
 def highlighted(text: Column, found: Column) -> Column:
