@@ -222,6 +222,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], wanted=None) -> Iterator[tuple[l
             order = [i for _, g in itertools.groupby(sorted(range(len(at)), key=keys.__getitem__), key=keys.__getitem__) for i in itertools.islice(g, 1)]
             part = batch.take(pa.array(at[order]))
             yield part.column("text").to_pylist(), part
+    _WORDS.clear()  # an idle worker keeps nothing
     give_back()
 
 

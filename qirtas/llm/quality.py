@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROWS_AT_ONCE, discard, free_name, sliced, table, written
+from .common import ROWS_AT_ONCE, begin, discard, free_name, sliced, table, written
 
 #: At most so many labelled documents (those of least hash) fit and calibrate the model. 0: all of them.
 FIT_ROWS = 40_000
@@ -99,7 +99,9 @@ class Model:
         return np.hstack([z, np.ones((len(z), 1))])
 
     def score(self, stats: np.ndarray) -> np.ndarray:
-        return self.features(stats) @ self.weights
+        # In slices: a batch of rows would take hundreds of times the memory of its statistics.
+        parts = [self.features(stats[lo : lo + ROWS_AT_ONCE]) @ self.weights for lo in range(0, len(stats), ROWS_AT_ONCE)]
+        return np.concatenate(parts) if parts else np.zeros(0)
 
     def probability(self, score: np.ndarray) -> np.ndarray:
         return np.interp(score, self.knots, self.levels)
@@ -127,7 +129,8 @@ def _sums(model: Model):
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((width, width + 1))
-        for batch in batches:
+        begin("quality")
+        for batch in sliced(batches):
             stats = np.array(batch.column("stats").to_pylist(), float)
             if len(stats):
                 z = model.features(stats)
@@ -159,6 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, fit_rows: int = FIT_ROWS, feature
     """Fit on labelled documents: four fifths (by hash) fit the ridge scores, one fifth the calibration."""
 
     def stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("quality")
         for batch in sliced(batches):
             x = statistics(batch.column("text").to_pylist())
             ok = ~np.isnan(x[:, -1])
@@ -211,6 +215,7 @@ def judge(model: Model | None, threshold: float = THRESHOLD):
 
     @F.arrow_udf("struct<score:double,probability:double,keep:boolean>")
     def verdict(text: pa.Array) -> pa.Array:
+        begin("quality")
         x = np.vstack([statistics(text.slice(lo, ROWS_AT_ONCE).to_pylist()) for lo in range(0, max(1, len(text)), ROWS_AT_ONCE)])
         none = np.isnan(x[:, -1])
         if model is None:
