@@ -144,58 +144,70 @@ def _compact(v: str) -> str:
     return _SPACE.sub("", v).upper()
 
 
-_NO_DIGIT_BEFORE, _NO_DIGIT_AFTER = r"(?<!\d)", r"(?!\d)"
-_TEN = rf"{_NO_DIGIT_BEFORE}\d{{10}}{_NO_DIGIT_AFTER}"
+_LETTERS = "A-Za-z"
+
+
+def _apart(inner: str, edge: str = r"\d") -> str:
+    """``inner`` between characters that aren't of the class ``edge``."""
+    return f"(?<![{edge}]){inner}(?![{edge}])"
+
+
+def _phrases(*some: str) -> str:
+    """Any of some phrases in any case; ``_`` stands for white space and ``~`` for white space or nothing."""
+    return "(?i)(?:" + "|".join(x.replace("_", r"\s+").replace("~", r"\s*") for x in some) + ")"
+
+
+_TEN = _apart(r"\d{10}")
 _PHONE = r"(?:0|(?:\+|00)?966)"
-_I = "(?i)"
+_WORD_EDGE = f"{_LETTERS}0-9"
 
 NATIONAL_ID = Detector(
-    "saudi_national_id", "national_identifier", "high", rf"{_NO_DIGIT_BEFORE}[12]\d{{9}}{_NO_DIGIT_AFTER}", runs=(10, 10), seen="[0-9]{10}", fold_digits=True,
+    "saudi_national_id", "national_identifier", "high", _apart(r"[12]\d{9}"), runs=(10, 10), seen="[0-9]{10}", fold_digits=True,
     valid=plain.national_id, type_of=lambda v: "saudi_iqama" if v[0] == "2" else "saudi_national_id",
     notes="check digit holds; no registry was asked",
 )
 IBAN = Detector(
-    "saudi_iban", "financial", "high", rf"{_I}(?<![A-Z0-9])SA\d{{2}}(?:\s?[A-Z0-9]){{20}}(?![A-Z0-9])", runs=(2, 10**9), before=(2,), seen="[aA][0-9]{2}",
+    "saudi_iban", "financial", "high", "(?i)" + _apart(r"SA\d\d" + r"(?:\s?[\dA-Z])".replace(r"\d", "0-9") + "{20}", "0-9A-Z"), runs=(2, 10**9), before=(2,), seen="[aA][0-9]{2}",
     value=_compact, valid=lambda v: len(v) == 24 and plain.iban(v), notes="mod-97 check holds",
 )
-MOBILE = Detector("saudi_mobile", "contact", "medium", rf"{_NO_DIGIT_BEFORE}{_PHONE}5\d{{8}}{_NO_DIGIT_AFTER}", runs=(10, 14), before=(1, 0), seen="[0-9]{10}", fold_digits=True, notes="by format alone; mobile numbers have no check digit")
-LANDLINE = Detector("saudi_landline", "contact", "medium", rf"{_NO_DIGIT_BEFORE}{_PHONE}1[1-7]\d{{7}}{_NO_DIGIT_AFTER}", runs=(10, 14), before=(1, 0), seen="[0-9]{10}", fold_digits=True, notes="by format alone; landlines have no check digit")
+MOBILE = Detector("saudi_mobile", "contact", "medium", _apart(_PHONE + r"5\d{8}"), runs=(10, 14), before=(1, 0), seen="[0-9]{10}", fold_digits=True, notes="by format alone; mobile numbers have no check digit")
+LANDLINE = Detector("saudi_landline", "contact", "medium", _apart(_PHONE + r"1[1-7]\d{7}"), runs=(10, 14), before=(1, 0), seen="[0-9]{10}", fold_digits=True, notes="by format alone; landlines have no check digit")
 CR = Detector(
     "saudi_cr", "organisation", "low", _TEN, runs=(10, 10), seen="[0-9]{10}", fold_digits=True, hints=("cr", "c.r", "commercial", "سجل", "س.ت", "ست"),
-    keyword=rf"{_I}(?:C\.?R\.?|commercial\s+registration|سجل\s*تجاري|س\.?ت\.?)", notes="by format and keyword; no check digit is public",
+    keyword=_phrases(r"C\.?R\.?", "commercial_registration", "سجل~تجاري", r"س\.?ت\.?"), notes="by format and keyword; no check digit is public",
 )
 VAT = Detector(
-    "saudi_vat", "financial", "medium", rf"{_NO_DIGIT_BEFORE}\d{{15}}{_NO_DIGIT_AFTER}", runs=(15, 15), seen="[0-9]{15}", fold_digits=True, hints=("vat", "trn", "tax", "الضريبي", "ضريب"),
-    keyword=rf"{_I}(?:VAT|TRN|tax\s+(?:id|number|registration)|الرقم\s*الضريبي|ضريب)", notes="by format and keyword; tax numbers have no public check digit",
+    "saudi_vat", "financial", "medium", _apart(r"\d{15}"), runs=(15, 15), seen="[0-9]{15}", fold_digits=True, hints=("vat", "trn", "tax", "الضريبي", "ضريب"),
+    keyword=_phrases("VAT", "TRN", "tax_id", "tax_number", "tax_registration", "الرقم~الضريبي", "ضريب"), notes="by format and keyword; tax numbers have no public check digit",
 )
 PASSPORT = Detector(
-    "saudi_passport", "national_identifier", "low", r"(?<![A-Za-z0-9])[A-Za-z]\d{8}(?![A-Za-z0-9])", runs=(8, 8), before=(1,), seen="[0-9]{8}", hints=("passport", "جواز"),
-    keyword=rf"{_I}(?:passport|جواز(?:\s*سفر)?|رقم\s*الجواز)", notes="by format and keyword; passports have no public check digit",
+    "saudi_passport", "national_identifier", "low", _apart(rf"[{_LETTERS}]\d{{8}}", _WORD_EDGE), runs=(8, 8), before=(1,), seen="[0-9]{8}", hints=("passport", "جواز"),
+    keyword=_phrases("passport", "جواز~سفر", "جواز", "رقم~الجواز"), notes="by format and keyword; passports have no public check digit",
 )
 BORDER = Detector(
     "saudi_border_number", "national_identifier", "low", _TEN, runs=(10, 10), seen="[0-9]{10}", fold_digits=True, hints=("border", "visa", "الحدود", "تأشير"),
-    keyword=rf"{_I}(?:border\s*(?:no|number)|رقم\s*الحدود|تأشير|visa\s*(?:no|number))", notes="by format and keyword; given to visitors",
+    keyword=_phrases("border~no", "border~number", "رقم~الحدود", "تأشير", "visa~no", "visa~number"), notes="by format and keyword; given to visitors",
 )
 ADDRESS = Detector(
-    "saudi_national_address", "contact", "low", r"(?<![A-Za-z0-9])[A-Za-z]{4}\d{4}(?![A-Za-z0-9])", runs=(4, 4), before=(4,), seen="[A-Za-z]{4}[0-9]{4}", hints=("national", "short", "العنوان", "الرمز", "رمز"),
-    keyword=rf"{_I}(?:national\s*address|short\s*address|العنوان\s*الوطني|الرمز\s*البريدي|رمز\s*المبنى)", notes="by format and keyword; a postal short address",
+    "saudi_national_address", "contact", "low", _apart(rf"[{_LETTERS}]{{4}}\d{{4}}", _WORD_EDGE), runs=(4, 4), before=(4,), seen="[A-Za-z]{4}[0-9]{4}", hints=("national", "short", "العنوان", "الرمز", "رمز"),
+    keyword=_phrases("national~address", "short~address", "العنوان~الوطني", "الرمز~البريدي", "رمز~المبنى"), notes="by format and keyword; a postal short address",
 )
 UNIFIED = Detector(
-    "saudi_unified_number", "organisation", "low", rf"{_NO_DIGIT_BEFORE}7\d{{9}}{_NO_DIGIT_AFTER}", runs=(10, 10), seen="7[0-9]{9}", fold_digits=True, hints=("unified", "الرقم", "700"),
-    keyword=rf"{_I}(?:unified\s*(?:national\s*)?number|الرقم\s*الموحد|(?<!\w)700(?!\w))", notes="by format and keyword; an establishment's number",
+    "saudi_unified_number", "organisation", "low", _apart(r"7\d{9}"), runs=(10, 10), seen="7[0-9]{9}", fold_digits=True, hints=("unified", "الرقم", "700"),
+    keyword=_phrases("unified~national~number", "unified~number", "الرقم~الموحد", _apart("700", r"\w")), notes="by format and keyword; an establishment's number",
 )
 MRN = Detector(
     "medical_record_number", "sensitive_health", "low",
-    rf"{_I}(?:MRN|medical\s+record(?:\s+(?:no|number))?\.?|رقم\s*(?:ال)?(?:سجل|ملف)(?:\s*(?:ال)?طبي)?|(?:ال)?سجل\s*(?:ال)?طبي)\s*[:#\-]?\s*([A-Za-z0-9\-]{{4,20}})",
+    _phrases("MRN", r"medical_record(?:_no|_number)?\.?", "رقم~(?:ال)?(?:سجل|ملف)(?:~(?:ال)?طبي)?", "(?:ال)?سجل~(?:ال)?طبي") + rf"\s*[\-#:]?\s*([\-{_WORD_EDGE}]{{4,20}})",
     group=1, words=("mrn", "medical", "رقم", "سجل"), seen="[mM](?:[rR][nN]|[eE][dD][iI][cC][aA][lL])", notes="by keyword alone; record numbers have no common format, and this is health data",
 )
 _LOCAL, _HEX = r"A-Za-z0-9._%+\-", "0-9A-Fa-f:"
-EMAIL = Detector("email", "contact", "medium", rf"(?<![{_LOCAL}])[{_LOCAL}]+@[A-Za-z0-9.\-]+\.[A-Za-z]{{2,}}", words=("@",), seen="@")
+EMAIL = Detector("email", "contact", "medium", rf"(?<![{_LOCAL}])[{_LOCAL}]+@[\-.{_WORD_EDGE}]+[.][{_LETTERS}]{{2,}}", words=("@",), seen="@")
 CARD = Detector(
-    "credit_card", "financial", "high", rf"{_NO_DIGIT_BEFORE}(?:\d[ \-]?){{12,18}}\d{_NO_DIGIT_AFTER}", runs=(1, 19), seen="(?:[0-9][ \\-]?){12}[0-9]",
+    "credit_card", "financial", "high", _apart(r"(?:\d[\- ]?){12,18}\d"), runs=(1, 19), seen="(?:[0-9][ \\-]?){12}[0-9]",
     value=lambda v: v.replace(" ", "").replace("-", ""), valid=lambda v: 13 <= len(v) <= 19 and plain.luhn(v), notes="Luhn check holds",
 )
-IP = Detector("ip_address", "network", "medium", rf"(?<![\w.])(?:\d{{1,3}}(?:\.\d{{1,3}}){{3}}|[{_HEX}]{{2,}}:[{_HEX}]*)(?![\w.])", runs=(1, 3), unless=":[0-9A-Fa-f]{0,4}:", seen=r"[0-9]\.[0-9]+\.[0-9]|:[0-9A-Fa-f]{0,4}:", valid=plain.ip)
+IP = Detector("ip_address", "network", "medium", _apart(r"(?:\d{1,3}(?:[.]\d{1,3}){3}" + f"|[{_HEX}]{{2,}}:[{_HEX}]*)", r".\w"), runs=(1, 3), unless=":[0-9A-Fa-f]{0,4}:", seen=r"[0-9]\.[0-9]+\.[0-9]|:[0-9A-Fa-f]{0,4}:", valid=plain.ip)
 
 SAUDI = (NATIONAL_ID, IBAN, MOBILE, LANDLINE, CR, VAT, PASSPORT, BORDER, ADDRESS, UNIFIED, MRN)
 GENERIC = (EMAIL, CARD, IP)

@@ -150,7 +150,8 @@ def _bare(host: str) -> str:
     labels = []
     for x in host.split("."):
         try:
-            labels.append(x[4:].encode("ascii").decode("punycode") if x.lower().startswith("xn--") else x)
+            own = x.lower().startswith("xn--")
+            labels.append(bytes(x[4:], "ascii").decode("punycode") if own else x)
         except UnicodeError:
             labels.append(x)
     return ".".join(labels)
@@ -182,7 +183,7 @@ def _apart(a: str, b: str) -> int:
         now = [i]
         for j, y in enumerate(b, 1):
             best = min(last[j] + 1, now[j - 1] + 1, last[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+            if min(i, j) > 1 and (x, y) == (b[j - 2], a[i - 2]):
                 best = min(best, before[j - 2] + 1)
             now.append(best)
         before, last = last, now

@@ -6,6 +6,8 @@ import json
 import warnings
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from os import PathLike
+from pathlib import Path
 from types import SimpleNamespace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,15 +40,15 @@ class AuditLog:
     """Takes audit records of messages that were protected on the driver: kept in ``records``, appended to a file of JSON
     lines and given to a function, if there are such. Audits of tables go by ``write_audit``."""
 
-    def __init__(self, path: str | None = None, sink: Callable[[dict], None] | None = None):
-        self.path, self.sink = path, sink
+    def __init__(self, path: str | PathLike[str] | None = None, sink: Callable[[dict], object] | None = None):
+        self.file, self.sink = Path(path) if path else None, sink
         self.records: list[dict] = []
 
     def record(self, one: dict) -> None:
-        self.records.append(one)
-        if self.path:
-            with open(self.path, "a", encoding="utf-8") as f:
-                f.write(json.dumps(one, ensure_ascii=False) + "\n")
+        self.records += [one]
+        if self.file:
+            with self.file.open("a", encoding="utf-8") as lines:
+                print(json.dumps(one, ensure_ascii=False), file=lines)
         if self.sink:
             self.sink(one)
 

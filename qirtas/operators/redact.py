@@ -72,7 +72,8 @@ def redact_text(text: str, found: list[dict], mode: str, salt: str = "", hash_le
         elif mode == "hash":
             new = f"[HASH:{hmac.new(salt.encode(), value.encode('utf-8', 'replace'), hashlib.sha256).hexdigest()[:hash_length]}]"
         elif mode == "partial":
-            new = fill * len(value) if keep_last <= 0 else value if len(value) <= keep_last else fill * (len(value) - keep_last) + value[-keep_last:]
+            shown = value[max(0, len(value) - keep_last) :] if keep_last > 0 else ""
+            new = shown.rjust(len(value), fill) if len(fill) == 1 else fill * (len(value) - len(shown)) + shown
         else:
             new = tokens[name(m), original]
         out += [text[at:start], new]

@@ -27,8 +27,9 @@ EXTERNAL_NAMES = {
 }
 EXTERNAL_SCORES = {"high": 0.95, "medium": 0.6, "low": 0.4}
 
-DISPLAY_NAMES = {
-    "saudi_national_id": "Saudi National ID", "saudi_iqama": "Saudi Iqama", "saudi_iban": "Saudi IBAN", "saudi_cr": "Commercial Registration", "saudi_vat": "VAT / Tax Number",
-    "saudi_mobile": "Saudi Mobile", "saudi_landline": "Saudi Landline", "saudi_passport": "Passport", "saudi_border_number": "Border / Visa Number",
-    "saudi_national_address": "National Address", "saudi_unified_number": "Unified Number (700)", "ip_address": "IP Address",
-}
+#: What people call a type, where its own name in capitals and blanks won't do.
+_CALLED = (
+    ("Unified Number (700)", "unified_number"), ("Border / Visa Number", "border_number"), ("National Address", "national_address"), ("Passport", "passport"), ("VAT / Tax Number", "vat"),
+    ("Commercial Registration", "cr"), ("Saudi Landline", "landline"), ("Saudi Mobile", "mobile"), ("Saudi IBAN", "iban"), ("Saudi Iqama", "iqama"), ("Saudi National ID", "national_id"),
+)
+DISPLAY_NAMES = {f"saudi_{kind}": said for said, kind in _CALLED} | {"ip_address": "IP Address"}
