@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Texts that become Python objects at once: an Arrow batch has more, and its copy would double a worker's memory.
 ROWS_AT_ONCE = 1000
+#: Rows of an Arrow batch, at most.
+ARROW_ROWS, _ARROW = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Bits of a bitmap that is sent to the tasks, at most (64 MB), and of what one task makes of it.
 MAX_BITS, _SLICE = 1 << 29, 1 << 20
 
@@ -130,4 +132,8 @@ def free_name(df: DataFrame, stem: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder. Rows hold whole texts here, so at most ``ARROW_ROWS`` of them go to Python at once: the session's
+    setting is lowered to that where it is higher, since both an executor and its workers hold such a batch."""
+    if int(spark.conf.get(_ARROW, "10000")) > ARROW_ROWS or int(spark.conf.get(_ARROW, "10000")) <= 0:
+        spark.conf.set(_ARROW, str(ARROW_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -337,6 +337,8 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     runs = later.union(whole).union(at_once[0]).union(at_once[1])
     out = written(runs.groupBy("doc_id", "h").agg(F.collect_set(F.struct("s", "e")).alias("runs")), "runs")
     discard(found, met, more, first)
+    marked.destroy()
+    bits.destroy()
     return out
 
 

@@ -406,6 +406,7 @@ def classes(docs: DataFrame, *, max_bits: int = MAX_BITS, group: int = GROUP, ma
     apart = spread.repartition(max(1, min(3 * size, 100_000)), "key").sortWithinPartitions("key")
     found = written(apart.mapInArrow(_joined(blocks, max_bits), "a long, b long, links long"), "links")
     inner = [nodes, found]
+    shared.destroy()
     twins = nodes.where("weight > 1").select("node", (F.col("weight") - 1).alias("links"))
     links = found.where("a = b").select(F.col("a").alias("node"), "links").union(twins).groupBy("node").agg(F.sum("links").alias("n_links"))
     linked = links.join(components(found.where("a <> b").select("a", "b"), inner), "node", "left").select("node", "n_links", F.coalesce("root", "node").alias("root"))
