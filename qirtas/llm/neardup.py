@@ -1,14 +1,16 @@
-"""SimHash near-dedup by a self-join of binary tries.
+"""SimHash near-dedup by a self-join of blocks of bits.
 
 A text's fingerprint has 256 bits: the signs of the sum, over its distinct lower-cased words, of a pseudo-random
 +1/-1 vector per word. Two texts are linked if at most ``max_bits`` of the bits differ. The fingerprint is cut into
-blocks, a little narrower than the logarithm of the number of fingerprints, and block k has an error budget t(k) with
+blocks of 32 bits (for large ``max_bits`` a little narrower than the logarithm of the number of fingerprints), and block k has an error budget t(k) with
 sum(t(k) + 1) = max_bits + 1: were every block over its budget, more than ``max_bits`` bits would differ. So no link
-is missed if each block's values are joined within its budget. For that a binary trie over a block is joined with
-itself: pairs of nodes are traversed together, differing bits add up, and a pair of nodes is dropped once it exceeds the
-block's budget. Leaves are checked on all 256 bits; a link counts in the first block that finds it.
+is missed if each block's values are joined within its budget. For that a block has a cover, 63 masks for five bits of 32:
+whichever five differ, some mask has none of them, so values are sorted under each mask in turn and equal ones are compared.
+Few fingerprints, or a budget that would take too many masks, are joined by binary tries instead: pairs of nodes are traversed
+together, differing bits add up, and a pair of nodes is dropped once it exceeds the block's budget. What meets is checked on
+all 256 bits; a link counts in the first block, and under the first mask, that finds it.
 
-A trie is spread over the cluster by its upper nodes: a node with more than ``group`` fingerprints is split into its
+For the cluster a block is taken as a binary trie too. It is spread over the cluster by its upper nodes: a node with more than ``group`` fingerprints is split into its
 children, and (behind ``_DEEPEST`` levels, as where a third of all share a block's value) by a hash; pairs of such nodes
 that are within the budget are one task each. Their number comes from counts of the upper nodes alone. Texts with equal
 fingerprints are one node. There is no cap on partners; only a spanning forest and the sums of each task's links are
@@ -42,6 +44,9 @@ _SELF = 2  # the side of a part that is joined with itself
 _SIG = ["s0", "s1", "s2", "s3"]
 _WORDS_AT_ONCE = 1 << 14
 _CELLS, _LEAF = 1 << 15, 16
+#: Positions of one key above which it is compared by itself; error budget of a block up to which it is joined by a cover, and
+#: the fingerprints of a cell from which on that pays.
+_WIDE, _COVERED, _FEW = 256, 5, 2048
 
 
 def _vectors(hashes: np.ndarray) -> np.ndarray:
@@ -80,8 +85,9 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def blocks_of(n: int, max_bits: int) -> list[tuple[int, int, int]]:
     """First bit, width and error budget of each block for ``n`` fingerprints."""
-    width = min(32, max(10, math.log2(max(n, 2)) - 2.5))
-    count = max(math.ceil(BITS / 32), min(max_bits + 1, round(BITS / width)))
+    least = math.ceil(BITS / 32)
+    narrow = min(32, max(10, math.log2(max(n, 2)) - 2.5))
+    count = least if max_bits < least * (_COVERED + 1) else max(least, min(max_bits + 1, round(BITS / narrow)))
     edges = [round(BITS * k / count) for k in range(count + 1)]
     budget, more = divmod(max_bits + 1, count)
     return [(a, b - a, budget - (k >= more)) for k, (a, b) in enumerate(zip(edges, edges[1:])) if budget - (k >= more) >= 0]
@@ -293,32 +299,134 @@ class Forest:
                 self.label = self.label[self.label]
 
 
+def cover(width: int, budget: int) -> np.ndarray:
+    """Masks of a block, number 0 unused: whatever ``budget`` bits differ, at least one mask has none of them.
+
+    Each bit gets a vector of ``budget`` + 1 dimensions, and mask v the bits whose vector has an odd product with v: some v is
+    orthogonal to any ``budget`` vectors. Of 32 bits with five errors all masks but one have 16 (a first-order Reed-Muller code).
+    """
+    half, full = 1 << budget, (2 << budget) - 1
+    at = np.arange(width, dtype=np.uint32)
+    vector = half | at if width <= half else at % full + 1
+    odd = np.bitwise_count(np.arange(full + 1, dtype=np.uint32)[:, None] & vector) & 1
+    return (odd.astype(np.uint32) << at).sum(axis=1, dtype=np.uint32)
+
+
+def _clean(masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the low and the high 16 bits of a difference, a bit for each mask that has none of them."""
+    one = np.uint64(1) << np.arange(len(masks), dtype=np.uint64)
+    at, tables = np.arange(1 << 16), np.full((2, 1 << 16), 2**64 - 1, np.uint64)
+    for bit in range(32):
+        tables[bit // 16, at >> bit % 16 & 1 == 1] &= one[masks >> np.uint32(bit) & np.uint32(1) == 0].sum(dtype=np.uint64)
+    return tables[0], tables[1]
+
+
+def _same(key: np.ndarray, words: tuple[np.ndarray, np.ndarray], max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of positions with one key (``key`` is sorted) that differ in at most ``max_bits`` bits of two words."""
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    size = np.diff(np.r_[first, len(key)])
+    differ, bits, more = (np.empty(_CELLS, x) for x in (np.uint64, np.uint8, np.uint8))
+
+    def near(left: list[np.ndarray], right: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+        shape = np.broadcast_shapes(left[0].shape, right[0].shape)
+        n = math.prod(shape)
+        for x, y, to in zip(left, right, (bits, more)):
+            np.bitwise_xor(x, y, out=differ[:n].reshape(shape))
+            np.bitwise_count(differ[:n], out=to[:n])
+        np.add(bits[:n], more[:n], out=bits[:n])
+        at = np.flatnonzero(bits[:n] <= max_bits)
+        row = at // shape[1]
+        return row, at - row * shape[1]
+
+    low, wide = 1, [np.flatnonzero(size > _WIDE)]
+    while low < _WIDE:
+        # Keys of one size class, the most frequent first: row r has the r-th position of each, as far as they go.
+        own = np.flatnonzero((size > low) & (size <= 2 * low))
+        if len(own) < low:  # too few to go through side by side
+            wide.append(own)
+            own = own[:0]
+        for lo in range(0, len(own), _CELLS // 2):
+            k = own[lo : lo + _CELLS // 2]
+            k = k[np.argsort(-size[k], kind="stable")]
+            start, n = first[k], size[k]
+            rows = [w[start + np.minimum(np.arange(2 * low)[:, None], n - 1)] for w in words]
+            upto = np.searchsorted(-n, -np.arange(2 * low)).tolist()
+            for s in range(1, 2 * low):
+                many = upto[s]
+                step = _CELLS // s
+                for c in range(0, many, step):
+                    d = min(c + step, many)
+                    r, at = near([w[:s, c:d] for w in rows], [w[s : s + 1, c:d] for w in rows])
+                    if len(r):
+                        yield start[c + at] + r, start[c + at] + s
+        low *= 2
+    for k in np.concatenate(wide).tolist():
+        lo, hi = int(first[k]), int(first[k] + size[k])
+        for c in range(lo, hi, _WIDE):  # columns, and the rows above and beside them
+            d = min(c + _WIDE, hi)
+            for r in range(lo, d, _CELLS // _WIDE):
+                e = min(r + _CELLS // _WIDE, d)
+                x, y = near([w[r:e, None] for w in words], [w[None, c:d] for w in words])
+                ok = x + r < y + c
+                yield x[ok] + r, y[ok] + c
+
+
+def _covered(sig: np.ndarray, value: np.ndarray, width: int, budget: int, first: int, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of positions that differ in at most ``budget`` bits of a block and (for certain only in the first half looked at)
+    ``max_bits`` of all, each once: in the first mask of the block's cover under which both are equal."""
+    masks = cover(width, budget)
+    low, high = _clean(masks)
+    words = [np.ascontiguousarray(sig[:, (first // 64 + k) % 4]) for k in (1, 2)]  # not the block's own, in which bits are alike
+    place = np.arange(len(value), dtype=np.uint64)
+    for v in range(1, len(masks)):
+        both = (value & masks[v]).astype(np.uint64)
+        both <<= np.uint64(32)
+        both |= place
+        both.sort()
+        at = (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        both >>= np.uint64(32)
+        own, earlier = value[at], np.uint64((1 << v) - 2)
+        for x, y in _batched(_same(both.astype(np.uint32), (words[0][at], words[1][at]), max_bits)):
+            d = own[x] ^ own[y]
+            ok = np.flatnonzero((low[d & np.uint32(0xFFFF)] & high[d >> np.uint32(16)] & earlier) == 0)
+            ok = ok[np.bitwise_count(d[ok]) <= budget]
+            yield at[x[ok]], at[y[ok]]
+
+
+def _by_trie(sig: np.ndarray, value: np.ndarray, width: int, budget: int, side: np.ndarray | None, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same by a join of tries."""
+    order = np.argsort(value, kind="stable") if side is None else np.lexsort((value, side))
+    value, words = value[order], [np.ascontiguousarray(sig[order, i]) for i in range(4)]
+    leaves = trie_pairs(value, width, budget, None if side is None else int((side == 0).sum()))
+    for x, y in itertools.chain.from_iterable(_near(words, *pairs, max_bits) for pairs in _batched(leaves)):
+        ok = np.bitwise_count(value[x] ^ value[y]) <= budget
+        yield order[x[ok]], order[y[ok]]
+
+
 def matches(sig: np.ndarray, weight: np.ndarray, blocks: list[tuple[int, int, int]], k: int, max_bits: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of the links that block ``k`` is the first to find: a spanning forest (pairs of positions), and for each position
     the sum of its partners' weights. With ``side`` (0 or 1) links are between the sides only."""
     first, width, budget = blocks[k]
     value = _values(sig, first, width)
-    order = np.argsort(value, kind="stable") if side is None else np.lexsort((value, side))
-    value, sig, weight = value[order], sig[order], weight[order]
-    words = [np.ascontiguousarray(sig[:, i]) for i in range(4)]
     forest, links = Forest(len(sig)), np.zeros(len(sig), np.int64)
-    leaves = trie_pairs(value, width, budget, None if side is None else int((side == 0).sum()))
-    for x, y in itertools.chain.from_iterable(_near(words, *pairs, max_bits) for pairs in _batched(leaves)):
-        ok = np.bitwise_count(value[x] ^ value[y]) <= budget
-        x, y = x[ok], y[ok]
-        if not len(x):
-            continue
-        differ = sig[x] ^ sig[y]
-        fresh = np.ones(len(x), bool)
-        for f, w, t in blocks[:k]:
-            fresh &= np.bitwise_count(_values(differ, f, w)) > t
-        x, y = x[fresh], y[fresh]
+    by_cover = budget <= _COVERED and len(sig) >= _FEW
+    found = _covered(sig, value, width, budget, first, max_bits) if by_cover else _by_trie(sig, value, width, budget, side, max_bits)
+
+    def linked() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for x, y in found:
+            ok = np.ones(len(x), bool) if side is None else side[x] != side[y]
+            differ = sig[x] ^ sig[y]
+            ok &= np.bitwise_count(differ).sum(axis=1, dtype=np.int16) <= max_bits
+            for f, w, t in blocks[:k]:
+                ok &= np.bitwise_count(_values(differ, f, w)) > t
+            if ok.any():
+                yield x[ok], y[ok]
+
+    for x, y in _batched(linked(), 1 << 18):  # each batch costs a pass over all positions
         links += np.bincount(x, weight[y], len(links)).astype(np.int64) + np.bincount(y, weight[x], len(links)).astype(np.int64)
         forest.add(x, y)
     child = np.flatnonzero(forest.label != np.arange(len(sig)))
-    back = np.empty_like(links)
-    back[order] = links
-    return order[child], order[forest.label[child]], back
+    return child, forest.label[child], links
 
 
 def _joined(blocks: list[tuple[int, int, int]], max_bits: int):

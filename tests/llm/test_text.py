@@ -170,6 +170,60 @@ def test_no_near_copy_is_missed_at_any_distance(group):
         assert all(links[i] == weight[near[i]].sum() for i in range(300)), distance
 
 
+@pytest.mark.parametrize(("width", "budget"), [(32, 5), (32, 4), (31, 5), (7, 2), (9, 0), (1, 0)])
+def test_a_cover_has_a_mask_without_any_of_the_bits(width, budget):
+    masks = neardup.cover(width, budget)
+    low, high = neardup._clean(masks)
+    for bits in itertools.islice(itertools.combinations(range(width), min(budget, width)), 0, 20_000):
+        d = sum(1 << b for b in bits)
+        clean = [v for v, m in enumerate(masks.tolist()) if not m & d]
+        assert len(clean) > 1 and int(low[d & 0xFFFF] & high[d >> 16]) % (1 << len(masks)) == sum(1 << v for v in clean)
+    assert all(int(m).bit_count() >= 16 for m in masks[1:]) or width < 32
+
+
+@pytest.mark.parametrize("apart", [False, True])
+def test_a_cover_finds_each_link_once(apart, monkeypatch):
+    """With near copies at every distance, large classes, and values that very many share; compared with all pairs."""
+    monkeypatch.setattr(neardup, "_FEW", 0)
+    rng = np.random.default_rng(4)
+    sig = rng.integers(0, 2, (1500, neardup.BITS), dtype=np.uint8)
+    sig[::3, 32:64] = 1  # a third share a block
+    for i in range(900):
+        sig[i] = sig[i // 300 * 300]
+        sig[i, rng.permutation(neardup.BITS)[: i % 46]] ^= 1
+    sig = np.packbits(sig[rng.permutation(1500)], axis=1).view(np.uint64)
+    weight, side = rng.integers(1, 4, 1500), rng.integers(0, 2, 1500).astype(np.int8) if apart else None
+    near = np.bitwise_count(sig[:, None] ^ sig[None]).sum(axis=2) <= neardup.MAX_BITS
+    np.fill_diagonal(near, False)
+    if apart:
+        near &= side[:, None] != side[None]
+    blocks = neardup.blocks_of(1500, neardup.MAX_BITS)
+    parts = [neardup.matches(sig, weight, blocks, k, neardup.MAX_BITS, side) for k in range(len(blocks))]
+    assert (sum(links for *_, links in parts) == near @ weight).all() and near.sum() > 50_000
+    got, want = neardup.Forest(1500), neardup.Forest(1500)
+    for x, y, _ in parts:
+        got.add(x, y)
+    want.add(*np.nonzero(near))
+    assert (got.label == want.label).all()
+
+
+def test_few_of_all_pairs_are_compared(monkeypatch):
+    """Of random fingerprints a block's join compares its share of all pairs, which for all blocks is 0.6 % (tries: 3 % and more)."""
+    rng = np.random.default_rng(5)
+    sig = rng.integers(0, 2**63, (20_000, 4)).astype(np.uint64) * np.uint64(2) + rng.integers(0, 2, (20_000, 4)).astype(np.uint64)
+    seen = []
+
+    def counted(a, b, out=None, real=np.bitwise_xor):
+        seen.append(max(a.size, b.size, np.broadcast(a, b).size))
+        return real(a, b, out=out)
+
+    monkeypatch.setattr(neardup.np, "bitwise_xor", counted)
+    blocks = neardup.blocks_of(len(sig), neardup.MAX_BITS)
+    for k in range(len(blocks)):
+        neardup.matches(sig, np.ones(len(sig), np.int64), blocks, k, neardup.MAX_BITS)
+    assert sum(seen) / 2 < 0.01 * len(sig) ** 2 / 2  # two words of each pair
+
+
 def test_near_dedup_awkward(spark, docs_of, awkward):
     base = " ".join(f"w{i}" for i in range(300))
     rows = [*awkward, (20, base), (21, base + " more"), (22, base), (None, base), (23, " ".join(f"v{i}" for i in range(300)))]
