@@ -2,10 +2,10 @@
 
 The models are of order four over the characters of ``^^^word$``, lower-cased, so a word's cross-entropy
 doesn't depend on its neighbours and each distinct word is scored once per worker. Counts of n-grams are taken
-over all documents that carry a language, but for those held out for calibration; only distinct n-grams with
-their counts are shuffled. A model is a set of sorted arrays of n-gram hashes with one probability column per
+over all documents that carry a language; only distinct n-grams with their counts are shuffled. A model is a set of sorted arrays of n-gram hashes with one probability column per
 language; a lookup is a binary search. A text belongs to the language with the least cross-entropy per
-character; it is rejected where that exceeds what texts of that language and length have in the held-out rows.
+character; it is rejected where that exceeds what texts of that language and length have. Those limits come from all documents that
+carry a language too: texts are halved by their hash, and each half is scored with a model of the other half's counts.
 
 Cases: a null, empty or blank text has no language, no cross-entropy and is rejected. Rows with a null ``lang``
 teach nothing but are classified. Ties go to the language first in order. Without any labelled row nothing is
@@ -23,18 +23,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ROWS_AT_ONCE, begin, cache_of, free_name, give_back, sliced, table
+from .common import ROWS_AT_ONCE, begin, cache_of, discard, free_name, give_back, sliced, table, written
 
 ORDER = 4
-#: At most so many documents (those of least hash), and at most a tenth, calibrate the rejection.
-CALIBRATION_ROWS = 20_000
+#: With fewer documents that carry a language nothing is rejected.
+LEAST_ROWS = 10
 QUANTILE, MARGIN = 0.999, 0.75
-#: A length class with fewer held-out rows is pooled with its neighbours.
+#: A length class with fewer rows is pooled with its neighbours.
 POOL_ROWS = 20
-#: Bits more for each halving of the length below what the held-out texts have.
+#: Bits more for each halving of the length below what the labelled texts have.
 EASE = 0.5
 LONG, REMEMBERED = 48, 200_000
 _START, _END = 2, 3  # control characters that no word has, since whitespace and controls below are mapped away
@@ -153,14 +153,17 @@ def _words(text: str | None) -> list[str]:
     return text.lower().split() if text else []
 
 
-def entropies(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Cross-entropy in bits per character (texts by languages; NaN without words) and the characters of each text."""
+def entropies(model: Model, texts: list[str | None], own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Cross-entropy in bits per character (texts by languages; NaN without words) and the characters of each text.
+
+    With ``own``, the number of each text's language, only in that one (in the first column).
+    """
     if model.key not in _MEMORY:
         _MEMORY.clear()  # one model at a time, so that a worker that lives on doesn't fill up
         begin("langid")
         _MEMORY[model.key] = ({}, np.zeros((REMEMBERED, len(model.langs) + 1), np.float32))
     known, store = _MEMORY[model.key]
-    out, chars = np.full((len(texts), len(model.langs)), np.nan), np.zeros(len(texts))
+    out, chars = np.full((len(texts), len(model.langs) if own is None else 1), np.nan), np.zeros(len(texts))
     lo = 0
     while lo < len(texts):
         hi, room = lo, _SLICE
@@ -187,7 +190,11 @@ def entropies(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.nda
                 known.clear()  # long words aren't kept
             n = np.fromiter(map(len, words), np.int64, len(words))
             some = np.flatnonzero(n)
-            sums = np.add.reduceat(rows[at], (np.cumsum(n) - n)[some], axis=0, dtype=np.float64)
+            if own is None:
+                kept = rows[at]
+            else:
+                kept = np.stack([rows[at, np.repeat(own[lo:hi], n)], rows[at, -1]], axis=1)
+            sums = np.add.reduceat(kept, (np.cumsum(n) - n)[some], axis=0, dtype=np.float64)
             out[lo + some], chars[lo + some] = sums[:, :-1] / sums[:, -1:], sums[:, -1]
         lo = hi
     return out, chars
@@ -198,12 +205,12 @@ def _bucket(chars: np.ndarray) -> np.ndarray:
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct n-grams of a partition, by language, with their counts: words are counted first."""
+    """Distinct n-grams of a partition, by language and half, with their counts: words are counted first."""
     begin("langid")
-    words: dict[str, Counter] = {}
-    types: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    words: dict[tuple[int, bool], Counter] = {}
+    types: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]] = {}
 
-    def fold(lang: str) -> None:
+    def fold(lang: tuple[int, bool]) -> None:
         c = words.pop(lang)
         if not c:
             return
@@ -219,8 +226,8 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     held = 0
     for batch in batches:
-        for lang, text in zip(batch.column("lang"), batch.column("text")):
-            lang, text = lang.as_py(), text.as_py()
+        for lang, half, text in zip(batch.column("lang").to_pylist(), batch.column("half").to_pylist(), batch.column("text")):
+            lang, text = (lang, half), text.as_py()
             words.setdefault(lang, Counter()).update(_words(text))
             held += 1
             if held % 256 == 0 and sum(map(len, words.values())) > 150_000:
@@ -228,10 +235,10 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     fold(x)
     for lang in list(words):
         fold(lang)
-    for lang, (keys, n) in types.items():
+    for (lang, half), (keys, n) in types.items():
         for lo in range(0, len(n), 100_000):
             k = keys[lo : lo + 100_000].astype(np.int64)
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(k), pa.string()), "a": pa.array(k[:, 0]), "b": pa.array(k[:, 1]), "n": pa.array(n[lo : lo + 100_000])})
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(k), pa.int32()), "half": pa.array([half] * len(k)), "a": pa.array(k[:, 0]), "b": pa.array(k[:, 1]), "n": pa.array(n[lo : lo + 100_000])})
     types.clear()
     give_back()
 
@@ -256,60 +263,100 @@ class Identifier:
 
 
 def limits_of(k: np.ndarray, m: np.ndarray, e: np.ndarray, langs: int, quantile: float, margin: float) -> np.ndarray:
-    """Limits by language and length class, from language, class and cross-entropy of the held-out rows."""
-    limits = np.full((langs, 13), np.inf)
-    for x in range(langs):
+    """Limits by language and length class, from language, class and cross-entropy of the labelled rows."""
+    sizes = np.bincount(k * 13 + m, minlength=langs * 13).reshape(langs, 13)
+    return limits_from(sizes, k, m, e, quantile, margin)
+
+
+def tail_of(rows: int, quantile: float) -> int:
+    """How many of the greatest values, at most, decide a quantile over at most so many rows."""
+    return int(rows * (1 - quantile)) + 3
+
+
+def limits_from(sizes: np.ndarray, k: np.ndarray, m: np.ndarray, e: np.ndarray, quantile: float, margin: float) -> np.ndarray:
+    """The same from the number of rows of each language and class and, of each, the ``tail_of`` greatest values."""
+    limits = np.full(sizes.shape, np.inf)
+    for x, size in enumerate(sizes):
         own, h = m[k == x], e[k == x]
-        some = np.unique(own)
+        some, every = np.flatnonzero(size), np.arange(13)
         for c in some:
             # A class with few rows is pooled with its neighbours, as far on both sides as needed.
-            far = next((r for r in range(13) if (abs(own - c) <= r).sum() >= POOL_ROWS), 13)
-            pool = h[abs(own - c) <= far]
-            limits[x, c] = (np.quantile(pool, quantile) if len(pool) * (1 - quantile) >= 1 else pool.max()) + margin
+            far = next((r for r in range(13) if size[abs(every - c) <= r].sum() >= POOL_ROWS), 13)
+            n, top = int(size[abs(every - c) <= far].sum()), np.sort(h[abs(own - c) <= far])[::-1]
+            at = (n - 1) * (1 - quantile) if n * (1 - quantile) >= 1 else 0.0  # from above, between two values
+            low = int(at)
+            limits[x, c] = top[low] + (top[min(low + 1, len(top) - 1)] - top[low]) * (at - low) + margin
         # A class of lengths without rows takes the limit of the next shorter one that has some; where all that have rows
         # are longer it takes the next longer one's, eased for every class between, since short texts vary more.
-        for c in np.setdiff1d(np.arange(13), some) if len(some) else ():
+        for c in np.setdiff1d(every, some) if len(some) else ():
             shorter = some[some < c]
             limits[x, c] = limits[x, shorter[-1]] if len(shorter) else limits[x, some[0]] + EASE * (some[0] - c)
     return limits
 
 
-def train(docs: DataFrame, *, calibration_rows: int = CALIBRATION_ROWS, quantile: float = QUANTILE, margin: float = MARGIN) -> Identifier:
-    labelled = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("text").alias("h"))
-    n = labelled.select("h").count()
-    if not n:
-        return Identifier(None, np.zeros((0, 13)))
-    bound = min(calibration_rows, n // 10)
-    # The held-out texts are those whose hash is below the bound-th least: one comparison, no join.
-    cut = labelled.select("h").orderBy("h").limit(bound).agg(F.max("h")).first()[0] if bound else None
-    held = F.lit(False) if cut is None else F.col("h") <= F.lit(cut)
-    per_part = labelled.where(~held).select("lang", "text").mapInArrow(_count_grams, "lang string, a long, b long, n long")
-    counts: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    got = per_part.groupBy("lang", "a", "b").agg(F.sum("n").alias("n")).toArrow()
-    lang, a, b, c = (got.column(x).to_numpy() for x in ("lang", "a", "b", "n"))
-    for x in sorted(set(lang)):
-        k = lang == x
-        rows = np.stack([a[k] >> 32, a[k] & 0xFFFFFFFF, b[k] >> 32, b[k] & 0xFFFFFFFF], axis=1).astype(np.uint32)
-        counts[x] = rows, c[k]
-    if not counts:
-        return Identifier(None, np.zeros((0, 13)))
-    model = build(counts)
-    limits = np.full((len(model.langs), 13), np.inf)
-    if cut is None:
-        return Identifier(model, limits)
-
+def _scores(shared, langs: list[str]):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        place = np.array([model.langs.index(x) if x in model.langs else -1 for x in langs], int)
         for batch in sliced(batches):
-            e, chars = entropies(model, batch.column("text").to_pylist())
-            own = np.array([model.langs.index(x) if x in model.langs else -1 for x in batch.column("lang").to_pylist()], int)
+            lang = batch.column("lang").to_numpy()
+            own = place[lang]
+            e, chars = entropies(model, batch.column("text").to_pylist(), np.maximum(own, 0))
             ok = (own >= 0) & (chars > 0)
-            yield pa.RecordBatch.from_pydict({"k": pa.array(own[ok], pa.int32()), "m": pa.array(_bucket(chars[ok]), pa.int32()), "e": pa.array(e[ok, own[ok]])})
+            yield pa.RecordBatch.from_pydict({"k": pa.array(lang[ok], pa.int32()), "m": pa.array(_bucket(chars[ok]), pa.int32()), "e": pa.array(e[ok, 0])})
+
+    return score
 
-    scored = labelled.where(held).select("lang", "text").mapInArrow(score, "k int, m int, e double")
-    got = scored.toArrow()  # at most calibration_rows
-    limits = limits_of(*(got.column(x).to_numpy() for x in ("k", "m", "e")), len(model.langs), quantile, margin)
+
+def train(docs: DataFrame, *, quantile: float = QUANTILE, margin: float = MARGIN) -> Identifier:
+    labelled = docs.where("lang is not null and text is not null").select("lang", "text")
+    rows = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    if not rows:
+        return Identifier(None, np.zeros((0, 13)))
+    langs = sorted(rows)
+    number = F.create_map(*itertools.chain.from_iterable((F.lit(x), F.lit(i)) for i, x in enumerate(langs)))
+    # Equal texts are in one half; a bit that no other part of a pipeline selects by.
+    labelled = labelled.select(number[F.col("lang")].alias("lang"), (F.shiftrightunsigned(F.xxhash64("text"), 37) % 2 == 1).alias("half"), "text")
+    per_part = labelled.mapInArrow(_count_grams, "lang int, half boolean, a long, b long, n long")
+    halves = [F.sum(F.when(F.col("half") == h, F.col("n")).otherwise(0)).alias(f"n{int(h)}") for h in (False, True)]
+    got = per_part.groupBy("lang", "a", "b").agg(*halves).toArrow()
+    lang, a, b, *n = (got.column(x).to_numpy() for x in ("lang", "a", "b", "n0", "n1"))
+
+    def model_of(c: np.ndarray) -> Model | None:
+        counts = {}
+        for i, x in enumerate(langs):
+            k = (lang == i) & (c > 0)
+            if k.any():
+                counts[x] = np.stack([a[k] >> 32, a[k] & 0xFFFFFFFF, b[k] >> 32, b[k] & 0xFFFFFFFF], axis=1).astype(np.uint32), c[k]
+        return build(counts) if counts else None
+
+    model = model_of(n[0] + n[1])
+    if model is None:
+        return Identifier(None, np.zeros((0, 13)))
+    limits = np.full((len(model.langs), 13), np.inf)
+    if sum(rows.values()) < LEAST_ROWS:
+        return Identifier(model, limits)
+    parts = []
+    for half in (0, 1):
+        other = model_of(n[1 - half])
+        if other is not None:
+            shared = docs.sparkSession.sparkContext.broadcast(other)
+            parts.append(written(labelled.where(F.col("half") == bool(half)).mapInArrow(_scores(shared, langs), "k int, m int, e double"), "entropies"))
+            shared.destroy()
+    if not parts:
+        return Identifier(model, limits)
+    scored = parts[0].union(parts[1]) if len(parts) > 1 else parts[0]
+    sizes = np.zeros((len(langs), 13), np.int64)
+    for r in scored.groupBy("k", "m").agg(F.count("*").alias("n")).collect():  # at most 13 rows a language
+        sizes[r.k, r.m] = r.n
+    most = Window.partitionBy("k", "m").orderBy(F.desc("e"))
+    tail = scored.withColumn("r", F.row_number().over(most)).where(F.col("r") <= tail_of(int(sizes.sum(axis=1).max()), quantile)).select("k", "m", "e")
+    got = tail.toArrow()  # a thousandth of the rows
+    discard(*parts)
+    limits = limits_from(sizes, *(got.column(x).to_numpy() for x in ("k", "m", "e")), quantile, margin)
+    limits = limits[[langs.index(x) for x in model.langs]]
     known = np.isfinite(limits).all(axis=1)
-    if known.any():  # a language without held-out rows takes the most lenient limits of the others
+    if known.any():  # a language with all texts in one half takes the most lenient limits of the others
         limits[~known] = limits[known].max(axis=0)
     return Identifier(model, limits)
 

@@ -351,6 +351,30 @@ def test_a_length_class_with_one_row_limits_no_other():
     assert limits[4] == limits[5] == limits[6] and limits[8] == limits[12] == limits[7] and limits[3] == limits[4] + langid.EASE
 
 
+def test_counts_and_limits_come_from_all_labelled_rows(spark, docs_of):
+    """The model has every labelled text's n-grams, and each text has its part in the limits, by a model without it."""
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice(["house", "river", "stone", "green", "cloud"]) for _ in range(8)) + f" {i}", "en") for i in range(300)]
+    plain = langid.train(docs_of(rows))
+    for odd in range(0, 300, 60):  # wherever its hash puts it
+        own = "\u0416\u0429\u042e" * 12 + f" {odd}"
+        who = langid.train(docs_of([*rows[:odd], (odd, own, "en"), *rows[odd + 1 :]]))
+        assert set("\u0436\u0449\u044e") <= set(map(chr, who.model.alphabet.tolist()))
+        assert who.limits.max() > plain.limits.max() + 1
+
+
+@pytest.mark.parametrize("n", [1, 19, 400, 5000])
+def test_limits_from_the_greatest_values(n):
+    rng = np.random.default_rng(n)
+    k, m, e = rng.integers(0, 2, n), rng.choice([3, 4, 7, 8], n, p=[0.01, 0.2, 0.29, 0.5]), rng.normal(3, 1, n)
+    sizes = np.bincount(k * 13 + m, minlength=26).reshape(2, 13)
+    keep = np.concatenate([own[np.argsort(-e[own])][: langid.tail_of(int(sizes.sum(axis=1).max()), 0.99)] for own in (np.flatnonzero((k == x) & (m == c)) for x in (0, 1) for c in range(13))])
+    got = langid.limits_from(sizes, k[keep], m[keep], e[keep], 0.99, 0.5)
+    assert (got == langid.limits_of(k, m, e, 2, 0.99, 0.5)).all()
+    for x, c in zip(*np.nonzero(sizes >= 100)):
+        assert got[x, c] == pytest.approx(np.quantile(e[(k == x) & (m == c)], 0.99) + 0.5)
+
+
 def test_language_awkward(spark, docs_of, awkward):
     docs = docs_of([*awkward, *((100 + i, f"these are english words number {i}", "en") for i in range(30)), *((200 + i, f"dies sind deutsche wörter nummer {i}", "de") for i in range(30))])
     got = langid.identify(docs).collect()
