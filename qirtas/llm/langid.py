@@ -1,23 +1,23 @@
 """Language identification by interpolated Kneser-Ney character models, one per language.
 
 The models are of order four over the characters of ``^^^word$``, lower-cased, so a word's cross-entropy
-doesn't depend on its neighbours and each distinct word is scored once per worker. Counts of n-grams are taken
+doesn't depend on its neighbours. Counts of n-grams are taken
 over all documents that carry a language; only distinct n-grams with their counts are shuffled. A model is a set of sorted arrays of n-gram hashes with one probability column per
-language; a lookup is a binary search. A text belongs to the language with the least cross-entropy per
+language, and for the order-four n-grams that it has seen the bits that come of them: each character of a text is one look-up
+of its n-gram there, and only other n-grams go through all orders. A text belongs to the language with the least cross-entropy per
 character; it is rejected where that exceeds what texts of that language and length have. Those limits come from all documents that
 carry a language too: texts are halved by their hash, and each half is scored with a model of the other half's counts.
 
 Cases: a null, empty or blank text has no language, no cross-entropy and is rejected. Rows with a null ``lang``
 teach nothing but are classified. Ties go to the language first in order. Without any labelled row nothing is
 known, so every text with a word is accepted without a language. Repeated rows get equal results. Other columns
-are left alone. A word over ``LONG`` characters is scored like any other but not remembered.
+are left alone.
 """
 
 from __future__ import annotations
 
 import itertools
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -36,10 +36,10 @@ QUANTILE, MARGIN = 0.999, 0.75
 POOL_ROWS = 20
 #: Bits more for each halving of the length below what the labelled texts have.
 EASE = 0.5
-LONG, REMEMBERED = 48, 200_000
-_START, _END = 2, 3  # control characters that no word has, since whitespace and controls below are mapped away
+_START, _END = 2, 3
 _POSITIONS = 1 << 16
 _SLICE = 1 << 20  # characters in work at once
+_WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
 def _mix(h: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -69,6 +69,69 @@ def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([cp[at + k] for k in range(ORDER)], axis=1), size
 
 
+def _slices(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with ``_SLICE`` characters at most, where they are several."""
+    lo = 0
+    while lo < len(texts):
+        hi, room = lo, _SLICE
+        while hi < len(texts) and (hi == lo or room > 0):
+            room -= len(texts[hi] or "")
+            hi += 1
+        yield lo, hi
+        lo = hi
+
+
+def columns_of(texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The order-four n-grams of texts, the same as ``grams_of`` their words, column by column, and how many each text has."""
+    lines = ["\n".join([*words, ""]) for words in map(_words, texts)]  # no word has a line break
+    size = np.fromiter(map(len, lines), np.int64, len(lines))
+    joined = "".join(lines)
+    if joined.isascii():
+        cp = np.frombuffer(joined.encode("ascii"), np.uint8).astype(np.uint32)
+    else:
+        cp = np.frombuffer(joined.encode("utf-32-le", "replace"), np.uint32).copy()
+    end = cp == ord("\n")
+    cp[end] = _END
+    out, before = [cp], np.zeros(len(cp), bool)  # whether an earlier word ends among the characters that a column goes back
+    for k in range(1, ORDER):
+        before[:k] = True
+        before[k:] |= end[:-k]
+        c = np.empty_like(cp)
+        c[k:] = cp[:-k]
+        c[before] = _START
+        out.append(c)
+    return out[::-1], size
+
+
+def _keys(columns: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit hash of order-four n-grams: a sum, so that it takes few steps."""
+    h = columns[0] * _WEIGHTS[0]
+    for c, w in zip(columns[1:], _WEIGHTS[1:]):
+        h += c * w
+    return h
+
+
+class _Index:
+    """Where hashes stand among sorted ones, by their upper bits and some steps from there."""
+
+    def __init__(self, hashes: np.ndarray):
+        bits = len(hashes).bit_length() + 2
+        self.shift = np.uint64(64 - bits)
+        self.start = np.searchsorted(hashes, np.arange(1 << bits, dtype=np.uint64) << self.shift)
+        self.hashes = np.r_[hashes, np.uint64(2**64 - 1)]
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each hash, and whether it is there."""
+        at = self.start[h >> self.shift]
+        there = self.hashes[at]
+        less = np.flatnonzero(there < h)
+        while len(less):
+            at[less] += 1
+            there[less] = self.hashes[at[less]]
+            less = less[there[less] < h[less]]
+        return at, (there == h) & (at < len(self.hashes) - 1)
+
+
 @dataclass
 class Model:
     langs: list[str]
@@ -76,11 +139,11 @@ class Model:
     unigram: np.ndarray  # (alphabet + 1, languages); the last row is for unknown characters
     grams: list[tuple[np.ndarray, np.ndarray]]  # for order 2, 3, 4: sorted hashes, discounted probabilities
     contexts: list[tuple[np.ndarray, np.ndarray]]  # for order 2, 3, 4: sorted hashes of contexts, back-off masses
+    seen: tuple[np.ndarray, np.ndarray] | None = None  # sorted ``_keys`` of the order-four n-grams, bits by language and n-gram
     key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
-    def bits(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Bits of each word in each language, and the number of characters that they are for."""
-        grams, size = grams_of(words)
+    def gram_bits(self, grams: np.ndarray) -> np.ndarray:
+        """Bits of each n-gram's last character in each language."""
         out = np.empty((len(grams), len(self.langs)), np.float32)
         for lo in range(0, len(grams), _POSITIONS):
             g = grams[lo : lo + _POSITIONS]
@@ -96,6 +159,12 @@ class Model:
                 hit = hashes[f] == full
                 p = np.where(known[:, None], gamma[c], 1) * p + np.where(hit[:, None], alpha[f], 0)
             out[lo : lo + len(g)] = -np.log2(np.maximum(p, 1e-12))
+        return out
+
+    def bits(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Bits of each word in each language, and the number of characters that they are for."""
+        grams, size = grams_of(words)
+        out = self.gram_bits(grams)
         return np.add.reduceat(out, np.cumsum(size) - size, axis=0) if len(words) else np.zeros((0, len(self.langs))), size
 
 
@@ -141,11 +210,15 @@ def build(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
             for k, p in enumerate(per):
                 m[np.searchsorted(every, p[h]), k] = p[v]
             what.append((every, m))
-    return Model(langs, alphabet, unigram, grams, contexts)
+    model = Model(langs, alphabet, unigram, grams, contexts)
+    rows = np.concatenate([levels[x][ORDER][0] for x in langs]).astype(np.uint32)
+    keys, at = np.unique(_keys([*rows.T]), return_index=True)
+    model.seen = keys, np.ascontiguousarray(model.gram_bits(rows[at]).T)
+    return model
 
 
-#: Of the model in use: the row of each word remembered, and the rows (bits in each language, characters).
-_MEMORY: dict[str, tuple[dict[str, int], np.ndarray]] = {}
+#: Of the model in use: the index of the n-grams that it has seen.
+_MEMORY: dict[str, _Index] = {}
 cache_of("langid", _MEMORY.clear)
 
 
@@ -161,42 +234,36 @@ def entropies(model: Model, texts: list[str | None], own: np.ndarray | None = No
     if model.key not in _MEMORY:
         _MEMORY.clear()  # one model at a time, so that a worker that lives on doesn't fill up
         begin("langid")
-        _MEMORY[model.key] = ({}, np.zeros((REMEMBERED, len(model.langs) + 1), np.float32))
-    known, store = _MEMORY[model.key]
+        _MEMORY[model.key] = _Index(model.seen[0])
+    index = _MEMORY[model.key]
     out, chars = np.full((len(texts), len(model.langs) if own is None else 1), np.nan), np.zeros(len(texts))
-    lo = 0
-    while lo < len(texts):
-        hi, room = lo, _SLICE
-        while hi < len(texts) and (hi == lo or room > 0):
-            room -= len(texts[hi] or "")
-            hi += 1
-        words = [_words(t) for t in texts[lo:hi]]
-        flat = list(itertools.chain.from_iterable(words))
-        if flat:
-            fresh = [w for w in dict.fromkeys(flat) if w not in known]
-            base = len(known)
-            if base + len(fresh) > REMEMBERED:  # start anew
-                known.clear()
-                fresh, base = list(dict.fromkeys(flat)), 0
-            rows = store
-            if fresh:
-                bits, size = model.bits(fresh)
-                if len(fresh) > REMEMBERED:
-                    rows = np.zeros((len(fresh), store.shape[1]), np.float32)
-                rows[base : base + len(fresh), :-1], rows[base : base + len(fresh), -1] = bits, size
-                known.update(zip(fresh, range(base, base + len(fresh))))
-            at = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
-            if rows is not store or any(len(w) > LONG for w in fresh):
-                known.clear()  # long words aren't kept
-            n = np.fromiter(map(len, words), np.int64, len(words))
-            some = np.flatnonzero(n)
-            if own is None:
-                kept = rows[at]
-            else:
-                kept = np.stack([rows[at, np.repeat(own[lo:hi], n)], rows[at, -1]], axis=1)
-            sums = np.add.reduceat(kept, (np.cumsum(n) - n)[some], axis=0, dtype=np.float64)
-            out[lo + some], chars[lo + some] = sums[:, :-1] / sums[:, -1:], sums[:, -1]
-        lo = hi
+    for lo, hi in _slices(texts):
+        columns, size = columns_of(texts[lo:hi])
+        some = np.flatnonzero(size)
+        if not len(some):
+            continue
+        at, bits, new = np.empty(len(columns[0]), np.int64), model.seen[1], []
+        for a in range(0, len(at), _POSITIONS):
+            h = _keys([c[a : a + _POSITIONS] for c in columns])
+            at[a : a + _POSITIONS], known = index.find(h)
+            if not known.all():
+                k = np.flatnonzero(~known)
+                new.append((k + a, h[k]))
+        if new:
+            k, h = map(np.concatenate, zip(*new))
+            _, first, place = np.unique(h, return_index=True, return_inverse=True)
+            more = model.gram_bits(np.stack([c[k[first]] for c in columns], axis=1))
+            at[k] = place + bits.shape[1]
+            bits = np.concatenate([bits, more.T], axis=1)
+        begins = (np.cumsum(size) - size)[some]
+        chars[lo + some] = size[some]
+        # Sums of one dimension, so that equal texts get equal ones wherever they stand.
+        if own is None:
+            sums = np.stack([np.add.reduceat(b[at].astype(np.float64), begins) for b in bits], axis=1)
+        else:
+            at += np.repeat(own[lo:hi] * bits.shape[1], size)
+            sums = np.add.reduceat(bits.ravel()[at].astype(np.float64), begins)[:, None]
+        out[lo + some] = sums / size[some][:, None]
     return out, chars
 
 
@@ -204,37 +271,60 @@ def _bucket(chars: np.ndarray) -> np.ndarray:
     return np.clip(np.log2(np.maximum(chars, 1)).astype(int), 3, 12)
 
 
+def _distinct(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different rows of two numbers, and the sums of what they count."""
+    order = np.lexsort((keys[:, 1], keys[:, 0]))
+    keys, n = keys[order], n[order]
+    new = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
+    return keys[new], np.add.reduceat(n, new)
+
+
+def counted(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Different n-grams, two characters to a number, and how often each occurs."""
+    chars = np.flatnonzero(np.bincount(columns[-1]))
+    chars = np.union1d(chars, [_START])
+    if len(chars) > 1 << 16:
+        a, b = (columns[k].astype(np.uint64) << np.uint64(32) | columns[k + 1] for k in (0, 2))
+        return _distinct(np.stack([a, b], axis=1), np.ones(len(a), np.int64))
+    number = np.zeros(int(chars[-1]) + 1, np.uint64)
+    number[chars] = np.arange(len(chars))
+    key = number[columns[0]]
+    for c in columns[1:]:
+        key <<= np.uint64(16)
+        key |= number[c]
+    key.sort()
+    new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    n, key, chars = np.diff(np.r_[new, len(key)]), key[new], chars.astype(np.uint64)
+    c = [chars[key >> np.uint64(s) & np.uint64(0xFFFF)] for s in (48, 32, 16, 0)]
+    return np.stack([c[0] << np.uint64(32) | c[1], c[2] << np.uint64(32) | c[3]], axis=1), n
+
+
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct n-grams of a partition, by language and half, with their counts: words are counted first."""
+    """Distinct n-grams of a partition, by language and half, with their counts."""
     begin("langid")
-    words: dict[tuple[int, bool], Counter] = {}
     types: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]] = {}
+    fresh: dict[tuple[int, bool], list[tuple[np.ndarray, np.ndarray]]] = {}
+
+    def fold(group: tuple[int, bool]) -> None:
+        keys, n = map(np.concatenate, zip(*([types[group]] if group in types else []), *fresh.pop(group)))
+        types[group] = _distinct(keys, n)
 
-    def fold(lang: tuple[int, bool]) -> None:
-        c = words.pop(lang)
-        if not c:
-            return
-        grams, size = grams_of(list(c))
-        keys = np.ascontiguousarray(grams.astype(np.uint64)[:, ::2] << np.uint64(32) | grams.astype(np.uint64)[:, 1::2])
-        n = np.repeat(np.fromiter(c.values(), np.int64, len(c)), size)
-        if lang in types:
-            keys, n = np.vstack([types[lang][0], keys]), np.concatenate([types[lang][1], n])
-        order = np.lexsort((keys[:, 1], keys[:, 0]))
-        keys, n = keys[order], n[order]
-        new = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
-        types[lang] = keys[new], np.add.reduceat(n, new)
-
-    held = 0
     for batch in batches:
-        for lang, half, text in zip(batch.column("lang").to_pylist(), batch.column("half").to_pylist(), batch.column("text")):
-            lang, text = (lang, half), text.as_py()
-            words.setdefault(lang, Counter()).update(_words(text))
-            held += 1
-            if held % 256 == 0 and sum(map(len, words.values())) > 150_000:
-                for x in list(words):
-                    fold(x)
-    for lang in list(words):
-        fold(lang)
+        of: dict[tuple[int, bool], list[int]] = {}
+        for i, group in enumerate(zip(batch.column("lang").to_pylist(), batch.column("half").to_pylist())):
+            of.setdefault(group, []).append(i)
+        for group, rows in of.items():
+            for part in range(0, len(rows), ROWS_AT_ONCE):
+                texts = batch.column("text").take(pa.array(rows[part : part + ROWS_AT_ONCE])).to_pylist()
+                for lo, hi in _slices(texts):
+                    columns, _ = columns_of(texts[lo:hi])
+                    if len(columns[0]):
+                        fresh.setdefault(group, []).append(counted(columns))
+            # As many as there are, or more: each fold sorts both.
+            if sum(len(n) for _, n in fresh.get(group, ())) > max(200_000, len(types[group][1]) if group in types else 0):
+                fold(group)
+    for group in list(fresh):
+        fold(group)
     for (lang, half), (keys, n) in types.items():
         for lo in range(0, len(n), 100_000):
             k = keys[lo : lo + 100_000].astype(np.int64)

@@ -319,6 +319,41 @@ def test_models_against_brute_force(spark, docs_of):
         assert size[0] == len(word) + 1
 
 
+def test_characters_are_looked_up_at_once(monkeypatch):
+    """Counts and entropies of whole texts equal those of their words; n-grams that the model has seen don't go through all orders."""
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choice("abcdef") for _ in range(rng.randint(1, 9))) for _ in range(400)) for _ in range(60)]
+    odd = ["Ein \x02Wort\x03 mehr", "Stra\u00dfe\u0130x\u3000\u6f22\u5b57\x0b\u6f22", "", None, " \n ", "y" * 5000, "a", "".join(map(chr, range(0x10000, 0x21000)))]
+    by_word: Counter = Counter()
+    for t in texts + odd:
+        by_word.update(map(tuple, langid.grams_of((t or "").lower().split())[0].tolist() if t and t.split() else []))
+    columns, size = langid.columns_of(texts + odd)
+    assert Counter(zip(*(c.tolist() for c in columns))) == by_word and size.tolist() == [sum(len(w) + 1 for w in (t or "").lower().split()) for t in texts + odd]
+    for some in (columns, [c[: int(size[:60].sum())] for c in columns]):  # with more characters than 16 bits number, and fewer
+        keys, n = langid.counted(some)
+        got = {(int(a) >> 32, int(a) & 0xFFFFFFFF, int(b) >> 32, int(b) & 0xFFFFFFFF): int(c) for (a, b), c in zip(keys.tolist(), n)}
+        assert got == Counter(zip(*(c.tolist() for c in some))) and len(got) == len(keys)
+
+    def counts(words):
+        rows, n = np.unique(langid.grams_of(words)[0], axis=0, return_counts=True)
+        return rows, n
+
+    model = langid.build({"a": counts(" ".join(texts[:50]).split()), "b": counts(["bad", "face", "cafe"])})
+    e, chars = langid.entropies(model, texts + odd)
+    for t, own, c in zip(texts + odd, e, chars):
+        bits, n = model.bits((t or "").lower().split() or [""])
+        if t and t.split():
+            assert own == pytest.approx(bits.sum(axis=0) / n.sum(), rel=1e-5) and c == n.sum()
+        else:
+            assert np.isnan(own).all() and c == 0
+    rows = np.arange(len(texts + odd)) % 2
+    assert np.array_equal(langid.entropies(model, texts + odd, rows)[0][:, 0], e[np.arange(len(e)), rows], equal_nan=True)
+    hashed = []
+    monkeypatch.setattr(langid, "_hash", lambda g, real=langid._hash: (hashed.append(len(g)), real(g))[1])
+    langid.entropies(model, texts)
+    assert sum(hashed) < 0.05 * chars[:60].sum()
+
+
 def test_languages_that_tie(spark, docs_of):
     rows = [(i, "same words here", lang) for i, lang in enumerate(("b", "a", "b", "a"))]
     got = langid.identify(docs_of(rows)).collect()
