@@ -68,18 +68,7 @@ def _upto(n: int, base: int) -> np.ndarray:
     return _KNOWN[base]
 
 
-class _Words(dict):
-    """Hashes of words."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 1 << 18:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_WORDS = _Words()
-cache_of("linededup", lambda: (_WORDS.clear(), _KNOWN.clear()))
+cache_of("linededup", _KNOWN.clear)
 
 
 def _mixed(z: np.ndarray) -> np.ndarray:
@@ -87,6 +76,46 @@ def _mixed(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(29))
 
 
+#: A number for each of the first bytes of a word and each value that it may have; a word's hash is their sum.
+_FIRST = 64
+_NUMBERS = _mixed(_mixed(np.arange(1, (_FIRST << 8) + 1, dtype=np.uint64) * np.uint64(_BASE)))
+_WORDS_AT_ONCE = 1 << 13
+
+
+def word_hashes(words: list[list[str]]) -> np.ndarray:
+    """Hashes of the words of some texts, one after the other. No Python step a word but for those of over ``_FIRST`` bytes."""
+    raw = "".join("\n".join([*w, ""]) for w in words).encode()  # no word has a line break
+    if not raw:
+        return np.zeros(0, np.uint64)
+    byte = np.frombuffer(raw, np.uint8)
+    end = np.flatnonzero(byte == ord("\n"))
+    begin = np.r_[0, end[:-1] + 1]
+    out = np.empty(len(end), np.uint64)
+    for lo in range(0, len(end), _WORDS_AT_ONCE):
+        first = begin[lo : lo + _WORDS_AT_ONCE]
+        n = np.minimum(end[lo : lo + _WORDS_AT_ONCE] - first, _FIRST)
+        upto = np.cumsum(n) - n
+        place = np.arange(int(n.sum())) - np.repeat(upto, n)
+        value = byte[place + np.repeat(first, n)]
+        out[lo : lo + len(n)] = np.add.reduceat(_NUMBERS[place << 8 | value], upto)
+    for i in np.flatnonzero(end - begin > _FIRST).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(raw[begin[i] : end[i]])
+    return out
+
+
+def _together(key: np.ndarray) -> np.ndarray:
+    """An order in which equal numbers are neighbours and stay in order: the upper bits are sorted along with the places,
+    and only where different ones share those are whole numbers sorted."""
+    low = np.uint64(len(key).bit_length())
+    z = key.view(np.uint64) >> low << low
+    z |= np.arange(len(key), dtype=np.uint64)
+    z.sort()
+    order = (z & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
+    z >>= low
+    own = key[order]
+    return np.argsort(key, kind="stable") if ((z[1:] == z[:-1]) & (own[1:] != own[:-1])).any() else order
+
+
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     n, done = len(x) - width + 1, 1
     while done * 2 <= width:
@@ -112,8 +141,7 @@ class Batch:
             return
         self.owner = owner[self.at]
         upto = np.zeros(total + 1, np.uint64)
-        hashes = np.fromiter(map(_WORDS.__getitem__, itertools.chain.from_iterable(words)), np.uint64, total)
-        np.cumsum(hashes * _upto(total, _BASE)[:total], out=upto[1:])
+        np.cumsum(word_hashes(words) * _upto(total, _BASE)[:total], out=upto[1:])
         self.upto, self.inverse = upto, _upto(total, pow(_BASE, -1, 1 << 64))
         short = max(1, min_words // 2)
         least = _sliding_min(self.hash_of(slice(None, -short), slice(short, None)), min_words - short + 1)
@@ -136,11 +164,12 @@ class Batch:
         own = self.at - self.begin[self.owner]
         free, lap = own + self.min_words, np.zeros(len(own), bool)
         key = self.content ^ _mixed(self.owner.astype(np.uint64) + np.uint64(1)).view(np.int64)
-        order = np.argsort(key, kind="stable")
-        near = (key[order[1:]] == key[order[:-1]]) & (np.diff(order) < self.min_words)
+        order = _together(key)
+        key = key[order]
+        near = (key[1:] == key[:-1]) & (np.diff(order) < self.min_words)
         lap[order[1:][near]] = lap[order[:-1][near]] = True
         for d in np.unique(self.owner[lap]).tolist():
-            k = np.flatnonzero(self.owner == d)
+            k = slice(*np.searchsorted(self.owner, [d, d + 1]))
             free[k] = _free_from(self.texts[d], self.content[k], self.min_words)
         return free, lap
 
@@ -188,7 +217,7 @@ class _Rows:
 
 def _looked_in(b: Batch, free: np.ndarray, windows: np.ndarray, rows: _Rows, gone: list[tuple]) -> None:
     """Windows that are to meet those of other batches; those that another text of this one has earlier go at once."""
-    order = windows[np.argsort(b.content[windows], kind="stable")]
+    order = windows[_together(b.content[windows])]
     new = _first(b.content[order])
     first = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
     stay = b.owner[order] == b.owner[order][first]
@@ -222,7 +251,6 @@ def _grouped(batches: Iterator[pa.RecordBatch], wanted=None) -> Iterator[tuple[l
             order = [i for _, g in itertools.groupby(sorted(range(len(at)), key=keys.__getitem__), key=keys.__getitem__) for i in itertools.islice(g, 1)]
             part = batch.take(pa.array(at[order]))
             yield part.column("text").to_pylist(), part
-    _WORDS.clear()  # an idle worker keeps nothing
     give_back()
 
 
@@ -237,7 +265,8 @@ def _ranges(min_words: int):
             free, lap = b.free()
             rows, gone = _Rows(), []
             content, least = b.ranges(), b.least[b.first]
-            order = np.lexsort((content, least))  # stable: of equal ones the first comes first
+            order = _together(content)  # of equal ones the first comes first
+            order = order[_together(least[order])]
             least, content = least[order], content[order]
             laps = np.logical_or.reduceat(lap, b.first)[order]
             of, alike = _first(least), _first(least, content)
@@ -344,7 +373,7 @@ def _edited(text: str, runs: np.ndarray) -> tuple[str, int, int]:
     runs = runs[np.argsort(runs[:, 0], kind="stable")]
     last = np.maximum.accumulate(runs[:, 1])
     new = np.flatnonzero(np.r_[True, runs[1:, 0] > last[:-1]])
-    first, last = runs[new, 0], last[np.r_[new[1:] - 1, len(runs) - 1]]
+    first, last = runs[new, 0].tolist(), last[np.r_[new[1:] - 1, len(runs) - 1]].tolist()
     lines = text.split("\n")
     kept, at, k = [], 0, 0
     for line in lines:
@@ -373,14 +402,15 @@ def _edited(text: str, runs: np.ndarray) -> tuple[str, int, int]:
 
 def _without(text: pa.Array, runs: pa.Array) -> pa.Array:
     out = []
-    for t, r in zip(text, runs):
-        t = t.as_py()
-        if t is None or not r.is_valid or not len(r):
-            out.append({"text": t, "n_lines": 0 if t is None else t.count("\n") + 1, "n_deleted": 0})
-            continue
-        spans = np.stack([r.values.field(x).to_numpy() for x in ("s", "e")], axis=1)
-        out.append(dict(zip(("text", "n_lines", "n_deleted"), _edited(t, spans))))
-    return pa.array(out, pa.struct([("text", pa.string()), ("n_lines", pa.int32()), ("n_deleted", pa.int32())]))
+    spans = np.stack([runs.values.field(x).to_numpy() for x in ("s", "e")], axis=1)
+    at, some = runs.offsets.to_numpy(), runs.is_valid().to_numpy(zero_copy_only=False)
+    for i, t in enumerate(text.to_pylist()):
+        if t is None or not some[i] or at[i] == at[i + 1]:
+            out.append((t, 0 if t is None else t.count("\n") + 1, 0))
+        else:
+            out.append(_edited(t, spans[at[i] : at[i + 1]]))
+    columns = zip(*out) if out else ((), (), ())
+    return pa.StructArray.from_arrays([pa.array(x, kind) for x, kind in zip(columns, (pa.string(), pa.int32(), pa.int32()))], names=["text", "n_lines", "n_deleted"])
 
 
 def deduped(docs: DataFrame, min_words: int = MIN_WORDS, *, counts: bool = False, drop_emptied: bool = False) -> DataFrame:

@@ -503,6 +503,32 @@ def test_line_dedup_against_all_runs(spark, docs_of):
     assert all(r.n_chars == len(r.text) for r in res.values())
 
 
+def test_word_hashes_go_by_content():
+    """Hashes of words wherever they stand, with no Python step for each; words of any length, and numbers that share upper bits."""
+    rng = random.Random(5)
+    words = ["a", "b", "ab", "ba", "\u0639\u0631\u0628", "\u00e9" * 32, "x" * 64, "x" * 65, "x" * 66, "x" * 64 + "y", "x" * 5000, "w\x02"]
+    words += ["".join(rng.choice("abc") for _ in range(rng.randint(1, 90))) for _ in range(20_000)]
+    texts = [rng.sample(words, 3000) for _ in range(4)] + [[], words]
+    hashes = linededup.word_hashes(texts)
+    of = {}
+    for w, h in zip(itertools.chain.from_iterable(texts), hashes.tolist(), strict=True):
+        assert of.setdefault(w, h) == h
+    assert len(set(of.values())) == len(of) == len(set(words)) and len(linededup.word_hashes([[]])) == 0
+    key = np.random.default_rng(6).integers(0, 50, 5000) - 20  # none differ in their upper bits
+    for k in (key, key << 50, key[:1], key[:0]):
+        order = linededup._together(k)
+        assert sorted(order.tolist()) == list(range(len(k)))
+        runs = [[*g] for _, g in itertools.groupby(order.tolist(), key=k.__getitem__)]
+        assert len(runs) == len(set(k.tolist())) and all(g == sorted(g) for g in runs)
+    odd = pa.array([None, [], [{"s": 0, "e": 1}], [{"s": 1, "e": 1}], None], pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))
+    text = pa.array(["skip", None, "a\nb", "one two three", "one two", "x"])
+    for lo in (0, 2):
+        want = [(None, 0, 0), ("a\nb", 2, 0), ("three", 1, 0), ("one", 1, 0), ("x", 1, 0)][lo:]
+        got = linededup._without(text.slice(lo + 1), odd.slice(lo)).to_pylist()
+        assert [tuple(r.values()) for r in got] == want
+    assert len(linededup._without(text[:0], odd[:0])) == 0
+
+
 def test_line_dedup_awkward(spark, docs_of, awkward):
     run = "\n".join(f"this is line {i} of a long passage" for i in range(10))
     rows = [*awkward, (30, run), (31, "before\n" + run + "\n\nafter"), (32, run + "\nbetween\n" + run), (33, run), (None, run)]
