@@ -371,14 +371,27 @@ def _same(key: np.ndarray, words: tuple[np.ndarray, np.ndarray], max_bits: int)
                 yield x[ok] + r, y[ok] + c
 
 
-def _covered(sig: np.ndarray, value: np.ndarray, width: int, budget: int, first: int, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _apart(value: np.ndarray, side: np.ndarray) -> np.uint32:
+    """The bits in which all values of one side differ from all of the other, as those of two upper nodes do."""
+    a, b = value[side == 0], value[side != 0]
+    if not len(a) or not len(b):
+        return np.uint32(0)
+    varied = (np.bitwise_or.reduce(a) ^ np.bitwise_and.reduce(a)) | (np.bitwise_or.reduce(b) ^ np.bitwise_and.reduce(b))
+    return (a[0] ^ b[0]) & ~varied
+
+
+def _covered(sig: np.ndarray, value: np.ndarray, width: int, budget: int, side: np.ndarray | None, first: int, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of positions that differ in at most ``budget`` bits of a block and (for certain only in the first half looked at)
-    ``max_bits`` of all, each once: in the first mask of the block's cover under which both are equal."""
+    ``max_bits`` of all, each once: in the first mask of the block's cover under which both are equal. With ``side``, masks
+    under which no two of different sides can be equal are left out."""
     masks = cover(width, budget)
+    apart = np.uint32(0) if side is None else _apart(value, side)
     low, high = _clean(masks)
     words = [np.ascontiguousarray(sig[:, (first // 64 + k) % 4]) for k in (1, 2)]  # not the block's own, in which bits are alike
     place = np.arange(len(value), dtype=np.uint64)
     for v in range(1, len(masks)):
+        if masks[v] & apart:
+            continue
         both = (value & masks[v]).astype(np.uint64)
         both <<= np.uint64(32)
         both |= place
@@ -410,7 +423,7 @@ def matches(sig: np.ndarray, weight: np.ndarray, blocks: list[tuple[int, int, in
     value = _values(sig, first, width)
     forest, links = Forest(len(sig)), np.zeros(len(sig), np.int64)
     by_cover = budget <= _COVERED and len(sig) >= _FEW
-    found = _covered(sig, value, width, budget, first, max_bits) if by_cover else _by_trie(sig, value, width, budget, side, max_bits)
+    found = _covered(sig, value, width, budget, side, first, max_bits) if by_cover else _by_trie(sig, value, width, budget, side, max_bits)
 
     def linked() -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for x, y in found:

@@ -224,6 +224,38 @@ def test_few_of_all_pairs_are_compared(monkeypatch):
     assert sum(seen) / 2 < 0.01 * len(sig) ** 2 / 2  # two words of each pair
 
 
+@pytest.mark.parametrize(("bits", "share"), [((31,), 0.6), ((31, 30), 0.35)])
+def test_nodes_are_compared_under_masks_that_they_can_share(bits, share, monkeypatch):
+    """Two upper nodes that differ in some bits: under a mask with one of these only pairs within a node would meet."""
+    rng = np.random.default_rng(6)
+    sig = rng.integers(0, 2, (20_000, neardup.BITS), dtype=np.uint8)
+    side = np.repeat([0, 1], 10_000).astype(np.int8)
+    for i in range(1000):
+        sig[i + 10_000] = sig[i]
+        sig[i + 10_000, rng.permutation(neardup.BITS)[: i % 46]] ^= 1
+    sig = np.packbits(sig, axis=1, bitorder="little").view(np.uint64)
+    for b in bits:
+        sig[:, 0] = sig[:, 0] & ~np.uint64(1 << b) | side.astype(np.uint64) << np.uint64(b)
+    near = np.array([(np.bitwise_count(s ^ sig[10_000:]).sum(axis=1) <= neardup.MAX_BITS) for s in sig[:10_000]])
+    seen = []
+
+    def counted(a, b, out=None, real=np.bitwise_xor):
+        seen.append(np.broadcast(a, b).size)
+        return real(a, b, out=out)
+
+    blocks = neardup.blocks_of(len(sig), neardup.MAX_BITS)
+    one = np.ones(len(sig), np.int64)
+    links = sum(neardup.matches(sig, one, blocks, k, neardup.MAX_BITS, side)[2] for k in range(len(blocks)))
+    assert (links == np.r_[near.sum(axis=1), near.sum(axis=0)]).all() and near.sum() > 900
+    monkeypatch.setattr(neardup.np, "bitwise_xor", counted)
+    compared = []
+    for s in (None, side):
+        seen.clear()
+        neardup.matches(sig, one, blocks, 0, neardup.MAX_BITS, s)
+        compared.append(sum(seen))
+    assert compared[1] < share * compared[0]
+
+
 def test_near_dedup_awkward(spark, docs_of, awkward):
     base = " ".join(f"w{i}" for i in range(300))
     rows = [*awkward, (20, base), (21, base + " more"), (22, base), (None, base), (23, " ".join(f"v{i}" for i in range(300)))]
