@@ -374,7 +374,7 @@ def _engine(spark, sf):
 
 def _event_rows(spark: SparkSession, sf: str) -> DataFrame:
     like = _table(spark, sf, "events")
-    stream = read_stream(like, sf, pathGlobFilter="events.parquet")
+    stream = read_stream(like, f"{sf}/events.parquet")
     return stream.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("entity_type"), F.lit(0).alias("start"), F.lit(1).alias("end"))
 
 

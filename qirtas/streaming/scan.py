@@ -13,7 +13,10 @@ from ..operators.scan import findings
 
 
 def read_stream(like: DataFrame, path: str, **options) -> DataFrame:
-    """A stream of the Parquet files of a folder, with the columns of ``like``."""
+    """A stream of a Parquet file, or of the Parquet files of a folder, with the columns of ``like``."""
+    path = path.rstrip("/")
+    if not any(c in path for c in "*?[{"):
+        path = f"{path[:-1]}[{path[-1]}]"  # a pattern of one name: a stream takes a single file no other way
     return like.sparkSession.readStream.schema(like.schema).options(**options).parquet(path)
 
 

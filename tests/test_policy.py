@@ -201,3 +201,12 @@ def test_streams_give_what_batches_give(spark, sf, tmp_path):
     S.guarded(S.read_stream(docs, str(tmp_path / "in")), q.Guard(block_categories=("financial",)), str(tmp_path / "audit"), lambda b, n: seen.append(b.count()), str(tmp_path / "c2")).awaitTermination()
     audit = spark.read.json(str(tmp_path / "audit"))
     assert audit.count() == docs.count() and sum(seen) == audit.where("not blocked").count()
+
+
+def test_a_stream_takes_a_file_and_a_folder_by_the_same_path(spark, sf, tmp_path):
+    from qirtas.plans.queries import QUERIES
+
+    for t in ("documents", "events"):
+        spark.read.parquet(f"{sf}/{t}.parquet").repartition(3).write.parquet(f"{tmp_path}/{t}.parquet")
+    for name in ("stream_scan", "stream_without_replays"):
+        assert (n := QUERIES[name](spark, sf).count()) and QUERIES[name](spark, str(tmp_path)).count() == n
