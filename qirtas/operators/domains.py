@@ -8,8 +8,9 @@ an equi-join in place of comparing every host with every watched name.
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,25 +69,18 @@ def decoded(host: Column) -> Column:
 
 def distance(a: Column, b: Column) -> Column:
     """Optimal string alignment distance: Levenshtein's and swaps of neighbours."""
+    return F.arrow_udf(_apart_all, "int")(a, b)
 
-    def row(acc: Column, i: Column) -> Column:
-        def cell(cur: Column, j: Column) -> Column:
-            x, y = F.substr(a, i, F.lit(1)), F.substr(b, j, F.lit(1))
-            best = F.least(F.get(acc["prev"], j) + 1, F.get(cur, j - 1) + 1, F.get(acc["prev"], j - 1) + F.when(x == y, 0).otherwise(1))
-            swap = (i > 1) & (j > 1) & (x == F.substr(b, j - 1, F.lit(1))) & (F.substr(a, i - 1, F.lit(1)) == y)
-            return F.concat(cur, F.array(F.when(swap, F.least(best, F.get(acc["prev2"], j - 2) + 1)).otherwise(best)))
 
-        return F.struct(acc["prev"].alias("prev2"), F.aggregate(F.sequence(F.lit(1), F.length(b)), F.array(i), cell).alias("prev"))
-
-    first = F.sequence(F.lit(0), F.length(b))
-    full = F.aggregate(F.sequence(F.lit(1), F.length(a)), F.struct(first.alias("prev2"), first.alias("prev")), row, lambda acc: F.element_at(acc["prev"], -1))
-    return F.when(F.length(a) == 0, F.length(b)).when(F.length(b) == 0, F.length(a)).otherwise(full)
+def _apart_all(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array([None if x is None or y is None else _apart(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.int32())
 
 
 def within(a: Column, b: Column, k: int) -> Column:
     """Whether the distance is at most ``k``; the plain distance with its threshold decides most pairs."""
     close = F.levenshtein(a, b, k) >= 0
-    return close | ((F.abs(F.length(a) - F.length(b)) <= k) & (F.levenshtein(a, b, 2 * k) >= 0) & (distance(a, b) <= k))
+    open_ = ~close & (F.abs(F.length(a) - F.length(b)) <= k) & (F.levenshtein(a, b, 2 * k) >= 0)
+    return F.when(a.isNotNull() & b.isNotNull(), close | F.coalesce(distance(F.when(open_, a), F.when(open_, b)) <= k, F.lit(False)))
 
 
 def deletions(x: Column, k: int) -> Column:
@@ -157,14 +151,19 @@ def _bare(host: str) -> str:
     return ".".join(labels)
 
 
-def _skeleton(x: str, confusables: Mapping[str, str] | None = None) -> str:
+def _skeletons(confusables: Mapping[str, str] | None = None) -> Callable[[str], str]:
     """What ``skeleton`` does to a column."""
     table = CONFUSABLES | dict(confusables or {})
-    out = x.lower().translate({ord(k): v for k, v in table.items() if len(k) == 1 and len(v) == 1})
-    for k, v in table.items():
-        if len(k) != 1 or len(v) != 1:
+    one = {ord(k): v for k, v in table.items() if len(k) == 1 and len(v) == 1}
+    more = [(k, v) for k, v in table.items() if len(k) != 1 or len(v) != 1]
+
+    def skeleton_of(x: str) -> str:
+        out = x.lower().translate(one)
+        for k, v in more:
             out = out.replace(k, v)
-    return out
+        return out
+
+    return skeleton_of
 
 
 def _left(x: str, k: int) -> set[str]:
@@ -177,17 +176,27 @@ def _left(x: str, k: int) -> set[str]:
 
 
 def _apart(a: str, b: str) -> int:
-    """What ``distance`` is for columns."""
-    before, last = [], list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        now = [i]
-        for j, y in enumerate(b, 1):
-            best = min(last[j] + 1, now[j - 1] + 1, last[j - 1] + (x != y))
-            if min(i, j) > 1 and (x, y) == (b[j - 2], a[i - 2]):
-                best = min(best, before[j - 2] + 1)
-            now.append(best)
-        before, last = last, now
-    return last[-1]
+    """What ``distance`` is for columns: the matrix of differences a row at a time, its cells the bits of numbers (Hyyrö 2003)."""
+    if not a or not b:
+        return len(a) + len(b)
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    full, last, d = (1 << len(a)) - 1, 1 << len(a) - 1, len(a)
+    up, down, zero, before = full, 0, 0, 0  # where a cell is one more or less than that above, or as much as that above and left
+    for y in b:
+        same = places.get(y, 0)
+        swap = ((~zero & same) << 1) & before
+        zero = ((((same & up) + up) ^ up) | same | down | swap) & full
+        right, left = down | (full & ~(zero | up)), zero & up
+        d += bool(right & last) - bool(left & last)
+        right, left = right << 1 | 1, left << 1
+        up, down, before = (left | ~(zero | right)) & full, right & zero, same
+    return d
+
+
+#: Hosts whose verdict is kept.
+_KNOWN = 1 << 14
 
 
 def lookalike(watchlist: Sequence[str] = (), *, max_distance: int = 1, confusables: Mapping[str, str] | None = None) -> list[Detector]:
@@ -195,32 +204,42 @@ def lookalike(watchlist: Sequence[str] = (), *, max_distance: int = 1, confusabl
 
     Names are found by skeleton and, for typing errors, by what is left of it after deletions: one look-up each.
     """
+    skeleton_of = _skeletons(confusables)
     skeletons: dict[str, list[str]] = {}
     pieces: dict[str, list[tuple[str, str]]] = {}
     for w in dict.fromkeys(watchlist):
-        s = _skeleton(_bare(w), confusables)
+        s = skeleton_of(_bare(w))
         skeletons.setdefault(s, []).append(w.lower())
         for x in _left(s, max_distance):
             pieces.setdefault(x, []).append((w.lower(), s))
 
-    def same(host: str, plain: str, skel: str) -> bool:
-        return any(w not in (plain.lower(), host.lower()) for w in skeletons.get(skel, ()))
+    def same(own: tuple[str, str], plain: str, skel: str) -> bool:
+        return any(w not in own for w in skeletons.get(skel, ()))
 
-    def near(host: str, plain: str, skel: str) -> bool:
-        if any(sum(bool(c.search(label)) for c in _SCRIPTS.values()) > 1 for label in plain.split(".")):
+    def near(own: tuple[str, str], plain: str, skel: str) -> bool:
+        if not plain.isascii() and any(sum(bool(c.search(label)) for c in _SCRIPTS.values()) > 1 for label in plain.split(".")):
             return True
         close = {c for x in _left(skel, max_distance) for c in pieces.get(x, ())} if pieces else ()
-        return any(w not in (plain.lower(), host.lower()) and _apart(s, skel) <= max_distance for w, s in close)
+        return any(w not in own and _apart(s, skel) <= max_distance for w, s in close)
 
     def finder(test):
+        known: dict[str, bool] = {}  # hosts come again and again
+
+        def suspected(host: str) -> bool:
+            if host not in known:
+                if len(known) >= _KNOWN:
+                    known.clear()
+                plain = _bare(host)
+                known[host] = test((plain.lower(), host.lower()), plain, skeleton_of(plain))
+            return known[host]
+
         def find(text: str) -> list[tuple[int, int, str, str]]:
             if "." not in text:
                 return []
             out = []
             for m in _FOUND.finditer(text):
                 host = _SCHEME.sub("", m.group(), count=1) if _SCHEME.match(m.group()) else m.group()
-                plain = _bare(host)
-                if test(host, plain, _skeleton(plain, confusables)):
+                if suspected(host):
                     out.append((m.end() - len(host), m.end(), host, "suspicious_domain"))
             return out
 

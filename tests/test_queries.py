@@ -90,3 +90,31 @@ def test_findings_of_odd_documents_in_a_folder_equal_their_sql(spark, tmp_path,
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     compare(spark, str(tmp_path), con, name)
+
+
+@pytest.mark.parametrize("name", ["osa_distance", "lookalike_in_scan", "detect_iban", "detect_ipv6", "normalize_fold", "union_distinct", "recorded_values", "redact_remove"])
+def test_rows_of_one_row_group_go_to_all_cores_and_texts_are_scanned_once(spark, sf, name):
+    df = QUERIES[name](spark, sf)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    lowest = plan.rindex("REPARTITION_BY_NUM")
+    assert "EvalPython" in plan[:lowest] and "EvalPython" not in plan[lowest:]
+
+
+def test_distance_is_that_of_the_matrix():
+    import random
+
+    from qirtas.operators.domains import _apart
+
+    def plain(a, b):
+        d = {(i, j): i + j for i in range(len(a) + 1) for j in range(len(b) + 1) if not i or not j}
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 2 : i] == b[j - 1] + b[j - 2]:
+                    d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+        return d[len(a), len(b)]
+
+    r = random.Random(7)
+    for _ in range(2000):
+        a, b = ("".join(r.choices("abc", k=r.randrange(9))) for _ in range(2))
+        assert _apart(a, b) == plain(a, b)
