@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import plain
 from .unicode_fold import ascii_digits
 
 
@@ -36,19 +38,19 @@ def national_id_check_digit(first_nine: Column) -> Column:
 
 
 def _mod97(x: Column) -> Column:
-    """The remainder by 97 of digits and letters (A = 10); folded, since a number of 34 digits fits no type."""
-    def step(a: Column, c: Column) -> Column:
-        v = F.ascii(c) - F.when(c.between("0", "9"), 48).otherwise(55)
-        return (a * F.when(v > 9, 100).otherwise(10) + v) % 97
+    """The remainder by 97 of digits and letters (A = 10), in Python's integers, since a number of 34 digits fits no type."""
+    return F.arrow_udf(_mod97_all, "int")(ascii_digits(x))
 
-    return F.aggregate(F.split(ascii_digits(x), ""), F.lit(0), step)
+
+def _mod97_all(x: pa.Array) -> pa.Array:
+    return pa.array([None if v is None else plain.mod97(v) for v in x.to_pylist()], pa.int32())
 
 
 def iban_is_valid(x: Column) -> Column:
     """Mod-97 check of an IBAN of any country, with or without spaces."""
     c = F.upper(F.replace(x, F.lit(" ")))
-    plain = ascii_digits(c)
-    return F.coalesce(plain.rlike("^[A-Z]{2}[0-9]{2}[0-9A-Z]+$") & (_mod97(F.concat(F.substr(plain, F.lit(5)), F.substr(plain, F.lit(1), F.lit(4)))) == 1), F.lit(False))
+    latin = ascii_digits(c)
+    return F.coalesce(latin.rlike("^[A-Z]{2}[0-9]{2}[0-9A-Z]+$") & (_mod97(F.concat(F.substr(latin, F.lit(5)), F.substr(latin, F.lit(1), F.lit(4)))) == 1), F.lit(False))
 
 
 def iban_check_digits(country: Column, bban: Column) -> Column:

@@ -1,17 +1,16 @@
 """Normalization against evasion, with a map back to the offsets of the original.
 
-Three tiers, all of them JVM-side. One-to-one folds (digits, compatibility forms) are a ``translate`` that can't
-move an offset. Only rows that hold a character to strip or to expand are taken apart character by character;
-for them ``src`` has the original index of every character left, for all others it is null.
+Rows of ASCII alone are left as they are. One-to-one folds (digits, compatibility forms) can't move an offset; only for
+texts that hold a character to strip or to expand ``src`` has the original index of every character left.
 """
 
 from __future__ import annotations
 
-import json
 import sys
 import unicodedata
 from functools import cache
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -60,23 +59,16 @@ def fold_arabic_digits(x: Column) -> Column:
 
 def normalized(text: Column) -> Column:
     """struct(text, src): the folded text, and the original index of each of its characters (null: its own)."""
-    src, to, strip, expand = tables()
-    special = strip + "".join(expand)
-    fast = F.translate(text, src, to)
-    touched = text.rlike("[^\\x00-\\x7f]") & (F.translate(text, special, "") != text)
-    forms = F.from_json(F.lit(json.dumps(expand)), "map<string,string>")  # folds to one literal
-    chars = F.transform(F.split(text, ""), lambda c, i: F.struct(c.alias("c"), i.alias("i")))
-    kept = F.filter(chars, lambda x: (x["c"] != "") & (F.translate(x["c"], strip, "") != ""))
-    spread = F.flatten(
-        F.transform(
-            kept,
-            lambda x: F.when(F.translate(x["c"], "".join(expand), "") != "", F.array(F.struct(F.translate(x["c"], src, to).alias("c"), x["i"].alias("i")))).otherwise(
-                F.transform(F.split(F.element_at(forms, x["c"]), ""), lambda y: F.struct(y.alias("c"), x["i"].alias("i")))
-            ),
-        )
-    )
-    slow = F.struct(F.array_join(F.transform(spread, lambda x: x["c"]), "").alias("text"), F.transform(spread, lambda x: x["i"]).alias("src"))
-    return F.when(touched, slow).otherwise(F.struct(fast.alias("text"), F.lit(None).cast("array<int>").alias("src")))
+    foreign = text.rlike("[^\\x00-\\x7f]")  # all other rows stay as they are
+    own = F.struct(text.alias("text"), F.lit(None).cast("array<int>").alias("src"))
+    return F.when(foreign, F.arrow_udf(_fold_all, "struct<text:string,src:array<int>>")(F.when(foreign, text))).otherwise(own)
+
+
+def _fold_all(text: pa.Array) -> pa.Array:
+    from .plain import fold
+
+    done = [(None, None) if t is None else fold(t) for t in text.to_pylist()]
+    return pa.StructArray.from_arrays([pa.array([t for t, _ in done], pa.string()), pa.array([src for _, src in done], pa.list_(pa.int32()))], names=["text", "src"])
 
 
 def original_start(src: Column, start: Column) -> Column:
