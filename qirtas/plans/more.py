@@ -333,7 +333,7 @@ def _audit_sink(spark, sf):
 @query("recorded_values", f"SELECT c_custkey AS k, {_MAIL} AS value FROM customer")
 def _recorded(spark, sf):
     rows = audit_rows(Guard(record_values=True).protect(_made(spark, sf, "customer", k="c_custkey", text=_CUSTOMER_MAIL)), "k")
-    return rows.select("k", F.explode("values").alias("value"))
+    return rows.select("k", F.explode(F.coalesce("values", F.array())).alias("value"))  # no mere column, as in ``findings``
 
 
 class _Client:
@@ -399,8 +399,8 @@ def _windowed(spark, sf):
 
 @query("union_distinct", "SELECT entity_type FROM (SELECT 'email' AS entity_type FROM customer UNION SELECT 'saudi_mobile' FROM customer)")
 def _union_distinct(spark, sf):
-    rows = findings(_made(spark, sf, "customer", k="c_custkey", text=_LETTER), ["k"]).select("entity_type")
-    return rows.union(rows).distinct()
+    rows = findings(_made(spark, sf, "customer", k="c_custkey", text=_LETTER), ["k"]).select("entity_type").distinct()
+    return rows.union(rows).distinct()  # both sides are the one shuffle
 
 
 @query("filter_in_rows", f"SELECT c_custkey AS k, {_CALL} AS value FROM customer")
